@@ -24,6 +24,8 @@ CAP = 3.0
 #: Weights by a source's place in code point order, null last; they repeat.
 WEIGHTS = (1, 2, 3)
 WHOLE = 1e-9
+#: A document over this part of the rest is rounded against the rest.
+DOMINANT = 0.01
 
 
 def count_words(text: Column) -> Column:
@@ -50,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
         .withColumn("capped", cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", (F.col("total") - F.col("capped")) / F.col("weight_left"))
-        .withColumn("share", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything))
+        .withColumn("share", F.min(F.when(F.col("level") <= F.col("reach"), F.struct("reach", "weight", "source", "level"))).over(everything)["level"])
     )
     return rows.select("source", "source_size", "n_docs", F.least(cap * F.col("source_size"), F.col("weight") * F.col("share")).alias("target"))
 
@@ -58,31 +60,38 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
 def pivot(frame: pd.DataFrame, seed: int) -> np.ndarray:
     """Round ``part`` of rows with positive ``size`` so that sum(size * part) stays; at most one row stays fractional.
 
-    Rows go from large to small, ties by their key, so what stays open at the end is small. The carried row and the next
-    exchange words: either the one grows and the other shrinks or the reverse, as far as one of them becomes whole, with
-    odds that keep both expectations.
+    Rows go from large to small, ties by their key, so what stays open at the end is small. Two partners exchange words:
+    either the one grows and the other shrinks or the reverse, as far as one of them becomes whole, with odds that keep both
+    expectations. While all open rows share one fraction and the largest outweighs DOMINANT of the rest, its partner is
+    the rest as one bundle, which then shares a new fraction; afterwards the carried row's partner is the next row.
     """
     order = np.lexsort((frame["key"].to_numpy(), -frame["size"].to_numpy()))
     size, part = frame["size"].to_numpy(np.float64)[order].tolist(), frame["part"].to_numpy(np.float64)[order].tolist()
     coins = np.random.Generator(np.random.PCG64(seed)).random(len(part)).tolist()
+    snap = lambda p: float(round(p)) if p <= WHOLE or p >= 1 - WHOLE else p
+
+    def exchange(a: float, p: float, b: float, q: float, coin: float) -> tuple[float, float]:
+        up = min((1 - p) * a, q * b)  # words that the first can take from the second
+        down = min(p * a, (1 - q) * b)  # and give to it
+        moved = up if coin * (up + down) < down else -down
+        return snap(p + moved / a), snap(q - moved / b)
+
+    part = [snap(p) for p in part]
+    first = 0
+    if part and len(set(part)) == 1 and 0 < part[0] < 1:
+        rest, shared = sum(size), part[0]
+        while first < len(part) - 1 and size[first] > DOMINANT * (rest - size[first]) and 0 < shared < 1:
+            rest -= size[first]
+            part[first], shared = exchange(size[first], shared, rest, shared, coins[first])
+            first += 1
+        part[first:] = [shared] * (len(part) - first)
     held = -1
     for i, p in enumerate(part):
-        if p <= WHOLE or p >= 1 - WHOLE:
-            part[i] = float(round(p))
+        if p in (0.0, 1.0):
             continue
-        if held < 0:
-            held = i
-            continue
-        a, b = size[held], size[i]
-        up = min((1 - part[held]) * a, p * b)  # words that the held row can take from the next
-        down = min(part[held] * a, (1 - p) * b)  # and give to it
-        moved = up if coins[i] * (up + down) < down else -down
-        part[held] += moved / a
-        part[i] = p - moved / b
-        for k in (held, i):
-            if part[k] <= WHOLE or part[k] >= 1 - WHOLE:
-                part[k] = float(round(part[k]))
-        held = held if part[held] not in (0.0, 1.0) else i if part[i] not in (0.0, 1.0) else -1
+        if held >= 0:
+            part[held], part[i] = exchange(size[held], part[held], size[i], p, coins[i])
+        held = held if held >= 0 and part[held] not in (0.0, 1.0) else i if part[i] not in (0.0, 1.0) else -1
     out = np.empty(len(part))
     out[order] = part
     return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, line_dedup, mixing, secrets, sharding
+from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, secrets, sharding, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,10 +39,18 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -63,10 +75,13 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, n_removed, CAST(strlen(t) AS
 """
 
 QUERIES = {
+    "op1_segment_toxicity": op1_segment_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_block_matrix": op4_block_matrix,
     "op5_virtual_slots": op5_virtual_slots,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_pivotal_mix": op7_pivotal_mix,
+    "op8_family_svm": op8_family_svm,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_windows": op10_line_windows,
 }
