@@ -151,3 +151,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, g
     return union_all(done).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
+
+
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it.
+
+    Rows that share a doc_id get their copies one by one, in no particular order; rows with a null doc_id or without words
+    are not taken.
+    """
+    from_mix = mix(docs, **options).filter("copies > 0 and doc_id is not null").groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    sized = docs.withColumn("_size", count_words(F.col("text"))).withColumnRenamed("doc_id", "_id")
+    joined = sized.join(from_mix, (F.col("_id") == F.col("doc_id")) & (F.col("_size") == F.col("size"))).drop("doc_id", "size")
+    # rows repeated under one doc_id share its copies evenly, the remainder with the first
+    once = joined.filter("_rows = 1").withColumn("_n", F.col("_copies"))
+    more = joined.filter("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy("_id")))
+    more = more.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("int")).drop("_nth")
+    every = once.unionByName(more).filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return every.withColumnRenamed("_id", "doc_id").select(docs.columns)

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, secrets, sharding, toxicity
+import corpus_pipeline
+
+from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, secrets, sharding, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,6 +21,10 @@ def op1_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,8 +80,13 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, n_removed, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS text_sha256 FROM kept
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_segment_toxicity": op1_segment_toxicity,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_block_matrix": op4_block_matrix,
     "op5_virtual_slots": op5_virtual_slots,
@@ -84,5 +95,6 @@ QUERIES = {
     "op8_family_svm": op8_family_svm,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_windows": op10_line_windows,
+    "pipeline": pipeline,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op10_line_windows": OP10_SQL}
