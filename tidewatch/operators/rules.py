@@ -1,0 +1,84 @@
+"""User-written rules compiled to column predicates, and look-ups of what a type means."""
+
+from __future__ import annotations
+
+import json
+import re
+from functools import reduce
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import reference
+
+
+def field(path: str) -> Column:
+    """A column by dotted path, through structs and maps; a number indexes a list."""
+    first, *rest = path.split(".")
+    return reduce(lambda c, p: c.getItem(int(p) if p.isdigit() else p), rest, F.col(first))
+
+
+def compile_condition(condition: dict) -> Column:
+    """The predicate of a pattern, field or composite condition; what can't be read matches nothing."""
+    kind = condition.get("type")
+    if kind == "pattern":
+        try:
+            re.compile(condition["pattern"])
+        except re.error:
+            return F.lit(False)
+        return F.coalesce(field(condition.get("field", "raw_line")).cast("string").rlike("(?i)" + condition["pattern"]), F.lit(False))
+    if kind == "field":
+        c, v = field(condition["field"]), condition.get("value")
+        text = c.cast("string")
+        tests = {
+            "equals": lambda: text == str(v), "contains": lambda: text.contains(str(v)), "startswith": lambda: text.startswith(str(v)), "endswith": lambda: text.endswith(str(v)),
+            "gt": lambda: c.cast("double") > float(v), "lt": lambda: c.cast("double") < float(v), "in": lambda: text.isin(*[x.strip() for x in str(v).split(",")]),
+        }
+        return F.coalesce(tests[condition["operator"]](), F.lit(False)) if condition.get("operator") in tests else F.lit(False)
+    if kind == "composite":
+        parts = [compile_condition(c) for c in condition.get("conditions", [])]
+        if not parts:
+            return F.lit(False)
+        return reduce((lambda a, b: a & b) if condition.get("logic", "and") == "and" else (lambda a, b: a | b), parts)
+    return F.lit(False)
+
+
+def load_rules(folder: str) -> list[dict]:
+    """Rules of every JSON file in the folder, by name; disabled ones left out, later ones replace earlier ones of one id."""
+    rules: dict[str, dict] = {}
+    for path in sorted(Path(folder).glob("*.json")):
+        for rule in json.loads(path.read_text()).get("rules", []):
+            if rule.get("enabled", True):
+                rules[rule["id"]] = rule
+    return list(rules.values())
+
+
+def match_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """Every row with every rule that matches it: rule_id, rule_name, severity, category. One scan."""
+    hit = lambda r: F.when(compile_condition(r["condition"]), F.struct(*[F.lit(r.get(k, "")).alias(n) for k, n in (("id", "rule_id"), ("name", "rule_name"), ("severity", "severity"), ("category", "category"))]))
+    return df.withColumn("h", F.explode(F.filter(F.array(*[hit(r) for r in rules]), lambda h: h.isNotNull()))).select("*", "h.*").drop("h")
+
+
+#: Example rules over the packets' columns.
+RULES = [
+    {"id": "net-smb", "name": "SMB Enumeration", "severity": "medium", "category": "reconnaissance", "condition": {"type": "pattern", "field": "dst_port", "pattern": "(445|139)"}},
+    {"id": "net-telnet", "name": "Telnet Usage", "severity": "medium", "category": "insecure_protocol", "condition": {"type": "field", "field": "dst_port", "operator": "equals", "value": 23}},
+    {"id": "net-dns", "name": "DNS Tunneling Indicator", "severity": "high", "category": "exfiltration", "condition": {"type": "composite", "logic": "and", "conditions": [{"type": "field", "field": "dst_port", "operator": "equals", "value": 53}, {"type": "field", "field": "dns_txt_len", "operator": "gt", "value": 600}]}},
+    {"id": "web-xss", "name": "XSS Attempt", "severity": "high", "category": "injection", "condition": {"type": "pattern", "field": "http_uri", "pattern": "(<script|javascript:|onerror|onload|<iframe|<svg)"}},
+    {"id": "web-scan", "name": "Scanner", "severity": "low", "category": "reconnaissance", "condition": {"type": "composite", "logic": "or", "conditions": [{"type": "field", "field": "user_agent", "operator": "startswith", "value": "sqlmap"}, {"type": "field", "field": "user_agent", "operator": "contains", "value": "Nikto"}]}},
+]
+
+
+def severity_of(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The catalogue's severity and category of attack_type; medium and unknown where it has none."""
+    known = F.broadcast(reference.attack_types(spark).withColumnRenamed("severity", "_s").withColumnRenamed("category", "_c"))
+    return df.join(known, "attack_type", "left").withColumn("severity", F.coalesce("_s", F.lit("medium"))).withColumn("category", F.coalesce("_c", F.lit("unknown"))).drop("_s", "_c")
+
+
+def with_techniques(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """``mitre``: the type's techniques in their order; ``tactics``: their tactics, where known."""
+    t = reference.attack_techniques(spark).join(reference.technique_tactics(spark), "technique", "left")
+    per = t.groupBy("attack_type").agg(F.array_sort(F.collect_list(F.struct("place", "technique", "tactic"))).alias("t"))
+    per = per.select("attack_type", F.col("t.technique").alias("mitre"), F.filter("t.tactic", lambda x: x.isNotNull()).alias("tactics"))
+    return df.join(F.broadcast(per), "attack_type", "left")
