@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens get log-odds of standing in a toxic document, with Dirichlet priors: a word's prior is the odds of its five-byte
-prefix, whose prior is that of the four-byte prefix, whose prior is the corpus. Less a drift, a benign text's tokens sum
+Tokens get log-odds of standing in a toxic document, with Dirichlet priors: a word's prior is the odds of its six-byte
+prefix, whose prior is that of a shorter prefix, and so on to the corpus. Less a drift, a benign text's tokens sum
 downwards, and a linear scan finds every maximal-scoring passage. Under the extreme-value law a passage of score S in a text
 of n tokens is expected K n exp(-lambda S) times by chance; significant passages are added up and calibrated to a
 probability.
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fold_id, with_ids
 
-#: Labelled documents that a model is fitted on, at most; a fifth of them calibrates and is not counted.
+#: Labelled documents that a model is fitted on, at most; a quarter of them calibrates and is not counted.
 FIT_ROWS = 20_000
 #: Token features hash into so many counters: the size of the model.
 BUCKETS = 1 << 20
 PRIOR, DRIFT, EVALUE = 4.0, 1.5, 0.05
+#: Passages expected less often than this add to a text's score; those below EVALUE are significant by themselves.
+COUNTS = 1.0
 THRESHOLD = 0.7
 #: Words whose score a worker remembers.
 REMEMBERED = 500_000
@@ -42,9 +44,9 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(KEEP).split()
 
 
-def features(word: bytes) -> tuple[int, int, int]:
-    """Counters of the word, its five-byte and its four-byte prefix."""
-    return zlib.crc32(b"w" + word) % BUCKETS, zlib.crc32(b"5" + word[:5]) % BUCKETS, zlib.crc32(b"4" + word[:4]) % BUCKETS
+def features(word: bytes) -> tuple[int, int, int, int]:
+    """Counters of the word and its prefixes of six, five and four bytes."""
+    return zlib.crc32(b"w" + word) % BUCKETS, zlib.crc32(b"6" + word[:6]) % BUCKETS, zlib.crc32(b"5" + word[:5]) % BUCKETS, zlib.crc32(b"4" + word[:4]) % BUCKETS
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -106,14 +108,14 @@ class Model:
         return self.scale * n * math.exp(-min(700.0, self.rate * score))
 
     def passages(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(start, end, expected number by chance) of the significant passages, in tokens."""
+        """(start, end, expected number by chance) of the passages that count, in tokens."""
         found = [(a, b, self.evalue(s, len(words))) for a, b, s in maximal_segments(self.token_scores(words))]
-        return [x for x in found if x[2] <= EVALUE]
+        return [x for x in found if x[2] <= COUNTS]
 
     @staticmethod
     def summary(passages: list[tuple[int, int, float]]) -> tuple[float, float]:
         """What the calibration reads: surprise of the best passage and of all together."""
-        surprise = [-math.log(max(e, 1e-300) / EVALUE) for *_, e in passages]
+        surprise = [-math.log(max(e, 1e-300) / COUNTS) for *_, e in passages]
         return math.log1p(max(surprise, default=0.0)), math.log1p(sum(surprise))
 
     def probability(self, passages: list[tuple[int, int, float]]) -> float:
@@ -122,7 +124,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 40) -> np.ndarray:
     """Weights of a ridge logistic regression, the constant first."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -165,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(fit_rows)
-        .withColumn("calibrates", F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % 5 == 0)
+        .withColumn("calibrates", F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % 4 == 0)
     )
     # bounded by fit_rows
     sample = F.broadcast(scratch.save(sample, "labels"))
@@ -203,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
             out = with_ids(batch, rows, {"n": pa.int64(), "segments": pa.list_(pa.float64()), "bins": pa.list_(pa.int64())})
             yield out.append_column("toxic", batch.column("toxic"))
 
-    # at most a fifth of fit_rows, numbers only
+    # at most a quarter of fit_rows, numbers only
     held = chosen.filter("calibrates").select("doc_id", "text", "toxic").mapInArrow(measure, "doc_id long, n long, segments array<double>, bins array<long>, toxic int")
     held = held.orderBy("doc_id").collect()
     benign = [r for r in held if not r.toxic and r.n]
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
     model.rate, model.scale = gumbel(
         np.sum([r.bins for r in benign], axis=0), np.array([max(r.segments, default=0.0) for r in benign]), np.array([r.n for r in benign], float)
     )
-    found = [[(0, 0, e) for s in r.segments if (e := model.evalue(s, r.n)) <= EVALUE] for r in held]
+    found = [[(0, 0, e) for s in r.segments if (e := model.evalue(s, r.n)) <= COUNTS] for r in held]
     model.weights = tuple(logistic(np.array([model.summary(x) for x in found]), np.array([float(r.toxic > 0) for r in held])).tolist())
     model.known = {}
     return model
@@ -232,7 +234,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             rows = []
             for text in batch.column("text").to_pylist():
                 found = cast.value.passages(tokens(text or ""))
-                rows.append((cast.value.probability(found), len(found), [{"start": a, "end": b, "evalue": e} for a, b, e in found]))
+                sure = [{"start": a, "end": b, "evalue": e} for a, b, e in found if e <= EVALUE]
+                rows.append((cast.value.probability(found), len(sure), sure))
             yield with_ids(batch, rows, TYPES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
