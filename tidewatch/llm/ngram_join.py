@@ -35,7 +35,6 @@ BLOCK = 2048
 #: Pairs that a bucket offers for verification for each of its members, round by round; the last offers all.
 OFFERS = (2, 16, None)
 
-_WORDS: dict[bytes, int] = {}
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -55,16 +54,13 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 500_000:
-        _WORDS.clear()
-    for word in {w for w in words if w not in _WORDS}:
-        _WORDS[word] = xxhash.xxh3_64_intdigest(word)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
     size = min(k, len(h))
     s = np.full(len(h) - size + 1, size, np.uint64)
     for j in range(size):
         s = _mix(s * _A + h[j : len(h) - size + 1 + j])
-    return np.unique(s)
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -93,10 +89,13 @@ def small_size(num: int, den: int) -> int:
 def entries(tokens: np.ndarray, counts: np.ndarray, very: int, num: int, den: int) -> np.ndarray:
     """Index entries of a set: ``counts`` are its tokens' frequencies, 0 for rare ones; from ``very`` on three form an entry."""
     n = len(tokens)
-    order = np.lexsort((tokens, counts))
-    tokens, counts = tokens[order], counts[order]
     need, out = losses(n, num, den) + 1, []
     small = small_size(num, den)
+    rare = tokens[counts == 0]
+    if n > -(-small * den // num) and len(rare) >= need:  # the prefix has rare tokens alone; they come sorted
+        return _mix(rare[:need] ^ _B)
+    order = np.lexsort((tokens, counts))
+    tokens, counts = tokens[order], counts[order]
     if n <= -(-small * den // num):
         out.append(_mix(tokens[:need] ^ _A))
     if n > small:
@@ -163,6 +162,8 @@ def _index(docs: DataFrame, frequent, k: int, num: int, den: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count, very = frequent.value
+        maybe = np.zeros(1 << 22, bool)
+        maybe[(common & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
         done: set[int] = set()
         for batch in batches:
             sig, cls = [], []
@@ -172,8 +173,10 @@ def _index(docs: DataFrame, frequent, k: int, num: int, den: int) -> DataFrame:
                     continue
                 if len(done) < 1_000_000:
                     done.add(own)
-                at = np.minimum(np.searchsorted(common, tokens), max(0, len(common) - 1))
-                counts = np.where(common[at] == tokens, count[at], 0) if len(common) else np.zeros(len(tokens), np.int64)
+                counts = np.zeros(len(tokens), np.int64)
+                if len(likely := np.flatnonzero(maybe[(tokens & np.uint64(len(maybe) - 1)).astype(np.int64)])):
+                    at = np.minimum(np.searchsorted(common, tokens[likely]), len(common) - 1)
+                    counts[likely] = np.where(common[at] == tokens[likely], count[at], 0)
                 found = entries(tokens, counts, very, num, den)
                 sig.append(found)
                 cls.append(np.full(len(found), own, np.int64))
@@ -186,7 +189,7 @@ def _index(docs: DataFrame, frequent, k: int, num: int, den: int) -> DataFrame:
 def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFrame:
     """(a, b): pairs of sets in a bucket, in different components, that the bitmaps don't rule out and that didn't fail."""
 
-    def work(group: pa.Table) -> pa.Table:
+    def offers(group: pa.Table) -> pa.Table | None:
         cls, n, comp = (group.column(c).to_numpy() for c in ("cls", "n", "comp"))
         left, right = group.column("left").to_numpy(zero_copy_only=False), group.column("right").to_numpy(zero_copy_only=False)
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
@@ -204,7 +207,7 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
             x, y = np.nonzero(close & (apart * (den + num) <= (den - num) * total))
             rows.append(i[x]), cols.append(c[y]), far.append(apart[x, y] / total[x, y])
         if not rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return None
         rows, cols, far = np.concatenate(rows), np.concatenate(cols), np.concatenate(far)
         a, b = np.minimum(cls[rows], cls[cols]), np.maximum(cls[rows], cls[cols])
         if failed:
@@ -219,7 +222,28 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
             a, b = a[keep], b[keep]
         return pa.table({"a": a, "b": b})
 
-    return members.groupBy("sig", "bi", "bj").applyInArrow(work, "a long, b long").distinct()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last group so far, which the next batch may go on with
+
+        def flush(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
+            keys = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "bi", "bj")])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            table = table.combine_chunks()
+            found = [offers(table.slice(x, y - x)) for x, y in zip(cuts, cuts[1:] if last else cuts[1:-1], strict=False) if y - x > 1]
+            return [f for f in found if f is not None and len(f)], None if last else table.slice(cuts[-2])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            ready, held = flush(table if held is None else pa.concat_tables([held, table]), False)
+            yield from (r for t in ready for r in t.to_batches())
+        if held is not None:
+            yield from (r for t in flush(held, True)[0] for r in t.to_batches())
+
+    # groups of two blocks at most, several to a task: one call each would cost more than the work
+    keys = ("sig", "bi", "bj")
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
