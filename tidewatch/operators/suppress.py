@@ -61,6 +61,12 @@ def active_block(events: DataFrame, blocks: DataFrame, ip: str = "source_ip") ->
     return events.join(b, (F.col(ip) == F.col("_ip")) & (F.col("ts") >= F.col("created_at")) & (F.col("ts") < F.col("block_until")), "left_semi")
 
 
+def reputation(feed: DataFrame, provider: str) -> DataFrame:
+    """A provider's rows (ip, harmless, malicious, suspicious) in the common shape."""
+    total = F.col("harmless") + F.col("malicious") + F.col("suspicious")
+    return feed.select("ip", F.lit(provider).alias("provider"), "malicious", "suspicious", total.alias("total"))
+
+
 def intel(feeds: DataFrame, at: Column, ttl_seconds: int) -> DataFrame:
     """Per ip: the highest score of its providers' newest unexpired rows; malicious if any says so or the score reaches 50."""
     fresh = feeds.filter(micros("fetched_at") + ttl_seconds * 1_000_000 > at)

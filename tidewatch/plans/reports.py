@@ -494,3 +494,67 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
     w = stateful.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "12 hours")
     return w.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("start")) - 1).cast("long").alias("i"), "n")
+
+
+# The protocol that an attack type uses.
+PROTOCOLS = {"port_scan": "tcp", "syn_flood": "tcp", "sql_injection": "http", "admin_probe": "http", "ssh_bruteforce": "ssh"}
+
+
+@query("par14_attack_protocol", f"{A_SQL} SELECT CASE attack_type WHEN 'port_scan' THEN 'tcp' WHEN 'syn_flood' THEN 'tcp' WHEN 'sql_injection' THEN 'http' WHEN 'admin_probe' THEN 'http' WHEN 'ssh_bruteforce' THEN 'ssh' ELSE 'other' END AS protocol, count(*) AS n FROM attacks GROUP BY 1")
+def attack_protocol(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.createDataFrame(list(PROTOCOLS.items()), "attack_type string, protocol string")
+    j = attacks(spark, d).join(F.broadcast(known), "attack_type", "left")
+    return j.groupBy(F.coalesce("protocol", F.lit("other")).alias("protocol")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cor03_reputation_normalise", f"{A_SQL} SELECT source_ip AS ip, 'feed' AS provider, CAST(sum(k % 3) AS BIGINT) AS malicious, CAST(sum(k % 5) AS BIGINT) AS suspicious, CAST(sum(k % 3) + sum(k % 5) + sum(k % 7) AS BIGINT) AS total FROM attacks GROUP BY source_ip")
+def reputation_normalise(spark: SparkSession, d: str) -> DataFrame:
+    per = attacks(spark, d).groupBy(F.col("source_ip").alias("ip")).agg(*[F.sum(F.col("k") % m).cast("long").alias(n) for n, m in (("malicious", 3), ("suspicious", 5), ("harmless", 7))])
+    return suppress.reputation(per, "feed")
+
+
+@query("src05_host_events", f"{derived_sql('host_events')} SELECT event_kind, count(*) AS n FROM host_events GROUP BY event_kind")
+def host_events(spark: SparkSession, d: str) -> DataFrame:
+    return derive(table(spark, d, "events"), "host_events").groupBy("event_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src03_packets", f"{derived_sql('packets')} SELECT protocol, flags, count(*) AS n FROM packets GROUP BY ALL")
+def packet_source(spark: SparkSession, d: str) -> DataFrame:
+    return derive(table(spark, d, "events"), "packets").groupBy("protocol", "flags").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rule(name: str, condition: dict, where: str) -> None:
+    sql = f"{derived_sql('packets')} SELECT event_id FROM packets WHERE {where}"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        p = derive(table(spark, d, "events"), "packets").withColumn("headers", F.create_map(F.lit("cookie"), F.col("cookie"), F.lit("agent"), F.col("user_agent"))).withColumn("ports", F.array("src_port", "dst_port"))
+        return p.filter(rules.compile_condition(condition)).select("event_id")
+
+    query(name, sql)(run)
+
+
+_rule("rul01_pattern_rule", {"type": "pattern", "field": "user_agent", "pattern": "(nikto|SQLMAP)"}, "lower(user_agent) LIKE '%nikto%' OR lower(user_agent) LIKE '%sqlmap%'")
+_rule("rul02_field_rule", {"type": "field", "field": "raw_len", "operator": "gt", "value": "5000"}, "raw_len > 5000")
+_rule("rul02_in_rule", {"type": "field", "field": "dst_port", "operator": "in", "value": "22, 23, 445"}, "dst_port IN (22, 23, 445)")
+_rule("rul03_composite_rule", {"type": "composite", "logic": "or", "conditions": [{"type": "field", "field": "flags", "operator": "equals", "value": "S"}, {"type": "composite", "logic": "and", "conditions": [{"type": "field", "field": "protocol", "operator": "startswith", "value": "ud"}, {"type": "field", "field": "ttl", "operator": "lt", "value": 64}]}]}, "flags = 'S' OR (protocol LIKE 'ud%' AND ttl < 64)")
+_rule("rul04_nested_field", {"type": "composite", "logic": "and", "conditions": [{"type": "field", "field": "headers.cookie", "operator": "contains", "value": "theme"}, {"type": "field", "field": "ports.1", "operator": "gt", "value": 50}]}, "cookie LIKE '%theme%' AND dst_port > 50")
+
+
+@query("win05_icmp_burst", f"""{derived_sql('packets')} SELECT event_id FROM (SELECT event_id, count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us(ts) RANGE BETWEEN 863999999999 PRECEDING AND CURRENT ROW) AS slow, count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us(ts) RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) AS fast FROM packets WHERE protocol = 'icmp') t WHERE slow > 6 OR fast >= 2""")
+def icmp_burst(spark: SparkSession, d: str) -> DataFrame:
+    p = derive(table(spark, d, "events"), "packets").filter("protocol = 'icmp'")
+    slow, fast = (F.count(F.lit(1)).over(windowed.sliding(["src_ip"], "ts", s)) for s in (864000, 43200))
+    return p.withColumn("slow", slow).withColumn("fast", fast).filter("slow > 6 OR fast >= 2").select("event_id")
+
+
+@query("agg13_dashboard_types", f"{A_SQL} SELECT attack_type, count(*) AS n FROM attacks GROUP BY attack_type ORDER BY n DESC, attack_type LIMIT 10")
+def dashboard_types(spark: SparkSession, d: str) -> DataFrame:
+    per = attacks(spark, d).groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"))
+    return report.top(per, [F.desc("n"), F.col("attack_type")], 10)
+
+
+@query("cor05_trust_update", f"{A_SQL} SELECT source_ip AS peer, round(least(1.0, greatest(0.0, 0.5 + 0.05 * sum(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END) - 0.1 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE 0 END))), 6) AS trust FROM attacks GROUP BY source_ip")
+def trust_update(spark: SparkSession, d: str) -> DataFrame:
+    ok = F.sum((F.col("k") % 2 == 0).cast("int"))
+    bad = F.sum((F.col("k") % 2 == 1).cast("int"))
+    return attacks(spark, d).groupBy(F.col("source_ip").alias("peer")).agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 0.05 * ok - 0.1 * bad)), 6).alias("trust"))
