@@ -27,7 +27,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[A-Za-z]+(?:[_/-]+[A-Za-z]+)*(?:[_-]?[0-9]{1,4})?|[0-9_/+-]+|(?:[A-Z]?[a-z]+|[0-9]{1,4}|[_/-])+)={0,2}"
+    r"|[A-Za-z]+(?:[_/-]+[A-Za-z]+)*(?:[_-]?[0-9]{1,4})?|[0-9_/+-]+|(?:[A-Z]?[a-z]{2,}|[0-9]{1,4}|[_/-])+)={0,2}"
 )
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 #: Characters per token below which a candidate counts as random.
