@@ -5,9 +5,9 @@ may lack t tokens of a partner's needs a prefix that still shares something afte
 tokens fall into classes of which k tokens together form one index entry, and a class of x prefix tokens counts
 x - k + 1, so prefixes extend further into frequent tokens. Two sets similar enough share an index entry.
 
-Entries with several sets are buckets. Within a bucket, bitmaps of the sets bound each pair's overlap; the most promising
-pairs are verified on the texts; what links makes components, and only pairs between components are looked at again, until
-none is left unverified. No bucket's pairs are ever written out as rows before the bitmaps have passed them.
+Entries with several sets are buckets. Within a bucket, parity sketches of the sets bound each pair's difference from below;
+the most promising pairs are verified on the texts; what links makes components, and only pairs between components are looked at again, until
+none is left unverified. No bucket's pairs are ever written out as rows before the sketches have passed them.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ FREQUENT = 1 << 18
 COUNTED, OFTEN = 1 << 21, 4
 #: Classes of frequent tokens, by hash; tokens of an entry; documents' share from which entries take one token more.
 CLASSES, VERY_FREQUENT = 16, 0.02
-#: Bits of a set's bitmap.
-BITS = 2048
+#: Bits of a set's sketch.
+BITS = 512
 #: Rows of a bucket that are compared in one task.
 BLOCK = 2048
 #: Pairs that a bucket offers for verification for each of its members, round by round; the last offers all.
-OFFERS = (2, 16, None)
+OFFERS = (1, 16, None)
+#: Bits of the filter of document ids that are read again, in words of 64.
+FILTER_WORDS = 1 << 17
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -70,10 +72,10 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens) & 0xFFFF)).astype(np.int64))
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the set's tokens by hash. Two sketches differ in at most as many bits as the sets differ in tokens."""
+    odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def losses(n: int, num: int, den: int) -> int:
@@ -144,7 +146,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                 tokens = shingle_hashes(text, k)
                 n.append(len(tokens))
                 cls.append(set_id(tokens) if len(tokens) else None)
-                bits.append(bitmap(tokens) if len(tokens) else None)
+                bits.append(sketch(tokens) if len(tokens) else None)
                 held.append(tokens)
                 size += len(tokens)
                 if size >= COUNTED:
@@ -186,8 +188,90 @@ def _index(docs: DataFrame, frequent, k: int, num: int, den: int) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(work, "sig long, cls long")
 
 
+def _shared(sigs: DataFrame) -> DataFrame:
+    """Entries of several sets: (sig, cls) of their members, once each, and (sig, m, print) of each such entry.
+
+    Entries are dealt by sig and sorted; one pass over them keeps a row at a time. ``print`` is the sum of the members' ids
+    after mixing: buckets with the same m and print have the same members.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sig", "cls", "m", "print"]
+        tail: tuple | None = None  # the last entry so far: sig, its last set, how many sets, their print, the set that wasn't sent yet
+
+        for batch in batches:
+            sig, cls = batch.column("sig").to_numpy(), batch.column("cls").to_numpy()
+            if not len(sig):
+                continue
+            out = _runs(sig, cls, tail)
+            tail = out[1]
+            yield pa.RecordBatch.from_arrays(out[0], names=names)
+        if tail is not None and tail[2] > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([tail[0]], pa.int64()), pa.nulls(1, pa.int64()), pa.array([tail[2]], pa.int64()), pa.array([tail[3]], pa.int64())], names=names)
+
+    return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(work, "sig long, cls long, m long, print long")
+
+
+def _runs(sig: np.ndarray, cls: np.ndarray, tail: tuple | None) -> tuple[list[pa.Array], tuple]:
+    """One batch of sorted (sig, cls): rows to emit, and the state of its last entry.
+
+    ``tail`` is (sig, last cls, m, print, unsent): the entry that the batch before ended with; ``unsent`` tells that its only
+    set so far wasn't emitted.
+    """
+    fresh = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]
+    if tail is not None and sig[0] == tail[0] and cls[0] == tail[1]:
+        fresh[0] = False
+        same = (sig == sig[0]) & (cls == cls[0])
+        fresh &= ~same
+    sig, cls = sig[fresh], cls[fresh]
+    if not len(sig):
+        return _rows([], [], [], [], []), tail
+    mark = _mix(cls.view(np.uint64) * _A)
+    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    sizes = np.diff(np.r_[starts, len(sig)])
+    prints = np.add.reduceat(mark, starts)
+    owners = sig[starts]
+    sent_sig, sent_cls, sum_sig, sum_m, sum_print = [], [], [], [], []
+    joined = tail is not None and owners[0] == tail[0]
+    if joined:
+        sizes[0] += tail[2]
+        prints[0] += np.uint64(tail[3] & (2**64 - 1))
+        if tail[4]:
+            sent_sig.append([tail[0]]), sent_cls.append([tail[1]])
+    elif tail is not None and tail[2] > 1:
+        sum_sig.append([tail[0]]), sum_m.append([tail[2]]), sum_print.append([tail[3]])
+    several = sizes > 1
+    own = np.repeat(several, np.diff(np.r_[starts, len(sig)]))
+    sent_sig.append(sig[own]), sent_cls.append(cls[own])
+    done = several[:-1]
+    sum_sig.append(owners[:-1][done]), sum_m.append(sizes[:-1][done]), sum_print.append(prints[:-1][done].view(np.int64))
+    last = (int(owners[-1]), int(cls[-1]), int(sizes[-1]), int(prints[-1:].view(np.int64)[0]), bool(sizes[-1] == 1))
+    return _rows(sent_sig, sent_cls, sum_sig, sum_m, sum_print), last
+
+
+def _rows(sent_sig: list, sent_cls: list, sum_sig: list, sum_m: list, sum_print: list) -> list[pa.Array]:
+    flat = lambda parts: np.concatenate([np.asarray(p, np.int64) for p in parts]) if parts else np.empty(0, np.int64)
+    a, b, c, d, e = (flat(x) for x in (sent_sig, sent_cls, sum_sig, sum_m, sum_print))
+    none = lambda n: pa.nulls(n, pa.int64())
+    return [pa.array(np.r_[a, c]), pa.concat_arrays([pa.array(b), none(len(c))]), pa.concat_arrays([none(len(a)), pa.array(d)]), pa.concat_arrays([none(len(a)), pa.array(e)])]
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text) of the ``wanted`` (cls, rep).
+
+    Before texts are shuffled, a filter of FILTER_WORDS words drops most documents that aren't wanted: each wanted id sets one
+    bit. The filter's size is fixed, so it is broadcast; on a corpus too large for it, it lets more pass.
+    """
+    word = F.expr(f"cast(pmod(xxhash64(rep), {64 * FILTER_WORDS}) div 64 as int)")
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(rep), 64) as int))")
+    words = wanted.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    read = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("w", word)
+    likely = read.join(F.broadcast(words), "w").filter(F.col("b").bitwiseAND(bit) != 0).select("rep", "text")
+    return likely.join(wanted, "rep").select("cls", "text").dropDuplicates(["cls"])
+
+
 def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFrame:
-    """(a, b): pairs of sets in a bucket, in different components, that the bitmaps don't rule out and that didn't fail."""
+    """(a, b): pairs of sets in a bucket, in different components, that the sketches don't rule out and that didn't fail."""
 
     def offers(group: pa.Table) -> pa.Table | None:
         cls, n, comp = (group.column(c).to_numpy() for c in ("cls", "n", "comp"))
@@ -282,32 +366,29 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scrat
     order = np.argsort(tok)
     frequent = spark.sparkContext.broadcast((tok[order], cnt[order], max(1000, int(VERY_FREQUENT * total))))
 
-    sigs = scratch.read(scratch.write(_index(docs, frequent, k, num, den), "index"), "sig long, cls long")
-    several = sigs.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("sig")
-    members = scratch.save(sigs.join(several, "sig").distinct(), "members")
+    shared_path = scratch.write(_shared(_index(docs, frequent, k, num, den)), "members")
+    shared = scratch.read(shared_path, "sig long, cls long, m long, print long")
     # buckets of the same members are one
-    prints = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("print"))
-    buckets = prints.groupBy("m", "print").agg(F.min("sig").alias("sig"))
+    buckets = shared.filter("cls is null").groupBy("m", "print").agg(F.min("sig").alias("sig"))
     classes = sets.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = members.join(buckets, "sig").withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    members = members.join(classes.select("cls", "rep", "n", "bits"), "cls")
-    members = scratch.save(members.select("sig", "cls", "rep", "n", "bits", "blocks", "blk"), "buckets")
-    wanted = members.select("cls", "rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("cls", "text")
-    texts = scratch.save(texts.dropDuplicates(["cls"]), "texts")
+    members = shared.filter("cls is not null").select("sig", "cls").join(buckets, "sig").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    members = scratch.save(members.select("sig", "cls", "blocks", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("blk")), "buckets")
+    scratch.drop(shared_path)
+    inside = scratch.save(classes.join(members.select("cls").distinct(), "cls"), "inside")
+    texts = scratch.save(_texts(docs, inside.select("cls", "rep")), "texts")
 
     links = spark.createDataFrame([], "a long, b long, links boolean")
     comps = None
     for offer in OFFERS:
         rows = members if comps is None else members.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-        rows = rows.withColumn("comp", F.col("cls") if comps is None else F.coalesce("component", "cls"))
+        rows = rows.withColumn("comp", F.col("cls") if comps is None else F.coalesce("component", "cls")).select(*members.columns, "comp")
         failed = links.filter("not links").groupBy("a").agg(F.collect_list("b").alias("failed"))
         if comps is None:
             rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
         else:
             open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
             rows = rows.join(open_, "sig").join(failed.withColumnRenamed("a", "cls"), "cls", "left")
+        rows = rows.join(inside.select("cls", "n", "bits"), "cls")
         # a large bucket is compared block by block: a row goes to the pairs of blocks that its own is one of
         pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj")))
         rows = rows.withColumn("p", F.explode(pairs_of)).select("sig", "cls", "n", "bits", "comp", "failed", "p.bi", "p.bj", (F.col("blk") == F.col("p.bi")).alias("left"), (F.col("blk") == F.col("p.bj")).alias("right"))
