@@ -66,3 +66,21 @@ def with_ids(batch: pa.RecordBatch, rows: list[tuple], types: dict[str, pa.DataT
     columns = list(zip(*rows, strict=True)) or [()] * len(types)
     arrays = [pa.array(values, kind) for values, kind in zip(columns, types.values(), strict=True)]
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *types])
+
+
+#: Words of 64 bits in the filter of ``split_by_ids``: a megabyte, whatever the tables.
+FILTER_WORDS = 1 << 17
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be among ``ids``, and those whose key surely isn't.
+
+    Each id sets one bit of a filter of FILTER_WORDS words; its size is fixed, so it is broadcast, and rows with whole texts
+    that no join needs are told apart before any shuffle. On tables too large for it, the filter lets more rows through.
+    """
+    word = F.expr(f"cast(pmod(xxhash64({key}), {64 * FILTER_WORDS}) div 64 as int)")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
+    words = ids.select(word.alias("__word"), bit.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    marked = rows.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+    maybe = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return tuple(marked.filter(test).select(rows.columns) for test in (maybe, ~maybe))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, split_by_ids
 from .components import components
 
 #: Frequent tokens that are told apart, at most: the size of the broadcast table.
@@ -32,10 +32,10 @@ CLASSES, VERY_FREQUENT = 16, 0.02
 BITS = 512
 #: Rows of a bucket that are compared in one task.
 BLOCK = 2048
+#: Shingles that a task verifying pairs remembers, about.
+VERIFIED = 1 << 21
 #: Pairs that a bucket offers for verification for each of its members, round by round; the last offers all.
 OFFERS = (1, 16, None)
-#: Bits of the filter of document ids that are read again, in words of 64.
-FILTER_WORDS = 1 << 17
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -257,16 +257,9 @@ def _rows(sent_sig: list, sent_cls: list, sum_sig: list, sum_m: list, sum_print:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text) of the ``wanted`` (cls, rep).
-
-    Before texts are shuffled, a filter of FILTER_WORDS words drops most documents that aren't wanted: each wanted id sets one
-    bit. The filter's size is fixed, so it is broadcast; on a corpus too large for it, it lets more pass.
-    """
-    word = F.expr(f"cast(pmod(xxhash64(rep), {64 * FILTER_WORDS}) div 64 as int)")
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(rep), 64) as int))")
-    words = wanted.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    read = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("w", word)
-    likely = read.join(F.broadcast(words), "w").filter(F.col("b").bitwiseAND(bit) != 0).select("rep", "text")
+    """(cls, text) of the ``wanted`` (cls, rep); other documents' texts aren't shuffled."""
+    read = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    likely, _ = split_by_ids(read, wanted.select("rep"), "rep")
     return likely.join(wanted, "rep").select("cls", "text").dropDuplicates(["cls"])
 
 
@@ -334,12 +327,19 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     """(a, b, links): whether the two sets' Jaccard similarity is num / den or more, on the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}  # sets of the last pairs, several of which share one
+        size = 0
         for batch in batches:
             links = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                left, right = shingle_hashes(x, k), shingle_hashes(y, k)
-                shared = len(np.intersect1d(left, right, assume_unique=True))
-                links.append(den * shared >= num * (len(left) + len(right) - shared))
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                if size > VERIFIED:
+                    known, size = {}, 0
+                for cls, text in ((a, x), (b, y)):
+                    if cls not in known:
+                        known[cls] = shingle_hashes(text, k)
+                        size += len(known[cls])
+                shared = len(np.intersect1d(known[a], known[b], assume_unique=True))
+                links.append(den * shared >= num * (len(known[a]) + len(known[b]) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "links"])
 
     sides = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
@@ -411,5 +411,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scrat
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without near duplicates: of each component the row of its smallest doc_id stays."""
-    gone = ngram_join(docs, k, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    gone = scratch.save(ngram_join(docs, k, num, den, scratch).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    likely, rest = split_by_ids(docs, gone, "doc_id")
+    return likely.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(rest)
