@@ -5,7 +5,7 @@ may lack t tokens of a partner's needs a prefix that still shares something afte
 tokens fall into classes of which k tokens together form one index entry, and a class of x prefix tokens counts
 x - k + 1, so prefixes extend further into frequent tokens. Two sets similar enough share an index entry.
 
-Entries with several sets are buckets. Within a bucket, parity sketches of the sets bound each pair's difference from below;
+The sets that share an entry with a set, of which it is the smallest, are its bucket. Within a bucket, parity sketches of the sets bound each pair's difference from below;
 the most promising pairs are verified on the texts; what links makes components, and only pairs between components are looked at again, until
 none is left unverified. No bucket's pairs are ever written out as rows before the sketches have passed them.
 """
@@ -29,7 +29,7 @@ COUNTED, OFTEN = 1 << 21, 4
 #: Classes of frequent tokens, by hash; tokens of an entry; documents' share from which entries take one token more.
 CLASSES, VERY_FREQUENT = 16, 0.02
 #: Bits of a set's sketch.
-BITS = 512
+BITS = 2048
 #: Rows of a bucket that are compared in one task.
 BLOCK = 2048
 #: Shingles that a task verifying pairs remembers, about.
@@ -189,71 +189,28 @@ def _index(docs: DataFrame, frequent, k: int, num: int, den: int) -> DataFrame:
 
 
 def _shared(sigs: DataFrame) -> DataFrame:
-    """Entries of several sets: (sig, cls) of their members, once each, and (sig, m, print) of each such entry.
+    """(lo, cls): for every index entry, its smallest set beside each of its others.
 
-    Entries are dealt by sig and sorted; one pass over them keeps a row at a time. ``print`` is the sum of the members' ids
-    after mixing: buckets with the same m and print have the same members.
+    Entries are dealt by sig and sorted; one pass over them keeps a row. A set's bucket holds all that share an entry of
+    which it is the smallest: the pairs of every entry are pairs of one bucket, and each bucket is there once.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "cls", "m", "print"]
-        tail: tuple | None = None  # the last entry so far: sig, its last set, how many sets, their print, the set that wasn't sent yet
-
+        tail: tuple[int, int] | None = None  # the last entry so far and its smallest set
         for batch in batches:
             sig, cls = batch.column("sig").to_numpy(), batch.column("cls").to_numpy()
             if not len(sig):
                 continue
-            out = _runs(sig, cls, tail)
-            tail = out[1]
-            yield pa.RecordBatch.from_arrays(out[0], names=names)
-        if tail is not None and tail[2] > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([tail[0]], pa.int64()), pa.nulls(1, pa.int64()), pa.array([tail[2]], pa.int64()), pa.array([tail[3]], pa.int64())], names=names)
-
-    return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(work, "sig long, cls long, m long, print long")
-
+            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            first = cls[starts]
+            if tail is not None and sig[0] == tail[0]:
+                first[0] = tail[1]
+            lo = np.repeat(first, np.diff(np.r_[starts, len(sig)]))
+            tail = int(sig[-1]), int(lo[-1])
+            other = lo != cls
+            yield pa.RecordBatch.from_arrays([pa.array(lo[other]), pa.array(cls[other])], names=["lo", "cls"])
 
-def _runs(sig: np.ndarray, cls: np.ndarray, tail: tuple | None) -> tuple[list[pa.Array], tuple]:
-    """One batch of sorted (sig, cls): rows to emit, and the state of its last entry.
-
-    ``tail`` is (sig, last cls, m, print, unsent): the entry that the batch before ended with; ``unsent`` tells that its only
-    set so far wasn't emitted.
-    """
-    fresh = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]
-    if tail is not None and sig[0] == tail[0] and cls[0] == tail[1]:
-        fresh[0] = False
-        same = (sig == sig[0]) & (cls == cls[0])
-        fresh &= ~same
-    sig, cls = sig[fresh], cls[fresh]
-    if not len(sig):
-        return _rows([], [], [], [], []), tail
-    mark = _mix(cls.view(np.uint64) * _A)
-    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    sizes = np.diff(np.r_[starts, len(sig)])
-    prints = np.add.reduceat(mark, starts)
-    owners = sig[starts]
-    sent_sig, sent_cls, sum_sig, sum_m, sum_print = [], [], [], [], []
-    joined = tail is not None and owners[0] == tail[0]
-    if joined:
-        sizes[0] += tail[2]
-        prints[0] += np.uint64(tail[3] & (2**64 - 1))
-        if tail[4]:
-            sent_sig.append([tail[0]]), sent_cls.append([tail[1]])
-    elif tail is not None and tail[2] > 1:
-        sum_sig.append([tail[0]]), sum_m.append([tail[2]]), sum_print.append([tail[3]])
-    several = sizes > 1
-    own = np.repeat(several, np.diff(np.r_[starts, len(sig)]))
-    sent_sig.append(sig[own]), sent_cls.append(cls[own])
-    done = several[:-1]
-    sum_sig.append(owners[:-1][done]), sum_m.append(sizes[:-1][done]), sum_print.append(prints[:-1][done].view(np.int64))
-    last = (int(owners[-1]), int(cls[-1]), int(sizes[-1]), int(prints[-1:].view(np.int64)[0]), bool(sizes[-1] == 1))
-    return _rows(sent_sig, sent_cls, sum_sig, sum_m, sum_print), last
-
-
-def _rows(sent_sig: list, sent_cls: list, sum_sig: list, sum_m: list, sum_print: list) -> list[pa.Array]:
-    flat = lambda parts: np.concatenate([np.asarray(p, np.int64) for p in parts]) if parts else np.empty(0, np.int64)
-    a, b, c, d, e = (flat(x) for x in (sent_sig, sent_cls, sum_sig, sum_m, sum_print))
-    none = lambda n: pa.nulls(n, pa.int64())
-    return [pa.array(np.r_[a, c]), pa.concat_arrays([pa.array(b), none(len(c))]), pa.concat_arrays([none(len(a)), pa.array(d)]), pa.concat_arrays([none(len(a)), pa.array(e)])]
+    return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(work, "lo long, cls long").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -303,7 +260,7 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
         held: pa.Table | None = None  # the last group so far, which the next batch may go on with
 
         def flush(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
-            keys = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "bi", "bj")])
+            keys = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("lo", "bi", "bj")])
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             table = table.combine_chunks()
             found = [offers(table.slice(x, y - x)) for x, y in zip(cuts, cuts[1:] if last else cuts[1:-1], strict=False) if y - x > 1]
@@ -319,7 +276,7 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
             yield from (r for t in flush(held, True)[0] for r in t.to_batches())
 
     # groups of two blocks at most, several to a task: one call each would cost more than the work
-    keys = ("sig", "bi", "bj")
+    keys = ("lo", "bi", "bj")
     return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long").distinct()
 
 
@@ -366,14 +323,11 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scrat
     order = np.argsort(tok)
     frequent = spark.sparkContext.broadcast((tok[order], cnt[order], max(1000, int(VERY_FREQUENT * total))))
 
-    shared_path = scratch.write(_shared(_index(docs, frequent, k, num, den)), "members")
-    shared = scratch.read(shared_path, "sig long, cls long, m long, print long")
-    # buckets of the same members are one
-    buckets = shared.filter("cls is null").groupBy("m", "print").agg(F.min("sig").alias("sig"))
+    shared = scratch.save(_shared(_index(docs, frequent, k, num, den)), "shared")
+    sizes = shared.groupBy("lo").agg((F.count(F.lit(1)) + 1).alias("m"))
+    members = shared.join(sizes, "lo").unionByName(sizes.withColumn("cls", F.col("lo"))).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    members = scratch.save(members.select("lo", "cls", "blocks", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("blk")), "buckets")
     classes = sets.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    members = shared.filter("cls is not null").select("sig", "cls").join(buckets, "sig").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    members = scratch.save(members.select("sig", "cls", "blocks", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("blk")), "buckets")
-    scratch.drop(shared_path)
     inside = scratch.save(classes.join(members.select("cls").distinct(), "cls"), "inside")
     texts = scratch.save(_texts(docs, inside.select("cls", "rep")), "texts")
 
@@ -386,12 +340,12 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scrat
         if comps is None:
             rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
         else:
-            open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-            rows = rows.join(open_, "sig").join(failed.withColumnRenamed("a", "cls"), "cls", "left")
+            open_ = rows.groupBy("lo").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("lo")
+            rows = rows.join(open_, "lo").join(failed.withColumnRenamed("a", "cls"), "cls", "left")
         rows = rows.join(inside.select("cls", "n", "bits"), "cls")
         # a large bucket is compared block by block: a row goes to the pairs of blocks that its own is one of
         pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj")))
-        rows = rows.withColumn("p", F.explode(pairs_of)).select("sig", "cls", "n", "bits", "comp", "failed", "p.bi", "p.bj", (F.col("blk") == F.col("p.bi")).alias("left"), (F.col("blk") == F.col("p.bj")).alias("right"))
+        rows = rows.withColumn("p", F.explode(pairs_of)).select("lo", "cls", "n", "bits", "comp", "failed", "p.bi", "p.bj", (F.col("blk") == F.col("p.bi")).alias("left"), (F.col("blk") == F.col("p.bj")).alias("right"))
         pairs = scratch.save(_offers(rows, num, den, offer), "offers")
         if pairs.isEmpty():
             break
