@@ -297,6 +297,14 @@ def test_secret_spans(spark):
     assert got[8].spans == "random:4:28" and got[9].spans == ""
 
 
+def test_secret_values_after_equals(spark):
+    key = "Zx9Qw7Lp2Vb8Nm4Kt6Rj1Hs3"
+    texts = [f"client_key={key}", f"GET /x?sig={key}&b=1", f"AWS_KEY={key}==", f"{key}=1", f"a={key}=b={key}", f"x=='{key}='"]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, texts), PATH, public_tokenizers.PATTERN).collect()}
+    assert [got[i].spans for i in range(len(texts))] == ["random:11:35", "random:11:35", "random:8:34", "random:0:24", "random:2:26,random:29:53", "random:4:29"]
+    assert [got[i].n_random for i in range(len(texts))] == [1, 1, 1, 1, 2, 1]
+
+
 # lines
 
 
