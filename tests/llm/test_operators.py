@@ -305,6 +305,14 @@ def test_secret_values_after_equals(spark):
     assert [got[i].n_random for i in range(len(texts))] == [1, 1, 1, 1, 2, 1]
 
 
+def test_ratio_decides_on_short_and_letter_only_strings(spark):
+    keys = ["Zx9Qw7Lp2Vb8Nm4Kt6R", "qZxKvWpLmRtYbNcHdGfJsQwP", "qzxk7vwp3lmrt9ybnc2hdgf", "qzxkvwplmrtybnchdgfjswp", "Zx9Qw7Lp", "qZxKvWpL", "QZXK-VWPL-MRTY"]
+    known = ["getElementById", "2024-01-02T10-00-00Z", "12345678-9012/3456", "550e8400-e29b-41d4-a716-446655440000", "dc/java/util/concurrent/Future", "Verantwortung", "da39A3ee5e6b4b0d3255bfef95601890"]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, keys + known), PATH, public_tokenizers.PATTERN).collect()}
+    assert [got[i].spans for i in range(len(keys))] == [f"random:0:{len(k)}" for k in keys]
+    assert [got[i].spans for i in range(len(keys), len(keys + known))] == [""] * len(known)
+
+
 # lines
 
 

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, plus random-looking strings found by token efficiency.
 
 A vocabulary trained on prose and code spends few characters per token on strings it has never seen. Candidates that
-are digests or identifiers by their form are excluded first; what then averages too few characters per token is a span.
+are digests, UUIDs, dates or numbers by their form and short plain words are excluded first; what then averages too few
+characters per token is a span.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The longest runs of 32 and more are those of any length that reach 32.
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: = is padding at the end only: before a string it parts a value from its name.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
-#: Forms that are known not to be secrets: digests by their length, UUIDs, words joined by _ or - or /, dates, numbers.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}={0,2}(?![A-Za-z0-9+/_-])")
+#: Forms that are known not to be secrets: digests by their length, UUIDs, dates, numbers. All else is left to the ratio.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[A-Za-z]+(?:[_/-]+[A-Za-z]+)*(?:[_-]?[0-9]{1,4})?|[0-9_/+-]+|(?:[A-Z]?[a-z]{2,}|[0-9]{1,4}|[_/-])+)={0,2}"
+    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9-]+Z?|[0-9_/+-]+)={0,2}"
 )
+#: Letters written as a word is are tried from this length: in shorter ones rare words and random letters spend alike.
+WORD, WORD_LENGTH = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 16
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 #: Characters per token below which a candidate counts as random.
 RATIO = 2.0
@@ -61,7 +64,9 @@ def random_spans(text: str, coder, ratio: float = RATIO) -> list[tuple[int, int,
     found = []
     for m in CANDIDATE.finditer(text):
         word = m.group()
-        if any(c.isdigit() for c in word) and not KNOWN.fullmatch(word) and len(word) < ratio * len(coder.encode_ordinary(word)):
+        if len(word) < WORD_LENGTH and WORD.fullmatch(word) or KNOWN.fullmatch(word):
+            continue
+        if len(word) < ratio * len(coder.encode_ordinary(word)):
             found.append((m.start(), 3, f"random:{m.start()}:{m.end()}"))
     return found
 
