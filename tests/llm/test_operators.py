@@ -120,6 +120,25 @@ def test_similar_sets_share_an_index_entry(seed):
             assert set(found[0].tolist()) & set(found[1].tolist())
 
 
+@pytest.mark.parametrize("n", [127, 130, 500, 515, 1000, 2100, 9000])
+def test_entries_of_very_frequent_tokens_stay_in_proportion(n):
+    r = np.random.default_rng(n)
+    for num in (80, 90):
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        t = ngram_join.losses(n, num, 100)
+        b, longer = a[t:], np.concatenate([a, r.integers(0, 2**63, n * (100 - num) // num).astype(np.uint64)])
+        found = [set(ngram_join.entries(np.sort(s), np.full(len(s), 5000), 1000, num, 100).tolist()) for s in (a, b, longer)]
+        assert found[0] & found[1] and found[0] & found[2]
+        assert max(map(len, found)) <= 100 * len(longer)
+
+
+def test_ngram_join_hot_copies_of_a_long_text(spark):
+    long = " ".join(f"w{i * 7919 % 10007}" for i in range(1500))
+    texts = [long] * 1010 + [edited(long, i, 20) for i in range(4)] + [edited(long, 9, 900)]
+    got = {r.doc_id: r for r in ngram_join.ngram_join(docs(spark, texts), 5, 80, 100).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == [0] * 1014 + [1014]
+
+
 def test_ngram_join_odd_ids(spark):
     t = prose(4, 1, 60)[0]
     got = ngram_join.ngram_join(docs(spark, [t, t, t, ""], [7, None, 7, 9])).collect()

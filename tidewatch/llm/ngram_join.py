@@ -12,7 +12,9 @@ none is left unverified. No bucket's pairs are ever written out as rows before t
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ FREQUENT = 1 << 18
 COUNTED, OFTEN = 1 << 21, 4
 #: Classes of frequent tokens, by hash; tokens of an entry; documents' share from which entries take one token more.
 CLASSES, VERY_FREQUENT = 16, 0.02
+#: Sizes from which sets have more classes, and how many times as large the next size is.
+LARGE, LARGER = 128, 4
 #: Bits of a set's sketch.
 BITS = 2048
 #: Rows of a bucket that are compared in one task.
@@ -85,11 +89,63 @@ def losses(n: int, num: int, den: int) -> int:
 
 def small_size(num: int, den: int) -> int:
     """Sets up to this size are indexed by single tokens alone: larger ones always find enough in the classes."""
-    return max(32, -(-(CLASSES + 1) * den // num))
+    return max(32, -(-(CLASSES + 3) * den // num))
+
+
+def level(n: int, num: int, den: int) -> int:
+    """0 for sets of fewer than ``LARGE`` tokens, 1 more for each size ``LARGER`` times as large.
+
+    Below a similarity of a third the classes would take more tokens than partners share, so all sets are of level 0.
+    """
+    found = 0
+    while 3 * num >= den and n >= LARGE * LARGER**found:
+        found += 1
+    return found
+
+
+def classes(at: int) -> tuple[int, int]:
+    """Classes of two-token and of three-token entries: as many as keep a set's entries in proportion to its size."""
+    return CLASSES * LARGER ** max(0, at - 4), 8 * LARGER ** (at - 1) if at else 1
+
+
+@lru_cache(maxsize=256)
+def _choices(n: int, k: int) -> np.ndarray:
+    """The combinations of ``k`` of ``n`` places, a row for each place."""
+    return np.array(list(itertools.combinations(range(n), k)), np.int64).reshape(-1, k).T
+
+
+def _prefix_entries(tokens: np.ndarray, k: np.ndarray, need: int, at: int) -> Iterator[np.ndarray]:
+    """Entries of the ordered tokens' prefix by the classes of a level; a token stands in entries of ``k`` tokens."""
+    pairs, triples = classes(at)
+    label = np.where(k == 1, 0, np.where(k == 2, 1 + (tokens % np.uint64(pairs)).astype(np.int64), 1 + pairs + (tokens % np.uint64(triples)).astype(np.int64)))
+    by = np.argsort(label, kind="stable")
+    starts = np.flatnonzero(np.r_[True, label[by][1:] != label[by][:-1]])
+    seen = np.empty(len(tokens), np.int64)
+    seen[by] = np.arange(1, len(tokens) + 1) - np.repeat(starts, np.diff(np.r_[starts, len(tokens)]))
+    gained = np.cumsum(seen >= k)
+    end = int(np.searchsorted(gained, need)) + 1 if gained[-1] >= need else len(tokens)
+    tokens, k, label = tokens[:end], k[:end], label[:end]
+    yield _mix(tokens[k == 1] ^ _B)
+    tokens, label = tokens[k > 1], label[k > 1]
+    by = np.lexsort((tokens, label))
+    tokens, label = tokens[by], label[by]
+    if not len(tokens):
+        return
+    for own in np.split(tokens, np.flatnonzero(label[1:] != label[:-1]) + 1):
+        if label[0] <= pairs:
+            a, b = np.triu_indices(len(own), 1)
+            yield _mix(_mix(own[a] + _A) + own[b])
+        else:
+            a, b, d = _choices(len(own), 3)
+            yield _mix(_mix(_mix(own[a] + _B) + own[b]) + own[d])
+        label = label[len(own) :]
 
 
 def entries(tokens: np.ndarray, counts: np.ndarray, very: int, num: int, den: int) -> np.ndarray:
-    """Index entries of a set: ``counts`` are its tokens' frequencies, 0 for rare ones; from ``very`` on three form an entry."""
+    """Index entries of a set: ``counts`` are its tokens' frequencies, 0 for rare ones; from ``very`` on three form an entry.
+
+    A pair goes by the classes of its smaller set's level, so a set has entries by each level that a smaller partner may have.
+    """
     n = len(tokens)
     need, out = losses(n, num, den) + 1, []
     small = small_size(num, den)
@@ -102,27 +158,8 @@ def entries(tokens: np.ndarray, counts: np.ndarray, very: int, num: int, den: in
         out.append(_mix(tokens[:need] ^ _A))
     if n > small:
         k = np.where(counts == 0, 1, np.where(counts < very, 2, 3))
-        group = np.where(k == 1, 0, 1 + (tokens % np.uint64(CLASSES)).astype(np.int64))
-        # three-token classes share the hash classes' number: one class is one (group, k)
-        label = np.where(k == 3, CLASSES + 1, group)
-        seen = np.empty(n, np.int64)
-        for c in np.unique(label):
-            at = label == c
-            seen[at] = np.arange(1, at.sum() + 1)
-        gained = np.cumsum(seen >= k)
-        end = int(np.searchsorted(gained, need)) + 1 if gained[-1] >= need else n
-        tokens, k, label = tokens[:end], k[:end], label[:end]
-        out.append(_mix(tokens[k == 1] ^ _B))
-        for c in np.unique(label[k > 1]):
-            own = np.sort(tokens[label == c])
-            if c <= CLASSES:
-                a, b = np.triu_indices(len(own), 1)
-                out.append(_mix(_mix(own[a] + _A) + own[b]))
-            elif len(own) > 2:
-                i = np.arange(len(own))
-                a, b, d = (x.ravel() for x in np.meshgrid(i, i, i, indexing="ij"))
-                keep = (a < b) & (b < d)
-                out.append(_mix(_mix(_mix(own[a[keep]] + _B) + own[b[keep]]) + own[d[keep]]))
+        for at in range(level(n - losses(n, num, den), num, den), level(n, num, den) + 1):
+            out += _prefix_entries(tokens, k, need, at)
     return np.unique(np.concatenate(out)) if out else tokens[:0]
 
 
