@@ -42,3 +42,12 @@ def test_twin(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["user_id", "hits", "peak", "band"]
+
+
+def test_whole_tables_are_scored_and_ranked(spark, duck):
+    got = {r.source_ip: r.score for r in entry.queries()["agg03_count_score_all"](spark, DATA).collect()}
+    n = dict(duck.sql("select concat('10.0.', user_id % 4, '.', user_id % 250), count(*) from events group by 1").fetchall())
+    assert got == {ip: min(100, 20 * c) for ip, c in n.items()}
+    ks = duck.sql("select event_type, list_sort(list(cast(json_extract_string(props, '$.k') as int))) from events group by 1").fetchall()
+    got = {r.event_type: r.p75 for r in entry.queries()["fn_nearest_rank_all"](spark, DATA).collect()}
+    assert got == {t: k[min(len(k) * 75 // 100, len(k) - 1)] for t, k in ks}

@@ -80,6 +80,17 @@ def baselines(metrics: DataFrame, key: list[str], value: str, at_least: int = 10
     )
 
 
+def nearest_ranks(df: DataFrame, key: list[str], value: str, percent: int) -> DataFrame:
+    """``rank`` of every key: element floor(n * percent / 100) of the sorted values, the last one at most.
+
+    Values are counted first, so that a window holds a key's distinct values, never its rows.
+    """
+    per = df.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*key)
+    ranked = per.withColumn("_to", F.sum("_n").over(w.orderBy(F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_of", F.sum("_n").over(w))
+    return ranked.filter(F.col("_to") > F.least(F.expr(f"_of * {percent} div 100"), F.col("_of") - 1)).groupBy(*key).agg(F.min(value).alias("rank"))
+
+
 def flow_sessions(packets: DataFrame, flow: Column, idle: float) -> DataFrame:
     """``flow`` and ``session``: a flow's packets, cut where it rests for more than ``idle`` seconds."""
     w = Window.partitionBy("flow").orderBy("ts", "event_id")

@@ -268,6 +268,11 @@ def count_score(spark: SparkSession, d: str) -> DataFrame:
     return report.count_scores(attacks(spark, d).filter("k < 20"))
 
 
+@query("agg03_count_score_all", f"{A_SQL} SELECT source_ip, least(100, 20 * count(*)) AS score FROM attacks GROUP BY source_ip")
+def count_score_all(spark: SparkSession, d: str) -> DataFrame:
+    return report.count_scores(attacks(spark, d))
+
+
 @query("agg04_attackers_page", f"{A_SQL} SELECT source_ip, count(*) AS n, max(ts) AS last_seen FROM attacks GROUP BY source_ip ORDER BY last_seen DESC, source_ip LIMIT 20 OFFSET 10")
 def attackers_page(spark: SparkSession, d: str) -> DataFrame:
     per = attacks(spark, d).groupBy("source_ip").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
@@ -343,6 +348,12 @@ def nearest_rank_query(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(nearest_rank(F.collect_list("k"), 75).alias("p75"))
 
 
+@query("fn_nearest_rank_all", """SELECT event_type, max(CASE WHEN i = least(c * 75 // 100, c - 1) THEN k END) AS p75 FROM (SELECT event_type, k, row_number() OVER (PARTITION BY event_type ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) e) r GROUP BY event_type""")
+def nearest_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return report.nearest_ranks(e, ["event_type"], "k", 75).withColumnRenamed("rank", "p75")
+
+
 @query("agg17_sniffer_stats", f"{derived_sql('packets')} SELECT protocol, count(*) AS packets, CAST(sum(raw_len) AS BIGINT) AS bytes FROM packets GROUP BY protocol")
 def sniffer_stats(spark: SparkSession, d: str) -> DataFrame:
     return derive(table(spark, d, "events"), "packets").groupBy("protocol").agg(F.count(F.lit(1)).alias("packets"), F.sum("raw_len").alias("bytes"))
