@@ -51,3 +51,9 @@ def test_whole_tables_are_scored_and_ranked(spark, duck):
     ks = duck.sql("select event_type, list_sort(list(cast(json_extract_string(props, '$.k') as int))) from events group by 1").fetchall()
     got = {r.event_type: r.p75 for r in entry.queries()["fn_nearest_rank_all"](spark, DATA).collect()}
     assert got == {t: k[min(len(k) * 75 // 100, len(k) - 1)] for t, k in ks}
+
+
+def test_payloads_override_ports_on_all_packets(spark, duck):
+    n = {r.app: r["count"] for r in entry.queries()["par10_app_protocol_all"](spark, DATA).groupBy("app").count().collect()}
+    assert sum(n.values()) == duck.sql("select count(*) from events").fetchall()[0][0]
+    assert {"http", "ssh", "tls", "smtp", "ftp", "dns", "mysql", None} == set(n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import entropy, flow_key, is_broadcast, ja4, ladder, url_decoded
 from ..operators import parse, report, rules, stateless, windowed
 from ..sources.derive import derive, derived_sql
+from ..sources.reference import APP_PORTS
 from .registry import query, table
 
 HOUR = 3600
@@ -407,6 +408,18 @@ def app_protocol(spark: SparkSession, d: str) -> DataFrame:
     return packets(spark, d).filter("src_port < 1030").select("event_id", parse.app_protocol(F.col("src_port"), F.col("dst_port"), F.lit("")).alias("app"))
 
 
+#: First bytes of a packet by its flags and address; the others have none.
+PAYLOAD = "CASE flags WHEN 'PA' THEN concat('GET ', http_uri, ' HTTP/1.1') WHEN 'SA' THEN 'SSH-2.0-x' WHEN 'A' THEN concat(chr(22), chr(3), chr(1)) WHEN 'SF' THEN 'EHLO x' WHEN 'FR' THEN 'USER x' ELSE '' END"
+BY_PORT = " ".join(f"WHEN {port} THEN '{name}'" for port, name in APP_PORTS.items())
+
+
+@query("par10_app_protocol_all", f"""{derived_sql('packets')} SELECT event_id, CASE WHEN regexp_matches(payload, '^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) ') THEN 'http' WHEN payload LIKE 'SSH-%' THEN 'ssh' WHEN starts_with(payload, concat(chr(22), chr(3))) THEN 'tls' WHEN payload LIKE 'EHLO%' OR payload LIKE 'HELO%' THEN 'smtp' WHEN payload LIKE 'USER %' OR payload LIKE 'PASS %' THEN 'ftp'
+    ELSE coalesce(CASE dst_port {BY_PORT} END, CASE src_port {BY_PORT} END) END AS app FROM (SELECT *, {PAYLOAD} AS payload FROM packets) p""")
+def app_protocol_all(spark: SparkSession, d: str) -> DataFrame:
+    p = packets(spark, d).selectExpr("event_id", "src_port", "dst_port", f"{PAYLOAD} AS payload")
+    return p.select("event_id", parse.app_protocol(F.col("src_port"), F.col("dst_port"), F.col("payload")).alias("app"))
+
+
 @query("par13_client_fingerprint", None)
 def client_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     lists = lambda a: F.transform(F.sequence(F.lit(0), F.col("k") % a), lambda i: (i * 257 + F.col("k")).cast("int"))
