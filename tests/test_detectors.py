@@ -152,3 +152,21 @@ def test_stateless_chain_reports_the_first_hit(spark):
     chain = [stateless.Rule("small", "low", F.col("n") < 100), stateless.Rule("tiny", "low", F.col("n") < 10)]
     assert [r.attack_type for r in stateless.detect_first(df, chain).collect()] == ["small", "small"]
     assert stateless.detect(df, chain).count() == 3
+
+
+def test_log_types_are_attacks_by_themselves(spark):
+    web = '10.0.0.1 - - [02/Jan/2024:10:00:00 +0000] "GET {} HTTP/1.1" 200 512 "-" "{}"'
+    cases = [
+        ("Jan 02 10:00:00 host sshd[7]: Invalid user bob from 10.0.0.1", "ssh_invalid_user"),
+        ("Jan 02 10:00:00 host sshd[7]: Failed password for bob from 10.0.0.1 port 22", None),
+        ("Jan 02 10:00:00 host vsftpd[7]: user ANONYMOUS LOGIN from 10.0.0.1", "anonymous_ftp"),
+        ("2024-01-02T10:00:00 x Authentication failed for client=10.0.0.1", "mongo_unauthorized"),
+        ("12 Jan 10:00:00 host redis-server: Authentication failed client=10.0.0.1", "redis_unauthorized"),
+        ('2024-01-02T10:00:00 { "verb":"get","responseCode":403, "sourceIPs":["10.0.0.1"]', "k8s_unauthorized"),
+        ("Jan 02 10:00:00 host sudo: bob : x COMMAND=id USER=root TTY=t PWD=/ WORKDIR=/", "sudo_failure"),
+        (web.format("/run?c=;cat", "x"), "command_injection"), (web.format("http://169.254.169.254/latest", "x"), "rfi_attempt"), (web.format("/x", "sqlmap"), "scanner_detected"),
+        (web.format("/etc/passwd", "x"), "lfi_attempt"), (web.format("/wp-admin", "x"), "admin_probe"), (web.format("/index", "x"), None),
+        ("Jan 02 10:00:00 host sshd[7]: Accepted password for ${jndi:x} from 10.0.0.1 port 22", "log4j_attempt"), ("no known line", None),
+    ]
+    df = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(cases)], "i int, line string")
+    assert [r.attack_type for r in parse.log_attacks(df).orderBy("i").collect()] == [kind for _, kind in cases]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip_label, first_match, ladder, url_decoded  # noqa: F401
-from ..sources.reference import APP_PORTS, FACILITIES, LEVELS, LOG_PATTERNS, SYSLOG_KEYWORDS, WEB_SIGNATURES
+from ..sources.reference import APP_PORTS, DIRECT_LOG_TYPES, FACILITIES, LEVELS, LOG_PATTERNS, SYSLOG_KEYWORDS, WEB_LAST, WEB_SIGNATURES
 
 FIELDS = ("ip", "user", "port", "method", "path", "status", "ua", "cmd", "service")
 
@@ -26,11 +26,11 @@ def log_lines(df: DataFrame, line: str = "line") -> DataFrame:
     return df.select("*", *[_field(F.col(line), F.col("log_type"), f).alias(f"log_{f}") for f in FIELDS])
 
 
-def web_signature(text: Column) -> Column:
+def web_signature(text: Column, signatures=WEB_SIGNATURES) -> Column:
     """Attack type of the first signature that the text or its decoded form matches."""
     decoded = url_decoded(text)
     out = F.lit(None).cast("string")
-    for _, pattern, kind in reversed(WEB_SIGNATURES):
+    for _, pattern, kind in reversed(signatures):
         out = F.when(text.rlike(pattern) | decoded.rlike(pattern), F.lit(kind)).otherwise(out)
     return out
 
@@ -87,6 +87,20 @@ def exploit_signature(line: Column) -> Column:
     )
 
 
+def log_attacks(df: DataFrame, line: str = "line") -> DataFrame:
+    """``log_lines`` with attack_type: what a line's type says by itself, null for none and for types that only count in windows.
+
+    Web signatures are tried on access lines and others that name http; the exploits' fixed strings on what no rule before takes.
+    """
+    df = log_lines(df, line)
+    kind, text = F.col("log_type"), F.col(line)
+    web = F.when((kind == "web_access") | (kind.isNotNull() & F.lower(text).contains("http")), web_signature(text, WEB_SIGNATURES[: WEB_LAST + 1]))
+    chain = F.when(web.isNotNull(), web)
+    for name, attack in DIRECT_LOG_TYPES:
+        chain = chain.when(kind.contains(name), F.lit(attack).cast("string"))
+    return df.withColumn("attack_type", chain.when(kind.isNotNull(), exploit_signature(text)))
+
+
 def http_request(payload: Column) -> Column:
     """Struct of method, uri (blanks kept), headers (lower-cased names) and body."""
     parts = F.split(payload, "\r\n\r\n", 2)

@@ -114,6 +114,17 @@ def log_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return web.select("event_id", kind.alias("attack_type")).filter(F.col("attack_type").isin("sql_injection", "xss_attempt", "path_traversal"))
 
 
+def _web_case() -> str:
+    tried = [(pattern.replace("'", "''"), kind) for _, pattern, kind in reference.WEB_SIGNATURES[: reference.WEB_LAST + 1]]
+    return "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') OR regexp_matches(plain, '{p}') THEN '{kind}'" for p, kind in tried) + " END"
+
+
+# The derived lines are ssh lines, which say nothing by themselves, and access lines.
+@query("st38_log_dispatch_all", f"""{derived_sql('log_lines')} SELECT event_id, attack_type FROM (SELECT event_id, {_web_case()} AS attack_type FROM (SELECT event_id, line, url_decode(replace(line, '+', ' ')) AS plain FROM log_lines WHERE line NOT LIKE '%sshd[%') l) t WHERE attack_type IS NOT NULL""")
+def log_dispatch_all(spark: SparkSession, d: str) -> DataFrame:
+    return parse.log_attacks(lines(spark, d)).select("event_id", "attack_type").filter("attack_type is not null")
+
+
 @query("lkp01_severity", f"{A_SQL} SELECT a.event_id, coalesce(t.severity, 'medium') AS severity, coalesce(t.category, 'unknown') AS category FROM attacks a LEFT JOIN {reference.attack_types_sql()} t ON a.attack_type = t.attack_type")
 def severity_lookup(spark: SparkSession, d: str) -> DataFrame:
     return rules.severity_of(attacks(spark, d).drop("severity"), spark).select("event_id", "severity", "category")

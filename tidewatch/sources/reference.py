@@ -189,3 +189,13 @@ def attack_techniques_sql() -> str:
 
 def technique_tactics_sql() -> str:
     return sql_values([(t, tactic, *TACTICS[tactic]) for t, tactic in _rows(TECHNIQUE_TACTIC)], ("technique", "tactic", "tactic_id", "tactic_name"))
+
+#: Place of the last web signature; those after it are exploits of other kinds.
+WEB_LAST = [name for name, *_ in WEB_SIGNATURES].index("api_enumeration")
+
+# Parts of log types in the order in which they are tried, and the attack that a line of that type is by itself.
+DIRECT_LOG_TYPES = (
+    ("ssh_connection_closed", None), ("ssh_invalid_user", "ssh_invalid_user"), ("ssh_failed", None), ("mysql", None), ("postgres", None),
+    ("mongo", "mongo_unauthorized"), ("redis", "redis_unauthorized"), ("postfix", None), ("dovecot", None), ("pop3", None),
+    ("ftp_anonymous", "anonymous_ftp"), ("ftp", None), ("sudo_failed", "sudo_failure"), ("k8s", "k8s_unauthorized"),
+)
