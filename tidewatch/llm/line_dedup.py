@@ -3,6 +3,9 @@
 Every three consecutive lines form a window. A window that stands in several places is kept at the first, by (doc_id,
 line); the lines that later places cover are removed, overlapping ones once. Each removed line equals a line at an
 earlier place, so every distinct line of the corpus stays somewhere.
+
+What repeats on fewer lines than a window has, between differing neighbours or in a text of fewer lines, is not seen; the
+README gives figures.
 """
 
 from __future__ import annotations
