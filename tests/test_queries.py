@@ -57,3 +57,9 @@ def test_payloads_override_ports_on_all_packets(spark, duck):
     n = {r.app: r["count"] for r in entry.queries()["par10_app_protocol_all"](spark, DATA).groupBy("app").count().collect()}
     assert sum(n.values()) == duck.sql("select count(*) from events").fetchall()[0][0]
     assert {"http", "ssh", "tls", "smtp", "ftp", "dns", "mysql", None} == set(n)
+
+
+def test_flows_go_both_ways(spark, duck):
+    r = entry.queries()["agg15_flow_features"](spark, DATA).selectExpr("sum(packets)", "sum(fwd_packets)", "sum(bwd_packets)", "sum(bwd_bytes)", "max(bwd_len_mean)").first()
+    n, replies = duck.sql("select count(*), count(*) filter (cast(json_extract_string(props, '$.k') as int) % 2 = 0) from events").fetchall()[0]
+    assert r[0] == n + replies == r[1] + r[2] and r[2] > replies // 2 and r[3] > 0 and r[4] > 0

@@ -436,7 +436,14 @@ def packet_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg15_flow_features", None)
 def flow_features(spark: SparkSession, d: str) -> DataFrame:
-    return report.flow_features(packets(spark, d), F.col("src_ip"), 6 * HOUR)
+    return report.flow_features(two_way(packets(spark, d)), _flow(), 6 * HOUR)
+
+
+def two_way(p: DataFrame) -> DataFrame:
+    """Packets, and of those with an even k a reply each: a second later, its ends swapped, a ninth as long."""
+    swapped = {"src_ip": F.col("dst_ip"), "dst_ip": F.col("src_ip"), "src_port": F.col("dst_port"), "dst_port": F.col("src_port")}
+    reply = {"event_id": -F.col("event_id"), "ts": F.expr("ts + INTERVAL 1 SECOND"), "raw_len": F.floor(F.col("raw_len") / 9).cast("int")}
+    return p.unionByName(p.filter("k % 2 = 0").withColumns(swapped | reply))
 
 
 @query("agg15_flow_core", """WITH o AS (SELECT user_id, ts, event_id, value, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), s AS (SELECT *, sum(CASE WHEN gap > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM o)
