@@ -17,12 +17,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Scratch:
     """Tables written to the folder the cluster shares, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (tests on one machine) a temporary
-    folder stands in. Each instance owns a folder of its own; ``drop`` removes a table that is no longer read.
+    The folder is the session's spark.checkpoint.dir; where that is unset on one machine (a local master) a temporary folder
+    stands in, on a cluster it is an error. Each instance owns a folder of its own; ``drop`` removes a table that is no longer
+    read, ``close`` all of them, once nothing reads what was made from them.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+            base = "file://" + tempfile.mkdtemp(prefix="spark-")
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame, name: str, partition: list[str] | None = None) -> str:
@@ -46,6 +51,9 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+    def close(self) -> None:
+        self.drop(self.root)
+
 
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else as it is."""

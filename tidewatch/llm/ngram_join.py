@@ -7,7 +7,8 @@ x - k + 1, so prefixes extend further into frequent tokens. Two sets similar eno
 
 The sets that share an entry with a set, of which it is the smallest, are its bucket. Within a bucket, parity sketches of the sets bound each pair's difference from below;
 the most promising pairs are verified on the texts; what links makes components, and only pairs between components are looked at again, until
-none is left unverified. No bucket's pairs are ever written out as rows before the sketches have passed them.
+none is left unverified. No bucket's pairs are ever written out as rows before the sketches have passed them, and a set that no sketch passes is not looked at
+again. Only the texts of sets in passed pairs leave their place.
 """
 
 from __future__ import annotations
@@ -32,10 +33,14 @@ COUNTED, OFTEN = 1 << 21, 4
 CLASSES, VERY_FREQUENT = 16, 0.02
 #: Sizes from which sets have more classes, and how many times as large the next size is.
 LARGE, LARGER = 128, 4
-#: Bits of a set's sketch.
-BITS = 2048
-#: Rows of a bucket that are compared in one task.
-BLOCK = 2048
+#: Bits of a set's sketch: the power of two that is no less than the set's size, between these.
+FEWEST_BITS, MOST_BITS = 64, 1 << 14
+#: Rows of a bucket's part; two parts are compared in one task.
+BLOCK = 1024
+#: Rows of groups whose pairs are compared together with other groups'; words of sketches compared at once.
+SMALL, WORDS = 64, 1 << 21
+#: Buckets of one component that are left out of a round, from this many members on.
+CLOSED = 64
 #: Shingles that a task verifying pairs remembers, about.
 VERIFIED = 1 << 21
 #: Pairs that a bucket offers for verification for each of its members, round by round; the last offers all.
@@ -69,16 +74,28 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A signed 64-bit id of the set."""
+def set_id(tokens: np.ndarray, moved: dict[tuple[int, int], int] | None = None) -> int:
+    """A signed 64-bit id of the set; ``moved`` gives those of sets whose first digest is another set's too."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens) & 0xFFFF)).astype(np.int64))
+    own = int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens) & 0xFFFF)).astype(np.int64))
+    return moved.get((own, set_check(tokens)), own) if moved else own
+
+
+def set_check(tokens: np.ndarray) -> int:
+    """A second digest: sets are the same if both agree."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), seed=7)).astype(np.int64))
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the set's tokens by hash. Two sketches differ in at most as many bits as the sets differ in tokens."""
-    odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Parities of the set's tokens by hash. Two sketches of one width differ in at most as many bits as the sets in tokens.
+
+    A sketch folds to half its width by xor of its halves, so sets of sizes up to twice each other can be compared.
+    """
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -164,39 +181,40 @@ def entries(tokens: np.ndarray, counts: np.ndarray, very: int, num: int, den: in
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """Two kinds of rows: (doc_id, n, cls, bits) of every document, and (tok, cnt) of tokens that a task meets often."""
+    """Two kinds of rows: (doc_id, n, cls, chk, bits) of every document, and (tok, cnt) of tokens that a task meets often."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["doc_id", "n", "cls", "bits", "tok", "cnt"], [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
+        names, kinds = ["doc_id", "n", "cls", "chk", "bits", "tok", "cnt"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
         held: list[np.ndarray] = []
         size = 0
 
         def often() -> Iterator[pa.RecordBatch]:
             tok, cnt = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
             tok, cnt = tok[cnt >= OFTEN].view(np.int64), cnt[cnt >= OFTEN]
-            none = [pa.nulls(len(tok), kind) for kind in kinds[:4]]
+            none = [pa.nulls(len(tok), kind) for kind in kinds[:5]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(tok), pa.array(cnt, pa.int32())], names=names)
 
         for batch in batches:
-            n, cls, bits = [], [], []
+            n, cls, chk, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle_hashes(text, k)
                 n.append(len(tokens))
                 cls.append(set_id(tokens) if len(tokens) else None)
+                chk.append(set_check(tokens) if len(tokens) else None)
                 bits.append(sketch(tokens) if len(tokens) else None)
                 held.append(tokens)
                 size += len(tokens)
                 if size >= COUNTED:
                     yield from often()
                     held, size = [], 0
-            columns = [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(n), kind) for kind in kinds[4:]]], names=names)
+            columns = [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(n), kind) for kind in kinds[5:]]], names=names)
         yield from often()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n int, cls long, bits binary, tok long, cnt int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n int, cls long, chk long, bits binary, tok long, cnt int")
 
 
-def _index(docs: DataFrame, frequent, k: int, num: int, den: int) -> DataFrame:
+def _index(docs: DataFrame, frequent, moved: dict, k: int, num: int, den: int) -> DataFrame:
     """(sig, cls): the index entries of every document's set, once a set and task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +226,7 @@ def _index(docs: DataFrame, frequent, k: int, num: int, den: int) -> DataFrame:
             sig, cls = [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle_hashes(text, k)
-                if not len(tokens) or (own := set_id(tokens)) in done:
+                if not len(tokens) or (own := set_id(tokens, moved)) in done:
                     continue
                 if len(done) < 1_000_000:
                     done.add(own)
@@ -250,39 +268,104 @@ def _shared(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(work, "lo long, cls long").distinct()
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, moved: dict, k: int) -> DataFrame:
     """(cls, text) of the ``wanted`` (cls, rep); other documents' texts aren't shuffled."""
-    read = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = [set_id(shingle_hashes(text, k), moved) for text in batch.column("text").to_pylist()]
+            yield batch.append_column("cls", pa.array(cls, pa.int64()))
+
+    read = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep is not null and text is not null")
     likely, _ = split_by_ids(read, wanted.select("rep"), "rep")
-    return likely.join(wanted, "rep").select("cls", "text").dropDuplicates(["cls"])
+    return likely.mapInArrow(work, "rep long, text string, cls long").join(wanted, ["rep", "cls"]).select("cls", "text").dropDuplicates(["cls"])
+
+
+def _small_pairs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within the small groups."""
+    sizes = ends - starts
+    keep = (sizes > 1) & (sizes <= SMALL)
+    places = np.concatenate([np.arange(a, b) for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)] or [np.empty(0, np.int64)])
+    stop = np.repeat(ends[keep], sizes[keep])
+    found = []
+    for apart in range(1, int(sizes[keep].max(initial=1))):
+        fine = places + apart < stop
+        places, stop = places[fine], stop[fine]
+        found.append((places, places + apart))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+class _Sketches:
+    """Sketches of rows that are sorted by nothing in particular, compared for given pairs of rows."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.words = np.array([len(b) // 8 for b in bits], np.int64)
+        self.at = np.cumsum(self.words) - self.words
+        self.flat = np.frombuffer(b"".join(bits), np.uint64)
+
+    def _rows(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """The rows' sketches, of one width, folded to ``words`` where they are twice as wide."""
+        wide = self.words[rows[0]] > words
+        found = self.flat[self.at[rows][:, None] + np.arange(words)]
+        return found ^ self.flat[self.at[rows][:, None] + np.arange(words, 2 * words)] if wide else found
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of every pair differ, at the narrower one's width."""
+        out = np.empty(len(i), np.int64)
+        narrow = np.minimum(self.words[i], self.words[j])
+        kind = narrow * 4 + 2 * (self.words[i] > narrow) + (self.words[j] > narrow)
+        for one in np.unique(kind).tolist():
+            of = np.flatnonzero(kind == one)
+            for begin in range(0, len(of), max(1, WORDS // (one // 4))):
+                part = of[begin : begin + max(1, WORDS // (one // 4))]
+                out[part] = np.bitwise_count(self._rows(i[part], one // 4) ^ self._rows(j[part], one // 4)).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFrame:
     """(a, b): pairs of sets in a bucket, in different components, that the sketches don't rule out and that didn't fail."""
 
-    def offers(group: pa.Table) -> pa.Table | None:
-        cls, n, comp = (group.column(c).to_numpy() for c in ("cls", "n", "comp"))
-        left, right = group.column("left").to_numpy(zero_copy_only=False), group.column("right").to_numpy(zero_copy_only=False)
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
-        failed = {(c, f) for c, many in zip(cls.tolist(), group.column("failed").to_pylist(), strict=True) for f in many or ()}
+    def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pairs whose sizes allow a link, of different components, and of the two parts if those differ."""
+        few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        return (few * den >= many * num) & (comp[i] != comp[j]) & (left[i] & right[j] | right[i] & left[j])
+
+    def offers(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
+        cls, n, comp = (table.column(c).to_numpy() for c in ("cls", "n", "comp"))
+        n = n.astype(np.int64)
+        left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        sketches = _Sketches(table.column("bits").to_pylist())
+        starts, ends = cuts[:-1], cuts[1:]
         rows, cols, far = [], [], []
-        r, c = np.flatnonzero(left), np.flatnonzero(right)
-        for at in range(0, len(r), 32):
-            i = r[at : at + 32]
-            total = n[i][:, None].astype(np.int64) + n[c][None, :]
-            close = np.minimum(n[i][:, None], n[c][None, :]).astype(np.int64) * den >= np.maximum(n[i][:, None], n[c][None, :]).astype(np.int64) * num
-            close &= (comp[i][:, None] != comp[c][None, :]) & (cls[i][:, None] != cls[c][None, :])
-            if not close.any():
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            fine = near(i, j, n, comp, left, right)
+            i, j = i[fine], j[fine]
+            if not len(i):
+                return
+            apart, total = sketches.apart(i, j), n[i] + n[j]
+            fine = apart * (den + num) <= (den - num) * total
+            rows.append(i[fine]), cols.append(j[fine]), far.append(apart[fine] / total[fine])
+
+        take(*_small_pairs(starts, ends))
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a <= SMALL or (comp[a:b] == comp[a]).all():
                 continue
-            apart = np.bitwise_count(bits[i][:, None, :] ^ bits[c][None, :, :]).sum(axis=2, dtype=np.int64)
-            x, y = np.nonzero(close & (apart * (den + num) <= (den - num) * total))
-            rows.append(i[x]), cols.append(c[y]), far.append(apart[x, y] / total[x, y])
+            by = a + np.argsort(n[a:b], kind="stable")
+            sizes = n[by]
+            for at in range(0, b - a, SMALL):  # by size, so that only a stretch of the group can link
+                own = by[at : at + SMALL]
+                stretch = by[at : int(np.searchsorted(sizes, sizes[at + len(own) - 1] * den // num, "right"))]
+                x, y = np.meshgrid(np.arange(len(own)), np.arange(len(stretch)), indexing="ij")
+                later = x < y
+                take(own[x[later]], stretch[y[later]])
         if not rows:
             return None
         rows, cols, far = np.concatenate(rows), np.concatenate(cols), np.concatenate(far)
         a, b = np.minimum(cls[rows], cls[cols]), np.maximum(cls[rows], cls[cols])
+        failed = {(c, f) for c, many in zip(cls.tolist(), table.column("failed").to_pylist(), strict=True) for f in many or ()}
         if failed:
-            fine = np.fromiter(((x, y) not in failed and (y, x) not in failed for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+            fine = np.fromiter(((x, y) not in failed for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
             rows, cols, far, a, b = rows[fine], cols[fine], far[fine], a[fine], b[fine]
         if offer is not None and len(a):  # the nearest of each member
             keep = np.zeros(len(a), bool)
@@ -296,23 +379,24 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last group so far, which the next batch may go on with
 
-        def flush(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
+        def flush(table: pa.Table, last: bool) -> tuple[pa.Table | None, pa.Table | None]:
             keys = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("lo", "bi", "bj")])
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            table = table.combine_chunks()
-            found = [offers(table.slice(x, y - x)) for x, y in zip(cuts, cuts[1:] if last else cuts[1:-1], strict=False) if y - x > 1]
-            return [f for f in found if f is not None and len(f)], None if last else table.slice(cuts[-2])
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
+            whole = table if last else table.slice(0, cuts[-2])
+            found = offers(whole.combine_chunks(), cuts if last else cuts[:-1]) if len(whole) else None
+            return found, None if last else table.slice(cuts[-2])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not len(table):
                 continue
-            ready, held = flush(table if held is None else pa.concat_tables([held, table]), False)
-            yield from (r for t in ready for r in t.to_batches())
-        if held is not None:
-            yield from (r for t in flush(held, True)[0] for r in t.to_batches())
+            found, held = flush(table if held is None else pa.concat_tables([held, table]), False)
+            if found is not None:
+                yield from found.to_batches()
+        if held is not None and (found := flush(held, True)[0]) is not None:
+            yield from found.to_batches()
 
-    # groups of two blocks at most, several to a task: one call each would cost more than the work
+    # groups of two parts at most, several to a task: one call each would cost more than the work
     keys = ("lo", "bi", "bj")
     return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long").distinct()
 
@@ -340,6 +424,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     return sides.select("a", "b", "x", "y").mapInArrow(work, "a long, b long, links boolean")
 
 
+def _moved(sets: DataFrame) -> dict[tuple[int, int], int]:
+    """New ids for sets that share their first digest with another: {(digest, second digest): id}.
+
+    Of n sets about n * n / 2**65 pairs do, a handful at 10**10, so the table is small.
+    """
+    known = sets.filter("cls is not null")
+    clash = known.groupBy("cls").agg(F.min("chk").alias("least"), F.max("chk").alias("most")).filter("least <> most").select("cls", "least")
+    if clash.isEmpty():
+        return {}
+    rows = known.join(clash, "cls").filter("chk <> least").select("cls", "chk", F.xxhash64("cls", "chk").alias("id")).distinct().limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("too many sets share a digest")
+    return {(r.cls, r.chk): r.id for r in rows}
+
+
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: ``k``-word shingles, links at Jaccard similarity num / den or more.
 
@@ -352,7 +451,12 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scrat
         raise ValueError("k must be positive and the similarity between a half and one")
     spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "ngrams")
     described = scratch.save(_describe(docs, k), "sets")
-    sets = described.filter("n is not null").select("doc_id", "n", "cls", "bits")
+    sets = described.filter("n is not null").select("doc_id", "n", "cls", "chk", "bits")
+    moved = _moved(sets)
+    if moved:
+        # as few rows as there are pairs of sets with one 64-bit digest
+        other = spark.createDataFrame([(c, x, to) for (c, x), to in moved.items()], "cls long, chk long, _to long")
+        sets = sets.join(F.broadcast(other), ["cls", "chk"], "left").withColumn("cls", F.coalesce("_to", "cls")).drop("_to")
     total = sets.count()
     # FREQUENT rows at most, whatever the corpus
     common = described.filter("tok is not null").groupBy("tok").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "tok").limit(FREQUENT).toArrow()
@@ -360,32 +464,39 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scrat
     order = np.argsort(tok)
     frequent = spark.sparkContext.broadcast((tok[order], cnt[order], max(1000, int(VERY_FREQUENT * total))))
 
-    shared = scratch.save(_shared(_index(docs, frequent, k, num, den)), "shared")
-    sizes = shared.groupBy("lo").agg((F.count(F.lit(1)) + 1).alias("m"))
-    members = shared.join(sizes, "lo").unionByName(sizes.withColumn("cls", F.col("lo"))).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    members = scratch.save(members.select("lo", "cls", "blocks", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("blk")), "buckets")
+    shared = scratch.save(_shared(_index(docs, frequent, moved, k, num, den)), "shared")
+    sizes = scratch.save(shared.groupBy("lo").agg((F.count(F.lit(1)) + 1).alias("m")), "sizes")
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    others = shared.join(sizes.filter(F.col("m") > BLOCK), "lo", "left").select("lo", "cls", F.coalesce(parts, F.lit(1)).alias("blocks"))
+    members = others.unionByName(sizes.select("lo", F.col("lo").alias("cls"), parts.alias("blocks")))
+    members = members.withColumn("blk", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     classes = sets.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    inside = scratch.save(classes.join(members.select("cls").distinct(), "cls"), "inside")
-    texts = scratch.save(_texts(docs, inside.select("cls", "rep")), "texts")
+    classes = scratch.save(classes, "classes")
 
     links = spark.createDataFrame([], "a long, b long, links boolean")
     comps = None
     for offer in OFFERS:
-        rows = members if comps is None else members.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-        rows = rows.withColumn("comp", F.col("cls") if comps is None else F.coalesce("component", "cls")).select(*members.columns, "comp")
-        failed = links.filter("not links").groupBy("a").agg(F.collect_list("b").alias("failed"))
         if comps is None:
-            rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
+            rows = members.withColumn("comp", F.col("cls")).withColumn("failed", F.lit(None).cast("array<long>"))
         else:
-            open_ = rows.groupBy("lo").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("lo")
-            rows = rows.join(open_, "lo").join(failed.withColumnRenamed("a", "cls"), "cls", "left")
-        rows = rows.join(inside.select("cls", "n", "bits"), "cls")
-        # a large bucket is compared block by block: a row goes to the pairs of blocks that its own is one of
+            rows = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+            closed = rows.groupBy("lo").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("m")).filter((F.col("a") == F.col("b")) & (F.col("m") >= CLOSED))
+            rows = rows.join(scratch.save(closed.select("lo"), "closed"), "lo", "left_anti")
+            failed = links.filter("not links").groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("failed"))
+            rows = rows.join(failed, "cls", "left")
+        rows = rows.join(classes.select("cls", "n", "bits"), "cls")
+        # a large bucket is compared part by part: a row goes to the pairs of parts that its own is one of
         pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj")))
         rows = rows.withColumn("p", F.explode(pairs_of)).select("lo", "cls", "n", "bits", "comp", "failed", "p.bi", "p.bj", (F.col("blk") == F.col("p.bi")).alias("left"), (F.col("blk") == F.col("p.bj")).alias("right"))
         pairs = scratch.save(_offers(rows, num, den, offer), "offers")
         if pairs.isEmpty():
             break
+        live = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        wanted = scratch.save(classes.join(live, "cls").select("cls", "rep"), "wanted")
+        if comps is None:
+            # what no sketch passes now, none passes later
+            members = scratch.save(members.join(wanted.select("cls"), "cls"), "members")
+        texts = scratch.save(_texts(docs, wanted, moved, k), "texts")
         links = scratch.save(links.unionByName(_verify(pairs, texts, k, num, den)), "links")
         comps = scratch.save(components(links.filter("links").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "components")
     # from sets to documents: a component's id is its smallest document
@@ -393,7 +504,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scrat
     if comps is not None:
         reps = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         least = reps.groupBy("component").agg(F.min("rep").alias("least"))
-        reps = reps.join(least, "component").select("cls", F.col("least").alias("rep"))
+        reps = scratch.save(reps.join(least, "component").select("cls", F.col("least").alias("rep")), "reps")
     found = sets.filter("doc_id is not null").join(reps, "cls", "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id")).unionByName(
         sets.filter("doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
