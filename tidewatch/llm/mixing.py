@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, union_all
 
 #: Documents that one task rounds together, about; residuals that one task combines, at most.
-GROUP_ROWS, FAN_IN = 50_000, 4_096
+GROUP_ROWS, FAN_IN = 4_096, 4_096
 CAP = 3.0
 #: Weights by a source's place in code point order, null last; they repeat.
 WEIGHTS = (1, 2, 3)
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, g
     are ignored. Only ids, sources and sizes are shuffled; coins come from the keys of a group, so reruns agree.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
-    sizes = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size")), "sizes")
+    sizes = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key")), "sizes")
     goal = scratch.save(targets(sizes, weights, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a table with a row for each source is joined by its key, not broadcast: nothing bounds the number of sources
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, g
         "target",
         F.when(F.col("size") > 0, F.floor(rate + F.lit(WHOLE))).otherwise(0).cast("int").alias("whole"),
         F.when(F.col("size") > 0, rate - F.floor(rate + F.lit(WHOLE))).otherwise(0.0).alias("part"),
-        F.xxhash64("doc_id", "size").alias("key"),
+        "key",
         F.xxhash64("source").alias("src"),
         F.ceil(F.col("n_docs") / group_rows).cast("long").alias("groups"),
     )
@@ -157,14 +157,16 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it.
 
     Rows that share a doc_id get their copies one by one, in no particular order; rows with a null doc_id or without words
-    are not taken.
+    are not taken. Columns may have any name.
     """
-    from_mix = mix(docs, **options).filter("copies > 0 and doc_id is not null").groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    sized = docs.withColumn("_size", count_words(F.col("text"))).withColumnRenamed("doc_id", "_id")
-    joined = sized.join(from_mix, (F.col("_id") == F.col("doc_id")) & (F.col("_size") == F.col("size"))).drop("doc_id", "size")
+    of = F.col("size").alias("words")
+    taken = mix(docs, **options).filter("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("of"), of).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    # the rows' own columns lie in a struct, so that no name of theirs meets one of ours
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), count_words(F.col("text")).alias("size"))
+    joined = sized.join(taken, (F.col("id") == F.col("of")) & (F.col("size") == F.col("words")))
     # rows repeated under one doc_id share its copies evenly, the remainder with the first
-    once = joined.filter("_rows = 1").withColumn("_n", F.col("_copies"))
-    more = joined.filter("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy("_id")))
-    more = more.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("int")).drop("_nth")
-    every = once.unionByName(more).filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return every.withColumnRenamed("_id", "doc_id").select(docs.columns)
+    once = joined.filter("rows = 1").withColumn("n", F.col("copies"))
+    more = joined.filter("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy("id", "size").orderBy("id")))
+    more = more.withColumn("n", F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") <= F.col("copies") % F.col("rows")).cast("int")).drop("nth")
+    every = once.unionByName(more).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return every.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
