@@ -21,8 +21,10 @@ from .common import with_ids
 
 TYPES = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Encoded pieces that a worker remembers; pieces that one recursive query encodes; bytes above which a piece is long.
-REMEMBERED, PIECES, LONG = 400_000, 20_000, 64
+#: Encoded pieces that a worker remembers, and their bytes; pieces that one recursive query encodes; bytes above which a piece is long.
+REMEMBERED, REMEMBERED_BYTES, PIECES, LONG = 400_000, 1 << 25, 20_000, 64
+#: Rows that one recursive query over a long piece keeps, about.
+KEPT = 1 << 21
 #: Characters of the texts that are handled together; ids that one query decodes. Both bound memory.
 CHARACTERS, IDS = 1 << 21, 1 << 19
 MEMORY = "256MB"
@@ -30,7 +32,7 @@ MEMORY = "256MB"
 # Rows are keyed by a byte address g; pieces are a byte apart, so that a row's right neighbour stands at g + len.
 _SHORT = """
 WITH RECURSIVE t(w, g, len, tok, depth) AS (
-  SELECT w, g, 1, tok, 0 FROM start
+  SELECT w, g, len, tok, 0 FROM start
   UNION ALL
   SELECT t.w, t.g, CASE WHEN t.g = b.cut THEN b.len ELSE t.len END, CASE WHEN t.g = b.cut THEN b.tok ELSE t.tok END, t.depth + 1
   FROM t JOIN (
@@ -43,26 +45,30 @@ SELECT t.w AS w, t.tok AS tok FROM t JOIN (SELECT w, max(depth) AS depth FROM t
 ORDER BY t.g
 """
 
-# One round for long pieces: all pairs of least rank, in runs of overlapping ones every other from the left. One by one from
-# the left is the rule, and a contraction may give a pair of still lower rank with the token on its left (as it is by then)
-# or right (as it still is); the round ends with the first such.
-_ROUND = """
-CREATE OR REPLACE TEMP TABLE nxt AS
-WITH p AS (SELECT x.w, x.g, y.g AS gone, x.len + y.len AS len, m.tok
-           FROM cur x JOIN cur y ON x.g + x.len = y.g JOIN merges m ON m.pair = CAST(x.tok AS BIGINT) * 4294967296 + y.tok),
-     b AS (SELECT w, min(tok) AS tok FROM p GROUP BY w),
-     c AS (SELECT p.*, lag(gone) OVER (PARTITION BY p.w ORDER BY g) AS before, row_number() OVER (PARTITION BY p.w ORDER BY g) AS nth
-           FROM p JOIN b ON p.w = b.w AND p.tok = b.tok),
-     r AS (SELECT c.*, max(CASE WHEN before IS NULL OR before <> g THEN nth END) OVER (PARTITION BY w ORDER BY g) AS head FROM c),
-     e AS (SELECT w, g, gone, len, tok, lag(g + len) OVER (PARTITION BY w ORDER BY g) AS touch FROM r WHERE (nth - head) % 2 = 0),
-     v AS (SELECT e.*, (ml.tok < e.tok) IS TRUE OR (mr.tok < e.tok) IS TRUE AS stops
-           FROM e LEFT JOIN cur u ON u.g + u.len = e.g LEFT JOIN cur z ON z.g = e.g + e.len
-           LEFT JOIN merges ml ON ml.pair = CAST(CASE WHEN touch = e.g THEN e.tok ELSE u.tok END AS BIGINT) * 4294967296 + e.tok
-           LEFT JOIN merges mr ON mr.pair = CAST(e.tok AS BIGINT) * 4294967296 + z.tok),
-     k AS (SELECT v.g, v.gone, v.len, v.tok FROM v LEFT JOIN (SELECT w, min(g) AS g FROM v WHERE stops GROUP BY w) f ON v.w = f.w
-           WHERE f.g IS NULL OR v.g <= f.g)
-SELECT cur.w, cur.g, coalesce(k.len, cur.len) AS len, coalesce(k.tok, cur.tok) AS tok
-FROM cur LEFT JOIN k ON cur.g = k.g LEFT JOIN k d ON cur.g = d.gone WHERE d.gone IS NULL
+# For long pieces a step of the recursion contracts more: all pairs of least rank, in runs of overlapping ones every other from
+# the left. One by one from the left is the rule, and a contraction may give a pair of still lower rank with the token on its left
+# (as it is by then) or right (as it still is); the step ends with the first such. ``deep`` steps are made at a time, as every
+# step's rows are kept until the query ends.
+_LONG = """
+WITH RECURSIVE t(w, g, len, tok, depth) AS (
+  SELECT w, g, len, tok, 0 FROM start
+  UNION ALL
+  (WITH p AS (SELECT x.w, x.g, y.g AS gone, x.len + y.len AS len, m.tok
+              FROM t x JOIN t y ON x.g + x.len = y.g JOIN merges m ON m.pair = CAST(x.tok AS BIGINT) * 4294967296 + y.tok),
+        b AS (SELECT w, min(tok) AS tok FROM p GROUP BY w),
+        c AS (SELECT p.*, lag(gone) OVER (PARTITION BY p.w ORDER BY g) AS before, row_number() OVER (PARTITION BY p.w ORDER BY g) AS nth
+              FROM p JOIN b ON p.w = b.w AND p.tok = b.tok),
+        r AS (SELECT c.*, max(CASE WHEN before IS NULL OR before <> g THEN nth END) OVER (PARTITION BY w ORDER BY g) AS head FROM c),
+        e AS (SELECT w, g, gone, len, tok, lag(g + len) OVER (PARTITION BY w ORDER BY g) AS touch FROM r WHERE (nth - head) % 2 = 0),
+        v AS (SELECT e.*, (ml.tok < e.tok) IS TRUE OR (mr.tok < e.tok) IS TRUE AS stops
+              FROM e LEFT JOIN t u ON u.g + u.len = e.g LEFT JOIN t z ON z.g = e.g + e.len
+              LEFT JOIN merges ml ON ml.pair = CAST(CASE WHEN touch = e.g THEN e.tok ELSE u.tok END AS BIGINT) * 4294967296 + e.tok
+              LEFT JOIN merges mr ON mr.pair = CAST(e.tok AS BIGINT) * 4294967296 + z.tok),
+        k AS (SELECT v.g, v.gone, v.len, v.tok FROM v LEFT JOIN (SELECT w, min(g) AS g FROM v WHERE stops GROUP BY w) f ON v.w = f.w
+              WHERE f.g IS NULL OR v.g <= f.g)
+   SELECT t.w, t.g, coalesce(k.len, t.len), coalesce(k.tok, t.tok), t.depth + 1
+   FROM t JOIN b ON t.w = b.w LEFT JOIN k ON t.g = k.g LEFT JOIN k d ON t.g = d.gone WHERE d.gone IS NULL AND t.depth < {deep}))
+SELECT w, g, len, tok, depth FROM t WHERE depth = (SELECT max(depth) FROM t) ORDER BY g
 """
 
 _DECODE = "SELECT i.d AS d, string_agg(v.hex, '' ORDER BY i.at) AS hex FROM ids i JOIN vocabulary v ON v.tok = i.tok GROUP BY i.d"
@@ -89,8 +95,10 @@ class Coder:
         left, right, rank = merges.T
         self.pattern, self.ranks, self.pieces = regex.compile(pattern), ranks, {}
         self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.held = 0
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
+        self.db.execute("SET temp_directory = ''")  # the queries' sizes are bounded, so nothing is spilled
         self.db.execute(f"SET memory_limit = '{MEMORY}'")
         self._table("loaded", pair=left * 2**32 + right, tok=rank.astype(np.int32))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM loaded")
@@ -123,41 +131,41 @@ class Coder:
             self._contract(short[at : at + PIECES], self._recursive)
         for x in rest:
             if len(x[1]) > LONG:
-                self._contract([x], self._rounds)
+                self._contract([x], self._recursive_long)
 
     def _contract(self, words: list[tuple[str, bytes]], how) -> None:
         lengths = np.array([len(word) for _, word in words])
         w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         tokens = self.bytes[np.frombuffer(b"".join(word for _, word in words), np.uint8)]
-        self._table("start", w=w, g=np.arange(len(w), dtype=np.int32) + w, tok=tokens)
+        self._table("start", w=w, g=np.arange(len(w), dtype=np.int32) + w, len=np.ones(len(w), np.int32), tok=tokens)
         found = how()
         ids, sizes = np.asarray(found["tok"]).astype("<u4"), np.bincount(np.asarray(found["w"]), minlength=len(words))
         ends = np.cumsum(sizes)
         joined = ids.tobytes()
-        for (piece, _), end, size in zip(words, ends.tolist(), sizes.tolist(), strict=True):
+        for (piece, word), end, size in zip(words, ends.tolist(), sizes.tolist(), strict=True):
             self.pieces[piece] = joined[4 * (end - size) : 4 * end]
+            self.held += 5 * len(word)
 
     def _recursive(self) -> dict:
         return self.db.execute(_SHORT).fetchnumpy()
 
-    def _rounds(self) -> dict:
-        self.db.execute("CREATE OR REPLACE TEMP TABLE cur AS SELECT w, g, 1 AS len, tok FROM start")
-        size = self.db.execute("SELECT count(*) FROM cur").fetchone()[0]
+    def _recursive_long(self) -> dict:
+        """The recursion over one long piece, some steps at a time, until a query makes fewer steps than it may."""
+        n = self.db.execute("SELECT count(*) FROM start").fetchone()[0]
         while True:
-            self.db.execute(_ROUND)
-            self.db.execute("DROP TABLE cur")
-            self.db.execute("ALTER TABLE nxt RENAME TO cur")
-            now = self.db.execute("SELECT count(*) FROM cur").fetchone()[0]
-            if now == size:
-                return self.db.execute("SELECT w, tok FROM cur ORDER BY g").fetchnumpy()
-            size = now
+            deep = max(8, KEPT // max(1, n))
+            found = self.db.execute(_LONG.format(deep=deep)).fetchnumpy()
+            n = len(found["w"])
+            if found["depth"][0] < deep:
+                return found
+            self._table("start", **{c: np.asarray(found[c]) for c in ("w", "g", "len", "tok")})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(text) for text in texts]
         wanted = {piece for pieces in split for piece in pieces}
-        if len(self.pieces) + len(wanted) > REMEMBERED:
-            self.pieces = {}
+        if len(self.pieces) + len(wanted) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.pieces, self.held = {}, 0
         self._learn([piece for piece in wanted if piece not in self.pieces])
         return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
 
