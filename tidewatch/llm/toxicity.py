@@ -201,21 +201,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
                 words = tokens(text)
                 scores = cast.value.token_scores(words)
                 bins = np.bincount(np.clip(np.rint((scores - BINS[0]) * 4), 0, len(BINS) - 1).astype(int), minlength=len(BINS))
-                rows.append((len(words), [s for *_, s in maximal_segments(scores)], bins))
-            out = with_ids(batch, rows, {"n": pa.int64(), "segments": pa.list_(pa.float64()), "bins": pa.list_(pa.int64())})
-            yield out.append_column("toxic", batch.column("toxic"))
-
-    # at most a quarter of fit_rows, numbers only
-    held = chosen.filter("calibrates").select("doc_id", "text", "toxic").mapInArrow(measure, "doc_id long, n long, segments array<double>, bins array<long>, toxic int")
-    held = held.orderBy("doc_id").collect()
-    benign = [r for r in held if not r.toxic and r.n]
-    if not benign or len(benign) == len(held):
+                rows.append((len(words), max((s for *_, s in maximal_segments(scores)), default=0.0), bins))
+            yield with_ids(batch, rows, {"n": pa.int64(), "best": pa.float64(), "bins": pa.list_(pa.int64())})
+
+    # at most a quarter of fit_rows, a row of fixed length each
+    benign = chosen.filter("calibrates and toxic = 0").select("doc_id", "text").mapInArrow(measure, "doc_id long, n long, best double, bins array<long>").filter("n > 0").orderBy("doc_id").collect()
+    if not benign:
         return model
-    model.rate, model.scale = gumbel(
-        np.sum([r.bins for r in benign], axis=0), np.array([max(r.segments, default=0.0) for r in benign]), np.array([r.n for r in benign], float)
-    )
-    found = [[(0, 0, e) for s in r.segments if (e := model.evalue(s, r.n)) <= COUNTS] for r in held]
-    model.weights = tuple(logistic(np.array([model.summary(x) for x in found]), np.array([float(r.toxic > 0) for r in held])).tolist())
+    model.rate, model.scale = gumbel(np.sum([r.bins for r in benign], axis=0), np.array([r.best for r in benign]), np.array([r.n for r in benign], float))
+    model.known = {}
+    cast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [cast.value.summary(cast.value.passages(tokens(text))) for text in batch.column("text").to_pylist()]
+            yield with_ids(batch, rows, {"best": pa.float64(), "total": pa.float64()}).append_column("toxic", batch.column("toxic"))
+
+    # three numbers a row
+    held = chosen.filter("calibrates").select("doc_id", "text", "toxic").mapInArrow(summarise, "doc_id long, best double, total double, toxic int").orderBy("doc_id", "best", "total").collect()
+    if any(r.toxic for r in held):
+        model.weights = tuple(logistic(np.array([(r.best, r.total) for r in held]), np.array([float(r.toxic > 0) for r in held])).tolist())
     model.known = {}
     return model
 
@@ -241,6 +246,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` without the rows that the model rejects: one map over the rows, no join.
+
+    Rows are judged by their own texts, so different texts under one doc_id (or none) stay or go each by itself. Columns
+    may have any name and are carried along.
+    """
+    cast = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [cast.value.probability(cast.value.passages(tokens(text or ""))) < THRESHOLD for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages of every document, by a model fitted on its labelled rows."""
     scored = score(docs, fit(docs, labels, fit_rows))
