@@ -19,8 +19,10 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, fold_id, with_ids
 
-#: Labelled documents of a language that the machines are fitted on, at most.
-FIT_ROWS = 400
+#: Labelled documents that the machines are fitted on: of a language, and of all, at most.
+FIT_ROWS, FIT_TOTAL = 400, 20_000
+#: How many times as many candidates as needed a hash lets through, so that no task ranks a whole language.
+SPARE = 8
 DIMS = 4096
 REMEMBERED = 300_000
 UNKNOWN = "und"
@@ -127,21 +129,20 @@ class Model:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, scratch: Scratch | None = None) -> Model:
-    """Fit on documents with a lang whose fold_id(doc_id, 4) is not 2, at most ``fit_rows`` a language, by a hash of the id.
+    """Fit on documents with a lang whose fold_id(doc_id, 4) is not 2, chosen by a hash of the id.
 
-    Null texts, langs and ids and texts without a letter are left out.
+    At most ``fit_rows`` a language and FIT_TOTAL in all, evenly; with more languages than that, those that come first by a
+    hash of their name. Null texts, langs and ids and texts without a letter are left out.
     """
     scratch = scratch or Scratch(docs.sparkSession, "langid")
+    able = docs.filter("doc_id is not null and lang is not null and text is not null").filter(fold_id(F.col("doc_id"), 4) != 2).select("doc_id", "lang")
+    # a row a language, FIT_TOTAL at most
+    per = scratch.save(able.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.xxhash64("lang"), "lang").limit(FIT_TOTAL), "langs")
+    most = max(1, min(fit_rows, FIT_TOTAL // max(1, per.count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.filter("doc_id is not null and lang is not null and text is not null")
-        .filter(fold_id(F.col("doc_id"), 4) != 2)
-        .select("doc_id", "lang")
-        .withColumn("nth", F.row_number().over(order))
-        .filter(F.col("nth") <= fit_rows)
-        .drop("nth")
-    )
-    # fit_rows ids a language
+    few = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("rows") < SPARE * most * (1 << 20)
+    chosen = able.join(F.broadcast(per), "lang").filter(few).select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).drop("nth")
+    # FIT_TOTAL ids
     sample = F.broadcast(scratch.save(chosen, "sample"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
