@@ -46,9 +46,11 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     starts = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     order = np.sort(order[np.arange(len(order)) - starts <= k])
     ids, vectors = ids[order], vectors[order]
-    qc, qs, qe = quantise(queries)
-    xc, xs, xe = quantise(vectors)
-    q_norm, x_norm = np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1)
+    # by a power of two for each side, which changes no digit, so that huge components don't overflow
+    small_q, small_x = (np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) for x in (queries, vectors))
+    qc, qs, qe = quantise(small_q)
+    xc, xs, xe = quantise(small_x)
+    q_norm, x_norm = np.linalg.norm(small_q, axis=1), np.linalg.norm(small_x, axis=1)
     # products of 8-bit codes are whole numbers; float32 holds their sums exactly below 2**24, that is to 1,040 dimensions
     exact = np.float32 if queries.shape[1] <= 1040 else np.float64
     right, out = np.ascontiguousarray(xc.T.astype(exact)), []
@@ -86,7 +88,9 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = K, query_rows: i
     returned; a query without any has no row; an empty table gives none. Other columns are ignored. The search is exact.
     """
     whole = "size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    rows = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(whole)
+    # floats are widened in the tile, not before the exchange
+    numbers = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding")).filter(whole)
     n = rows.count()
     q_blocks, x_blocks = max(1, -(-n // (query_every * query_rows))), max(1, -(-n // candidate_rows))
     rows = rows.withColumn("dim", F.size("embedding")).withColumn("h", F.xxhash64("vec_id"))
