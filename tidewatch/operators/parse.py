@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip_label, first_match, ladder, url_decoded  # noqa: F401
-from ..sources.reference import APP_PORTS, DIRECT_LOG_TYPES, FACILITIES, LEVELS, LOG_PATTERNS, SYSLOG_KEYWORDS, WEB_LAST, WEB_SIGNATURES
+from ..sources.reference import APP_PORTS, DIRECT_LOG_TYPES, ENTITIES, FACILITIES, LEVELS, LOG_PATTERNS, SYSLOG_KEYWORDS, WEB_LAST, WEB_SIGNATURES
+
+# Edges of a packet token's bins.
+LENGTH_EDGES, GAP_EDGES, TTL_EDGES, PORT_EDGES = (64, 128, 256, 512, 1024, 1500), (0.001, 0.01, 0.1, 1.0, 10.0), (32, 64, 128, 255), (1024, 5000, 10000, 30000, 50000)
 
 FIELDS = ("ip", "user", "port", "method", "path", "status", "ua", "cmd", "service")
 
@@ -111,25 +116,111 @@ def http_request(payload: Column) -> Column:
     return F.struct(F.regexp_extract(lines[0], head, 1).alias("method"), F.regexp_extract(lines[0], head, 2).alias("uri"), headers.alias("headers"), F.coalesce(F.get(parts, 1), F.lit("")).alias("body"))
 
 
-def normalise(text: Column, rounds: int = 3) -> Column:
-    """``rounds`` passes of percent, \\u, \\x, numeric and named entities, and SQL comments."""
-    for _ in range(rounds):
-        text = url_decoded(text)
-        for pattern, base in ((r"\\u([0-9a-fA-F]{4})", 16), (r"\\x([0-9a-fA-F]{2})", 16), (r"&#x([0-9a-fA-F]+);", 16), (r"&#([0-9]+);", 10)):
-            text = _escapes(text, pattern, base)
-        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            text = F.replace(text, F.lit(name), F.lit(char))
-        text = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _replaced(text: Column, pattern: str, group: int, to) -> Column:
+    """Each match of the pattern replaced by ``to`` of its group."""
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    ends = F.concat(F.transform(found, to), F.array(F.lit("")))
+    return F.when(text.rlike(pattern), F.array_join(F.flatten(F.zip_with(pieces, ends, lambda p, e: F.array(p, e))), "")).otherwise(text)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point in hex digits; what is none becomes the replacement character."""
+    short = F.lpad(F.regexp_replace(code, "^0+(?=.)", ""), 8, "0")
+    fine = (F.length(F.regexp_replace(code, "^0+(?=.)", "")) <= 6) & (short <= "0010FFFF") & ~short.between("0000D800", "0000DFFF")
+    return F.when(fine, F.decode(F.unhex(F.when(fine, short).otherwise("0000FFFD")), "UTF-32")).otherwise("\ufffd")
+
+
+def _utf8(octets: Column) -> Column:
+    """Bytes as text; what isn't UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(octets.cast("string"))
+
+
+def _percent(text: Column) -> Column:
+    return _replaced(F.translate(text, "+", " "), "((?:%[0-9a-fA-F]{2})+)", 1, lambda m: _utf8(F.unhex(F.replace(m, F.lit("%"), F.lit("")))))
+
+
+def _utf7(text: Column) -> Column:
+    octets = lambda m: F.hex(F.try_to_binary(F.rpad(m, ((F.length(m) + 3) / 4).cast("int") * 4, "="), F.lit("base64")))
+    word = lambda m: F.array_join(F.transform(F.regexp_extract_all(octets(m), F.lit("([0-9A-F]{4})"), F.lit(1)), _character), "")
+    return _replaced(text, r"\+([A-Za-z0-9+/]+)-", 1, lambda m: F.coalesce(word(m), F.concat(F.lit("+"), m, F.lit("-"))))
+
+
+def _base64(text: Column) -> Column:
+    """Runs of the base64 alphabet, of a length divisible by four, whose text is printable for more than four fifths."""
+    plain = lambda m: _utf8(F.when(F.length(m) % 4 == 0, F.try_to_binary(m, F.lit("base64"))))
+    odd = lambda t: F.length(F.regexp_replace(t, r"[\x20-\x7e\n\r\t]", ""))
+    chosen = lambda m: _bound(plain(m), lambda t: F.when((F.length(t) > 0) & (odd(t) < 0.2 * F.length(t)), t).otherwise(m))
+    return _replaced(text, r"([A-Za-z0-9+/]{8,}={0,2})", 1, chosen)
+
+
+def _entities(text: Column) -> Column:
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
-def _escapes(text: Column, pattern: str, base: int) -> Column:
-    """Each match replaced by the character of its code; codes over 255 keep their low byte's place as ?."""
-    pieces = F.split(text, pattern, -1)
-    codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    number = lambda c: F.conv(c, base, 10).cast("int")
-    chars = F.transform(codes, lambda c: F.when(number(c) < 256, F.char(number(c))).otherwise("?"))
-    return F.array_join(F.flatten(F.zip_with(pieces, chars, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
+#: The kinds of encoding that a pass of ``normalise`` undoes, in order.
+DECODERS = (
+    _percent,
+    lambda t: _replaced(t, r"\\u([0-9a-fA-F]{4})", 1, lambda m: _character(F.upper(m))),
+    lambda t: _replaced(t, r"\\x([0-9a-fA-F]{2})", 1, lambda m: _character(F.upper(m))),
+    lambda t: _replaced(t, r"&#x([0-9a-fA-F]+);", 1, lambda m: _character(F.upper(m))),
+    lambda t: _replaced(t, r"&#(\d+);", 1, lambda m: _character(F.conv(m, 10, 16))),
+    _entities,
+    _utf7,
+    lambda t: F.regexp_replace(t, r"(?s)/\*.*?\*/", ""),
+    _base64,
+)
+#: A text without any of these is as it is.
+ENCODED = r"[%+\\&]|/\*|[A-Za-z0-9+/]{8}"
+
+
+def normalise(text: Column, rounds: int = 10, kinds: int = 5) -> Column:
+    """Passes over all kinds of encoding until nothing changes, ``rounds`` passes at most; none after ``kinds`` kinds were met.
+
+    The pass stands once in the expression and each of its steps names its input through a lambda variable, so the expression
+    doesn't grow with the passes. Null is empty.
+    """
+
+    def step(state: Column, place: int, decode) -> Column:
+        return _bound(state, lambda s: _bound(decode(s["text"]), lambda t: F.struct(t.alias("text"), F.when(t != s["text"], s["met"].bitwiseOR(1 << place)).otherwise(s["met"]).alias("met"))))
+
+    def one(state: Column) -> Column:
+        before = state
+        passed = F.struct(state["text"].alias("text"), state["met"].alias("met"))
+        for place, decode in enumerate(DECODERS):
+            passed = step(passed, place, decode)
+        after = lambda t: F.struct(t["text"].alias("text"), t["met"].alias("met"), ((t["text"] == before["text"]) | (F.bit_count(t["met"]) >= kinds)).alias("done"))
+        return F.when(state["done"], state).otherwise(_bound(passed, after))
+
+    text = F.coalesce(text, F.lit(""))
+    begun = F.struct(text.alias("text"), F.lit(0).alias("met"), (~text.rlike(ENCODED)).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begun, lambda s, _: one(s), lambda s: s["text"])
+
+
+def chunked_body(body: Column) -> Column:
+    """The chunks of a body joined, each cut to its size, up to the one of size 0; a body without chunks stays."""
+    pattern = r"(?s)([0-9a-fA-F]+)\r\n(.*?)\r\n"
+    sizes = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("int"))
+    data = F.regexp_extract_all(body, F.lit(pattern), F.lit(2))
+    upto = F.when(F.array_position(sizes, 0) > 0, F.array_position(sizes, 0) - 1).otherwise(F.size(sizes)).cast("int")
+    joined = F.array_join(F.slice(F.zip_with(data, sizes, lambda d, n: F.substring(d, F.lit(1), n)), 1, upto), "")
+    return F.when(joined != "", joined).otherwise(body)
+
+
+def multipart(content_type: Column, body: Column) -> Column:
+    """The contents of a multipart body's parts, as an array; the body itself where it has none."""
+    boundary = F.regexp_extract(content_type, r'(?i)boundary=(?:"([^"]+)"|([^\s;]+))', 1)
+    boundary = F.when(boundary == "", F.regexp_extract(content_type, r'(?i)boundary=(?:"([^"]+)"|([^\s;]+))', 2)).otherwise(boundary)
+    parts = F.split(body, F.concat(F.lit(r"\Q--"), boundary, F.lit(r"\E")), -1)
+    held = F.filter(parts, lambda p: p.contains("Content-Disposition") & (F.locate("\r\n\r\n", p) > 1))
+    texts = F.transform(held, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?s)^.*?\r\n\r\n", ""), r"^\s+|\s+$", ""))
+    return F.when((boundary != "") & (F.size(texts) > 0), texts).otherwise(F.array(body))
 
 
 def is_text(payload: Column) -> Column:
@@ -174,9 +265,14 @@ def explanation(attack_type: Column, ip: Column, n: Column, templates: dict[str,
     return text
 
 
-def packet_token(df: DataFrame) -> Column:
-    """A packet as binned values, joined: protocol, length, ttl, flags, ports, window."""
+def packet_token(iat: Column | None = None) -> Column:
+    """A packet as eleven binned values, joined: direction, payload length, gap, ttl, protocol, S, A, F, both ports, window.
+
+    A value's bin is the number of edges that it exceeds.
+    """
+    over = lambda value, edges: reduce(lambda a, e: a + F.when(value > e, 1).otherwise(0), edges, F.lit(0))
+    flag = lambda x: F.coalesce(F.col("flags").contains(x), F.lit(False)).cast("int")
     return F.concat_ws(
-        ".", "protocol", ladder(F.col("raw_len"), (64, 128, 256, 512, 1024, 1500)), ladder(F.col("ttl"), (32, 64, 128)), F.col("flags").contains("S").cast("int"), F.col("flags").contains("A").cast("int"),
-        F.col("flags").contains("F").cast("int"), ladder(F.col("dst_port"), (1024, 49152)), ladder(F.col("win"), (1024, 8192, 32768)),
+        ".", F.when(F.col("src_port") > 1024, 0).otherwise(1), over(F.col("payload_len"), LENGTH_EDGES), over(F.coalesce(iat, F.lit(0.0)) if iat is not None else F.lit(0.0), GAP_EDGES), over(F.col("ttl"), TTL_EDGES),
+        F.when(F.col("protocol") == "tcp", 0).otherwise(1), flag("S"), flag("A"), flag("F"), over(F.col("src_port"), PORT_EDGES), over(F.col("dst_port"), PORT_EDGES), F.least(F.floor(F.col("win") / 4096), F.lit(15)).cast("int"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What an attack of a severity adds to its source's threat score.
+# What an attack of a severity adds to its source's threat score; any other severity counts as medium.
 WEIGHTS = {"low": 1, "medium": 3, "high": 10, "critical": 25}
 
 
@@ -22,9 +22,9 @@ def attackers(attacks: DataFrame, prior: DataFrame | None = None, ip: str = "sou
 
 
 def weight(severity: Column) -> Column:
-    w = F.lit(0)
+    w = F.lit(WEIGHTS["medium"])
     for name, value in WEIGHTS.items():
-        w = F.when(severity == name, value).otherwise(w)
+        w = F.when(F.lower(severity) == name, value).otherwise(w)
     return w
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import entropy, url_decoded
-from ..sources.reference import SERVICES, WEB_SIGNATURES
+from ..sources.reference import SCRIPT_ENDINGS, SENSITIVE_PATHS, SERVICES, WEB_FOLDERS, WEB_SIGNATURES
+from .parse import chunked_body, multipart, normalise
 
 PATTERN = {name: pattern for name, pattern, _ in WEB_SIGNATURES}
 
@@ -88,49 +89,94 @@ def _traversal(c: Column) -> Column:
     return c.rlike(PATTERN["path_traversal"])
 
 
+def decoded_request(df: DataFrame) -> DataFrame:
+    """``df`` with what the web chain reads decoded once: uri, body, cookie, forwarded header, parts of a chunked body.
+
+    Columns that a table of requests lacks (body, content_type) count as empty.
+    """
+    for name in ("body", "content_type"):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(""))
+    parts = multipart(F.coalesce("content_type", F.lit("")), chunked_body(F.coalesce("body", F.lit(""))))
+    hidden = F.when(F.col("chunked") & (chunked_body(F.col("body")) != F.col("body")), F.array_join(F.transform(parts, lambda p: normalise(p)), "\n"))
+    return df.withColumns(
+        {"_uri": normalise(F.col("http_uri")), "_body": normalise(F.col("body")), "_cookie": normalise(F.col("cookie")), "_forwarded": normalise(F.col("forwarded")), "_hidden": hidden}
+    )
+
+
 def web_rules() -> list[Rule]:
-    """The ordered chain over requests: of several, the first counts."""
-    uri, agent = url_decoded(F.col("http_uri")), F.lower("user_agent")
-    names = F.transform(F.filter(F.split(F.regexp_replace("http_uri", r"^[^?]*\??", ""), "&"), lambda p: p != ""), lambda p: F.substring_index(p, "=", 1))
-    repeated = F.size(names) > F.size(F.array_distinct(names))
+    """The ordered chain over decoded requests: of several, the first counts; smuggling is tried last."""
+    uri, body, agent, cookie, forwarded = F.col("_uri"), F.col("_body"), F.lower("user_agent"), F.col("_cookie"), F.col("_forwarded")
+    query = F.regexp_extract("http_uri", r"(?s)^[^?]*\?(.*)$", 1)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(p.contains("="), F.regexp_replace(p, "(?s)^[^=]*=", "")).otherwise("").alias("v")))
     bad = lambda c: _sql(c) | _xss(c) | _cmd(c)
-    cookie, forwarded = url_decoded(F.col("cookie")), url_decoded(F.col("forwarded"))
+    repeated = F.filter(pairs, lambda p: F.size(F.filter(pairs, lambda q: q["k"] == p["k"])) > 1)
+    polluted = query.contains("&") & F.exists(repeated, lambda p: bad(normalise(url_decoded(p["v"]))))
     return [
-        Rule("http_smuggling_cl_te", "critical", (F.col("n_content_length") > 0) & F.col("chunked"), 0.9),
-        Rule("http_smuggling_dual_cl", "critical", F.col("n_content_length") > 1, 0.85),
-        Rule("sql_injection", "critical", _sql(uri), 0.9),
-        Rule("xss_attempt", "high", _xss(uri), 0.85),
-        Rule("command_injection", "critical", _cmd(uri), 0.9),
+        Rule("sql_injection", "critical", _sql(body) | _sql(uri), 0.9),
+        Rule("xss_attempt", "high", _xss(body) | _xss(uri), 0.85),
+        Rule("command_injection", "critical", _cmd(body) | _cmd(uri), 0.9),
         Rule("path_traversal", "high", _traversal(uri), 0.85),
         Rule("scanner_detected", "low", agent.rlike(PATTERN["scanner_signature"]) | uri.rlike(PATTERN["scanner_signature"]), 0.7),
-        Rule("http_parameter_pollution", "high", repeated & bad(uri), 0.8),
+        Rule("http_parameter_pollution", "high", polluted, 0.85),
         Rule("cookie_injection", "high", _sql(cookie) | _xss(cookie), 0.85),
         Rule("header_injection", "high", _sql(forwarded) | _xss(forwarded) | _traversal(forwarded), 0.8),
         Rule("websocket_upgrade", "low", F.lower("upgrade") == "websocket", 0.3),
+        Rule("bypass_encoding", "high", F.coalesce(bad(F.col("_hidden")), F.lit(False)), 0.85),
+        Rule("http_smuggling_cl_te", "critical", (F.col("n_content_length") > 0) & F.col("chunked"), 0.9),
+        Rule("http_smuggling_dual_cl", "critical", F.col("n_content_length") > 1, 0.85),
     ]
 
 
+def web_attacks(requests: DataFrame) -> DataFrame:
+    """The first rule of the web chain that holds, for each request with one."""
+    return detect_first(decoded_request(requests), web_rules())
+
+
 def host_rules() -> list[Rule]:
     """Exec, connect, open and kill events, each kind in order."""
     kind, name, args = F.col("event_kind"), F.lower("filename"), F.lower("args")
     shell = name.contains("/bin/sh") | name.contains("/bin/bash")
     some = lambda c, words: reduce(lambda a, w: a | c.contains(w), words, F.lit(False))
     run, link, read = kind == "exec", kind == "connect", kind == "open"
+    opened = [Rule(attack, severity, read & name.contains(path), 0.8 if severity == "high" else 0.6) for path, attack, severity in SENSITIVE_PATHS]
     return [
         Rule("reverse_shell", "critical", run & shell & some(args, ["/dev/tcp", "bash -i", "sh -i", "nc -e", "ncat"]), 0.9),
-        Rule("download_execute", "critical", run & shell & some(args, ["wget", "curl"]) & some(args, ["|sh", "|bash", ">"]), 0.85),
-        Rule("privilege_escalation_attempt", "high", run & args.contains("sudo") & (F.col("uid") != 0), 0.7),
-        Rule("reverse_shell", "critical", run & name.contains("python") & some(args, ["socket", "subprocess", "os.system", "pty.spawn"]), 0.8),
+        Rule("download_execute", "high", run & shell & some(args, ["wget", "curl"]) & some(args, ["|sh", "|bash", ">"]), 0.85),
+        Rule("privilege_escalation_attempt", "medium", run & shell & args.contains("sudo") & (F.col("uid") != 0), 0.7),
+        Rule("reverse_shell", "critical", run & name.contains("nc") & some(args, ["-e", "--exec"]), 0.9),
+        Rule("reverse_shell", "high", run & name.contains("python") & some(args, ["socket", "subprocess", "os.system", "pty.spawn"]), 0.8),
         Rule("suspicious_connection", "high", link & F.col("dst_port").isin(4444, 5555, 31337, 1337, 6667), 0.8),
         Rule("high_port_connection", "medium", link & (F.col("dst_port") > 10000) & (F.col("protocol") == "TCP"), 0.5),
         Rule("external_ssh", "low", link & (F.col("dst_port") == 22), 0.4),
-        Rule("credential_access", "high", read & some(name, ["/etc/shadow", "/etc/passwd"]), 0.8),
-        Rule("log_tampering", "medium", read & some(name, ["/var/log/"]), 0.6),
-        Rule("webshell_creation", "critical", read & some(name, ["/var/www/", "/srv/http"]) & some(name, [".php", ".jsp", ".asp"]), 0.8),
+        *opened,
+        Rule("webshell_creation", "critical", read & some(name, WEB_FOLDERS) & some(name, SCRIPT_ENDINGS), 0.8),
         Rule("process_termination", "low", kind == "kill", 0.4),
     ]
 
 
+def wire_rules() -> list[Rule]:
+    """Rules on decoded wire columns: ethertypes (outer, inner), next_header, ext_headers (array), inner_version and inner_protocol of
+    an encapsulated header with its inner_length, payload_text and payload_len, and header_value of a listed request header.
+
+    Null columns match nothing.
+    """
+    n = F.size("ext_headers")
+    shown = F.length(F.regexp_replace("header_value", r"[^\x20-\x7e]", ""))
+    fits = F.when(F.col("inner_version") == 4, F.col("inner_length") >= 20).when(F.col("inner_version") == 6, (F.col("inner_length") > 0) & (F.col("inner_length") <= F.col("payload_len") + 64))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return [
+        Rule("qinq_double_vlan", "low", yes((F.col("ethertype") == 0x8100) & (F.col("inner_ethertype") == 0x8100))),
+        Rule("ipv6_atomic_fragment", "high", yes(F.col("next_header") == 44)),
+        Rule("ipv6_extension_overload", "high", yes(n > 15)),
+        Rule("ipv6_extension_chain", "medium", yes((n >= 5) & (n <= 15))),
+        Rule("ipv6_destination_header", "low", yes((n > 0) & (n < 5) & (F.element_at("ext_headers", -1) == 60))),
+        Rule("ipv6_tunnel", "high", yes(F.col("inner_version").isin(4, 6) & fits & F.col("inner_protocol").isin(4, 41))),
+        Rule("ssh_detected", "low", yes(F.substring("payload_text", 1, 64).contains("SSH-")), 0.5),
+        Rule("header_covert_channel", "medium", yes((F.length("header_value") > 50) & (shown > 0.9 * F.length("header_value")))),
+    ]
+
+
 def dns_entropy(df: DataFrame, more_than: float = 4.0) -> DataFrame:
     """Queries whose first label has many bits a character; confidence grows with them."""
     rows = df.filter("dns_qname is not null").withColumn("bits", entropy(F.substring_index("dns_qname", ".", 1))).filter(F.col("bits") > more_than)

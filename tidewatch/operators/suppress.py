@@ -8,27 +8,34 @@ from pyspark.sql import functions as F
 from ..functions.exprs import ipv4_number, ipv6_hex, severity_norm, severity_rank
 from .windowed import micros
 
-#: Types that content networks cause and that don't count from there.
-CDN_NOISE = ("port_scan", "syn_flood", "connection_flood", "bandwidth_attack", "packet_burst")
+# Types that content networks cause and that don't count from there, and those of private networks.
+CDN_NOISE = ("broadcast_storm", "timing_evasion", "port_scan", "session_correlated_sql_attack", "session_correlated_cmd_attack")
+PRIVATE_NOISE = ("broadcast_storm",)
+#: Rows of a range list, at most: it becomes one expression.
+MOST_RANGES = 10_000
 
 
-def range_label(df: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
+def range_label(df: DataFrame, ip: str, ranges: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
     """``label``: that of the first range, in list order, that holds the address; null for none.
 
-    The list is a configuration of a few dozen rows, checked here before it is broadcast.
+    A range with a disabled label ends the search without a label. The list is a configuration of a few dozen rows; it becomes
+    an expression of each row, so nothing is shuffled.
     """
-    if ranges.count() > 10_000:
+    listed = ranges.orderBy("ord").limit(MOST_RANGES + 1).collect()
+    if len(listed) > MOST_RANGES:
         raise ValueError("a range list is a small configuration table")
-    addresses = df.select(ip).distinct().withColumn("_n", ipv4_number(F.col(ip))).withColumn("_h", ipv6_hex(F.col(ip)))
-    inside = F.col("_n").between(F.col("lo"), F.col("hi")) | F.col("_h").between(F.col("lo6"), F.col("hi6"))
-    found = addresses.join(F.broadcast(ranges), inside).groupBy(ip).agg(F.min_by("label", "ord").alias("label"))
-    return df.join(found, ip, "left")
+    numbered = df.withColumn("_ip4", ipv4_number(F.col(ip))).withColumn("_ip6", ipv6_hex(F.col(ip)))
+    label = F.when(F.lit(False), F.lit(""))
+    for r in listed:
+        inside = F.col("_ip4").between(r.lo, r.hi) if r.lo is not None else F.col("_ip6").between(r.lo6, r.hi6)
+        label = label.when(inside, F.lit(None if r.label in disabled else r.label).cast("string"))
+    return numbered.withColumn("label", label).drop("_ip4", "_ip6")
 
 
-def drop_noise(detections: DataFrame, ip: str = "source_ip") -> DataFrame:
+def drop_noise(detections: DataFrame, ip: str = "source_ip", cdn_types: tuple[str, ...] = CDN_NOISE, private_types: tuple[str, ...] = PRIVATE_NOISE) -> DataFrame:
     """Without what content networks cause; private addresses lose broadcast_storm alone."""
-    cdn = F.col("label").isin("cloudflare", "google", "aws") & F.col("attack_type").isin(*CDN_NOISE)
-    private = (F.col("label") == "private") & (F.col("attack_type") == "broadcast_storm")
+    cdn = F.col("label").isin("cloudflare", "google", "aws") & F.col("attack_type").isin(*cdn_types)
+    private = (F.col("label") == "private") & F.col("attack_type").isin(*private_types)
     return detections.filter(~F.coalesce(cdn | private, F.lit(False)))
 
 

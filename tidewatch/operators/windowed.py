@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def micros(ts: str) -> Column:
@@ -48,10 +50,28 @@ def rate(df: DataFrame, attack_type: str, severity: str, key: str, ts: str, seco
 
 
 def distinct_in_window(df: DataFrame, attack_type: str, severity: str | Column, key: list[str], ts: str, of: str, at_least: int, seconds: float | None, where: str = "true", order: str = "event_id") -> DataFrame:
-    """Rows whose key has ``at_least`` distinct values of ``of`` in the sliding window, or so far."""
-    w = sliding(key, ts, seconds) if seconds else running(key, [ts, order])
-    rows = df.filter(where).withColumn("n", F.size(F.collect_set(of).over(w)).cast("long"))
-    return detection(rows.filter(F.col("n") >= at_least), attack_type, severity, key[0], n="n")
+    """Rows whose key has ``at_least`` distinct values of ``of`` in the sliding window, or so far.
+
+    No set is held: a value counts one from the row at which it enters the window to the moment it leaves, and the count is a
+    running sum of entries and leavings.
+    """
+    rows = df.filter(where).withColumn("_t", micros(ts))
+    if seconds is None:
+        nth = F.row_number().over(Window.partitionBy(*key, of).orderBy(ts, order))
+        enters = F.when(F.col(of).isNotNull() & (nth == 1), 1).otherwise(0)
+        rows = rows.withColumn("_enters", enters).withColumn("n", F.sum("_enters").over(running(key, [ts, order])))
+        return detection(rows.filter(F.col("n") >= at_least), attack_type, severity, key[0], n="n")
+    span = int(seconds * 1_000_000)
+    same = Window.partitionBy(*key, of).orderBy("_t", order)
+    new = F.coalesce(F.col("_t") - F.lag("_t").over(same) >= span, F.lit(True)) & F.col(of).isNotNull()
+    last = F.coalesce(F.lead("_t").over(same) - F.col("_t") >= span, F.lit(True)) & F.col(of).isNotNull()
+    rows = rows.withColumn("_new", new).withColumn("_last", last)
+    row = F.struct(F.col("_t").alias("at"), F.col("_new").cast("long").alias("change"), F.lit(True).alias("row"))
+    leaves = F.when(F.col("_last"), F.struct((F.col("_t") + span).alias("at"), F.lit(-1).cast("long").alias("change"), F.lit(False).alias("row")))
+    marks = rows.withColumn("_m", F.explode(F.filter(F.array(row, leaves), lambda m: m.isNotNull())))
+    w = Window.partitionBy(*key).orderBy(F.col("_m.at")).rangeBetween(Window.unboundedPreceding, 0)
+    found = marks.withColumn("n", F.sum("_m.change").over(w)).filter(F.col("_m.row") & (F.col("n") >= at_least))
+    return detection(found, attack_type, severity, key[0], n="n")
 
 
 def frame(df: DataFrame, attack_type: str, severity: str, key: list[str], order: list[str], n: int, at_least: int, test: Callable[[Window], Column], where: str = "true", source: str | None = None) -> DataFrame:
@@ -121,85 +141,131 @@ def connections(packets: DataFrame, key: Column) -> DataFrame:
     return ends.withColumn("state", state).drop("syn", "synack", "rst", "fin", "last_flags")
 
 
-def fold(df: DataFrame, key: list[str], order: list[str], start: Callable[[], object], step: Callable, schema: str) -> DataFrame:
-    """Scan every key's rows in order: ``step(state, frame)`` returns the new state and the rows to emit.
+def _fresh(batch: pa.RecordBatch, key: list[str]) -> np.ndarray:
+    """True at each row whose key differs from the row before; nulls equal nulls and NaN equals NaN."""
+    fresh = np.zeros(len(batch), bool)
+    fresh[:1] = True
+    for name in key:
+        column = batch.column(name)
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        apart = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | pc.xor(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False)
+        if pa.types.is_floating(column.type):
+            apart &= ~(pc.fill_null(pc.is_nan(a), False).to_numpy(zero_copy_only=False) & pc.fill_null(pc.is_nan(b), False).to_numpy(zero_copy_only=False))
+        fresh[1:] |= apart
+    return fresh
+
+
+def fold(df: DataFrame, key: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, np.ndarray], tuple[object, np.ndarray]], flag: str | None = None) -> DataFrame:
+    """Scan every key's rows in order: ``step(state, times)`` returns the new state and a mark for each row.
 
-    Rows are dealt by key and sorted; a key's rows come in one or several frames, so memory is one batch whatever a key's
-    length.
+    ``order`` begins with a timestamp, whose microseconds ``times`` are. Marked rows are kept, or all rows with the mark in a
+    column ``flag``. Rows are dealt by key and sorted; a key's rows come in one or several Arrow batches and stay in their own
+    types, so memory is one batch whatever a key's length, and a null key is a key like others.
     """
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
-        for frame in frames:
-            if not len(frame):
+        for batch in batches:
+            if not len(batch):
                 continue
-            keys = list(zip(*[frame[k] for k in key], strict=True))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if keys[a] != current:
-                    current, state = keys[a], start()
-                state, out = step(state, frame.iloc[a:b])
-                if out is not None and len(out):
-                    yield out
+            times = batch.column(order[0]).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            cuts = np.r_[np.flatnonzero(_fresh(batch, key)), len(batch)].tolist()
+            first = [repr(batch.column(k)[0].as_py()) for k in key]
+            marks = np.zeros(len(batch), bool)
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                if at or first != current:
+                    state = start()
+                state, marks[at:to] = step(state, times[at:to])
+            current = [repr(batch.column(k)[len(batch) - 1].as_py()) for k in key]
+            yield batch.append_column(flag, pa.array(marks)) if flag else batch.filter(pa.array(marks))
 
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(scan, schema)
-
-
-def _times(frame: pd.DataFrame, ts: str) -> np.ndarray:
-    return frame[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+    schema = StructType([*df.schema, StructField(flag, BooleanType())]) if flag else df.schema
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(scan, schema)
 
 
 def counter_with_reset(df: DataFrame, key: list[str], ts: str, seconds: float, threshold: int, order: str = "event_id") -> DataFrame:
     """Rows at which a key's count within the last ``seconds`` (closed) reaches ``threshold``; the count then starts again."""
     span = int(seconds * 1_000_000)
-    df = df.select(*key, order, ts)
 
-    def step(recent: list[int], frame: pd.DataFrame):
-        hits = []
-        for t in _times(frame, ts).tolist():
-            recent = [x for x in recent if x >= t - span]
-            recent.append(t)
-            hits.append(len(recent) >= threshold)
-            if hits[-1]:
-                recent = []
-        return recent, frame[np.array(hits)]
+    def step(recent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate([recent, times])
+        marks = np.zeros(len(every), bool)
+        # rows that end a run of ``threshold`` within the span; a run begins after the last hit
+        ends = threshold - 1 + np.flatnonzero(every[threshold - 1 :] - every[: max(0, len(every) - threshold + 1)] <= span)
+        begin, at = 0, 0
+        while (at := int(np.searchsorted(ends, begin + threshold - 1))) < len(ends):
+            marks[ends[at]] = True
+            begin = int(ends[at]) + 1
+        return every[max(begin, len(every) - threshold + 1) :], marks[len(recent) :]
 
-    return fold(df, key, [ts, order], list, step, df.schema)
+    return fold(df.select(*key, order, ts), key, [ts, order], lambda: np.empty(0, np.int64), step)
 
 
 def anchored_rate(df: DataFrame, key: list[str], ts: str, seconds: float, more_than: int, order: str = "event_id") -> DataFrame:
     """Rows beyond ``more_than`` in a window that opens at a key's first row and again at the first row over ``seconds`` later."""
     span = int(seconds * 1_000_000)
-    df = df.select(*key, order, ts)
 
-    def step(state: tuple[int | None, int], frame: pd.DataFrame):
+    def step(state: tuple[int | None, int], times: np.ndarray) -> tuple[tuple[int, int], np.ndarray]:
         opened, n = state
-        hits = []
-        for t in _times(frame, ts).tolist():
-            if opened is None or t - opened > span:
-                opened, n = t, 0
-            n += 1
-            hits.append(n > more_than)
-        return (opened, n), frame[np.array(hits)]
+        marks, at = np.zeros(len(times), bool), 0
+        while at < len(times):
+            if opened is None or times[at] - opened > span:
+                opened, n = int(times[at]), 0
+            to = int(np.searchsorted(times, opened + span, "right"))
+            marks[max(at, at + more_than - n) : to] = True
+            n, at = n + to - at, to
+        return (opened, n), marks
+
+    return fold(df.select(*key, order, ts), key, [ts, order], lambda: (None, 0), step)
+
 
-    return fold(df, key, [ts, order], lambda: (None, 0), step, df.schema)
+def cooldown(df: DataFrame, key: list[str], ts: str, seconds: float, order: str = "event_id", strict: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``passed``: a key's first row, then each that comes ``seconds`` or more (over it, if ``strict``) after the last that passed.
 
+    Columns named in ``carry`` come along, so that nothing needs to be joined back.
+    """
+    span, side = int(seconds * 1_000_000), "right" if strict else "left"
+
+    def step(last: int | None, times: np.ndarray) -> tuple[int, np.ndarray]:
+        passed, at = np.zeros(len(times), bool), 0
+        if last is not None:
+            at = int(np.searchsorted(times, last + span, side))
+        while at < len(times):
+            passed[at], last = True, int(times[at])
+            at = max(at + 1, int(np.searchsorted(times, last + span, side)))
+        return last, passed
+
+    return fold(df.select(*key, order, ts, *carry), key, [ts, order], lambda: None, step, "passed")
+
+
+def throttled(df: DataFrame, key: str, ts: str, size: str, syn: Column, seconds: float = 60.0, packets: float = 100.0, syns: float = 50.0, total: float = 10_000_000.0, order: str = "event_id") -> DataFrame:
+    """Rows of a key at which packets, SYNs or bytes per elapsed second of its anchored window exceed their limits.
 
-def cooldown(df: DataFrame, key: list[str], ts: str, seconds: float, order: str = "event_id", strict: bool = False) -> DataFrame:
-    """``passed``: a key's first row, then each that comes ``seconds`` or more (over it, if ``strict``) after the last that passed."""
+    A window opens at a key's first row and again at the first row over ``seconds`` later; elapsed time counts as a tenth of a second
+    at least. Windows come from a fold over times, the rates from running sums within them.
+    """
+    opens = fold(df.select(key, order, ts, F.col(size).alias("_size"), syn.cast("long").alias("_syn")), [key], [ts, order], lambda: None, _anchors(seconds), "_opens")
+    w = Window.partitionBy(key).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = opens.withColumn("window", F.sum(F.col("_opens").cast("long")).over(w))
+    inside = Window.partitionBy(key, "window").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("elapsed", F.greatest((micros(ts) - F.min(micros(ts)).over(inside)) / 1e6, F.lit(0.1)))
+    per = {"packets_per_s": F.count(F.lit(1)).over(inside), "syns_per_s": F.sum("_syn").over(inside), "bytes_per_s": F.sum("_size").over(inside)}
+    rows = rows.withColumns({name: n / F.col("elapsed") for name, n in per.items()})
+    over = (F.col("packets_per_s") > packets) | (F.col("syns_per_s") > syns) | (F.col("bytes_per_s") > total)
+    return rows.filter(over).select(order, key, ts, *per)
+
+
+def _anchors(seconds: float) -> Callable:
     span = int(seconds * 1_000_000)
-    out = df.select(*key, order, ts)
 
-    def step(last: int | None, frame: pd.DataFrame):
-        passed = []
-        for t in _times(frame, ts).tolist():
-            ok = last is None or (t - last > span if strict else t - last >= span)
-            last = t if ok else last
-            passed.append(ok)
-        return last, frame.assign(passed=passed)
+    def step(opened: int | None, times: np.ndarray) -> tuple[int, np.ndarray]:
+        marks, at = np.zeros(len(times), bool), 0 if opened is None else int(np.searchsorted(times, opened + span, "right"))
+        while at < len(times):
+            marks[at], opened = True, int(times[at])
+            at = int(np.searchsorted(times, opened + span, "right"))
+        return opened, marks
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    return fold(out, key, [ts, order], lambda: None, step, f"{fields}, passed boolean")
+    return step
 
 
 def gap_runs(df: DataFrame, key: str, order: list[str], ts: str, short: float, low: float, high: float, most: int, at_least: int, share: float) -> DataFrame:
@@ -216,14 +282,118 @@ def gap_runs(df: DataFrame, key: str, order: list[str], ts: str, short: float, l
     return per.filter((F.col("gaps") < most) & (both >= at_least) & (F.col("bursts") >= share * both) & (F.col("pauses") >= share * both) & (F.col("bursts") > 0))
 
 
-def perplexity(tokens: DataFrame, flow: str, order: list[str], token: str, smoothing: float = 0.01) -> DataFrame:
-    """Trigram perplexity of every flow: counts over the table, add-``smoothing`` probabilities, exp of the mean surprise."""
+def unanswered_syns(packets: DataFrame) -> DataFrame:
+    """A host's own SYNs while no SYN-ACK has come to it: event_id, ts, source_ip, tcp_seq, spoofed."""
+    own = packets.select("event_id", "tcp_seq")
+    seen = handshakes(packets).filter("sends AND flags = 'S' AND synack_received = 0").withColumnRenamed("host", "source_ip")
+    return seen.select("event_id", "ts", "source_ip", "spoofed").join(own, "event_id")
+
+
+def slow_loris(packets: DataFrame, last: int = 20, at_least: int = 10, span: float = 0.05, per_second: float = 50.0) -> DataFrame:
+    """SYNs of a host, none of which was answered, at which its last ``last`` come at more than ``per_second``; the sample then starts again.
+
+    A sample has ``at_least`` SYNs over ``span`` seconds or more. One answered SYN clears a host for good: its connections complete.
+    """
+    shortest = int(span * 1_000_000)
+
+    def step(recent: list[int], times: np.ndarray) -> tuple[list[int], np.ndarray]:
+        marks = np.zeros(len(times), bool)
+        for i, t in enumerate(times.tolist()):
+            recent = [*recent[1 - last :], t]
+            width = t - recent[0]
+            if len(recent) >= at_least and width >= shortest and len(recent) * 1e6 > per_second * width:
+                marks[i], recent = True, []
+        return recent, marks
+
+    syns = unanswered_syns(packets).select("source_ip", "event_id", "ts")
+    return detection(fold(syns, ["source_ip"], ["ts", "event_id"], list, step), "slow_loris", "high", "source_ip")
+
+
+def low_entropy_isn(packets: DataFrame, last: int = 5, at_least: int = 4, small: int = 100, constant: int = 10_000) -> DataFrame:
+    """SYNs of a host that looks spoofed whose last sequence numbers repeat, rise by little, or by one constant step; all zero says nothing."""
+    w = last_rows(["source_ip"], ["ts", "event_id"], last)
+    key = Window.partitionBy("source_ip").orderBy("ts", "event_id")
+    # a host's SYNs, answered ones too, so that samples don't skip any
+    seen = handshakes(packets).filter("sends AND flags = 'S'").withColumnRenamed("host", "source_ip").join(packets.select("event_id", "tcp_seq"), "event_id")
+    seen = seen.withColumn("gap", F.abs(F.col("tcp_seq") - F.lag("tcp_seq").over(key)))
+    inner = Window.partitionBy("source_ip").orderBy("ts", "event_id").rowsBetween(-last + 2, 0)
+    rows = seen.withColumn("seen", F.count(F.lit(1)).over(w)).withColumn("top", F.max("tcp_seq").over(w)).withColumn("low", F.min("gap").over(inner)).withColumn("high", F.max("gap").over(inner))
+    steady = (F.col("high") < small) | ((F.col("low") == F.col("high")) & (F.col("high") < constant))
+    return detection(rows.filter((F.col("seen") >= at_least) & (F.col("top") > 0) & steady & F.col("spoofed")), "low_entropy_isn", "high", "source_ip", seen="seen")
+
+
+def short_connections(packets: DataFrame, shorter: float = 0.5, last: int = 30, at_least: int = 10, short: int = 10) -> DataFrame:
+    """Ends of connections at which ``short`` of a host's last ``last`` lived less than ``shorter`` seconds, if no SYN-ACK ever came to it.
+
+    A connection lives from the host's last SYN to its next FIN or RST.
+    """
+    seen = handshakes(packets).filter("sends").withColumnRenamed("host", "source_ip")
+    run = running(["source_ip"], ["ts", "event_id"])
+    opened = F.last(F.when(F.col("flags") == "S", micros("ts")), ignorenulls=True).over(run)
+    closes = F.col("flags").contains("F") | F.col("flags").contains("R")
+    rows = seen.withColumn("lived", (micros("ts") - opened) / 1e6).filter(closes & F.col("lived").isNotNull())
+    w = last_rows(["source_ip"], ["ts", "event_id"], last)
+    rows = rows.withColumn("seen", F.count(F.lit(1)).over(w)).withColumn("n", F.sum((F.col("lived") < shorter).cast("long")).over(w))
+    return detection(rows.filter((F.col("seen") >= at_least) & (F.col("n") >= short) & (F.col("synack_received") == 0)), "short_connection", "medium", "source_ip", n="n")
+
+
+def session_fragments(lines: DataFrame, classes: tuple[tuple[str, str], ...], text: str, source: str, ts: str = "ts", order: str = "event_id", seconds: float = 30.0, at_least: int = 5) -> DataFrame:
+    """The first row at which a source has ``at_least`` texts of a class within the window, once for each source and class.
+
+    A text counts once in each class of which it has a fragment.
+    """
+    hits = F.filter(F.array(*[F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in classes]), lambda x: x.isNotNull())
+    rows = lines.select(order, ts, F.col(source).alias("source_ip"), F.explode(hits).alias("class"))
+    crossed = rows.withColumn("n", F.count(F.lit(1)).over(sliding(["source_ip", "class"], ts, seconds))).filter(F.col("n") >= at_least)
+    first = F.row_number().over(Window.partitionBy("source_ip", "class").orderBy(ts, order))
+    return crossed.withColumn("nth", first).filter("nth = 1").select(order, ts, "source_ip", F.concat(F.lit("session_correlated_"), F.col("class"), F.lit("_attack")).alias("attack_type"), F.lit("high").alias("severity"))
+
+
+def fragment_sets(packets: DataFrame, storm: int = 64, tiny: int = 100, oversize: int = 65_535) -> DataFrame:
+    """Fragments by what their set (source, destination, id, protocol) has become: storm (the count starts again), overlap, tiny, oversize.
+
+    A fragment overlaps if its offset was there before or lies inside the set's first fragment; tiny is a fragment under ``tiny``
+    bytes with more to come; a tcp set is oversize beyond ``oversize`` bytes.
+    """
+    key = ["src_ip", "dst_ip", "ip_id", "protocol"]
+    w = running(key, ["ts", "event_id"])
+    rows = packets.filter("frag_offset > 0 OR more_fragments").withColumn("nth", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("payload_len").over(w))
+    again = F.row_number().over(Window.partitionBy(*key, "frag_offset").orderBy("ts", "event_id")) > 1
+    rows = rows.withColumn("again", again).withColumn("first_end", F.first(F.col("frag_offset") + F.col("payload_len")).over(w))
+    kind = (
+        F.when(F.col("nth") % (storm + 1) == 0, "fragment_storm")
+        .when((F.col("nth") > 1) & (F.col("again") | (F.col("frag_offset") < F.col("first_end"))), "fragment_overlap")
+        .when((F.col("payload_len") < tiny) & F.col("more_fragments"), "tiny_fragment")
+        .when((F.col("total") > oversize) & (F.col("protocol") == "tcp"), "fragment_oversize")
+    )
+    return detection(rows.withColumn("kind", kind).filter("kind is not null"), F.col("kind"), F.lit("medium"))
+
+
+def printable_deltas(packets: DataFrame, of: str, last: int = 25, at_least: int = 8, most_distinct: float = 0.6) -> DataFrame:
+    """Rows whose source's last ``last`` deltas of a number's low byte hold ``at_least`` printable ones of few distinct values."""
+    key = Window.partitionBy("src_ip").orderBy("ts", "event_id")
+    low = F.pmod(F.col(of), F.lit(256))
+    rows = packets.withColumn("delta", F.pmod(low - F.lag(low).over(key), F.lit(256))).filter("delta is not null")
+    recent = F.filter(F.collect_list("delta").over(last_rows(["src_ip"], ["ts", "event_id"], last)), lambda d: d.between(32, 126))
+    rows = rows.withColumn("_p", recent).withColumn("printable", F.size("_p")).withColumn("distinct", F.size(F.array_distinct("_p")))
+    return rows.filter((F.col("printable") >= at_least) & (F.col("distinct") <= most_distinct * F.col("printable")))
+
+
+def perplexity(tokens: DataFrame, flow: str, order: list[str], token: str, smoothing: float = 0.01, more_than: float = 100.0, decay: Column | None = None) -> DataFrame:
+    """Trigram perplexity of every flow, and whether it is over ``more_than``: counts over the table, add-``smoothing`` probabilities.
+
+    With ``decay`` (a weight for each row, by its age) older grams count less. Grams are counted a flow first, so that a
+    common one is not gathered row by row, and the tables of distinct grams are joined, whichever way their sizes allow.
+    """
     w = Window.partitionBy(flow).orderBy(*order)
-    grams = tokens.select(flow, F.lag(token, 2).over(w).alias("a"), F.lag(token, 1).over(w).alias("b"), F.col(token).alias("c")).filter("a is not null and b is not null")
+    weight = F.lit(1.0) if decay is None else decay
+    grams = tokens.select(flow, F.lag(token, 2).over(w).alias("a"), F.lag(token, 1).over(w).alias("b"), F.col(token).alias("c"), weight.alias("w")).filter("a is not null and b is not null")
     size = tokens.select(F.countDistinct(token).alias("vocabulary"))
-    three = grams.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n3"))
-    two = grams.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n2"))
+    per = grams.groupBy(flow, "a", "b", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    three = per.groupBy("a", "b", "c").agg(F.sum("w").alias("n3"))
+    two = three.groupBy("a", "b").agg(F.sum("n3").alias("n2"))
     # one row
-    scored = grams.join(three, ["a", "b", "c"]).join(two, ["a", "b"]).join(F.broadcast(size))
+    scored = per.join(three.join(two, ["a", "b"]), ["a", "b", "c"]).join(F.broadcast(size))
     p = (F.col("n3") + smoothing) / (F.col("n2") + smoothing * F.col("vocabulary"))
-    return scored.groupBy(flow).agg(F.exp(-F.avg(F.log(p))).alias("perplexity"), F.count(F.lit(1)).alias("n"))
+    flows = scored.groupBy(flow).agg((-F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("surprise"), F.sum("n").alias("n"))
+    return flows.select(flow, F.exp("surprise").alias("perplexity"), "n", (F.exp("surprise") > more_than).alias("anomalous"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import entropy, flow_key, is_broadcast, ja4, ladder, url_decoded
+from ..functions.exprs import entropy, flow_key, is_broadcast, ja4, ladder
 from ..operators import parse, report, rules, stateless, windowed
 from ..sources.derive import derive, derived_sql
-from ..sources.reference import APP_PORTS
+from ..sources.reference import APP_PORTS, WEB_SIGNATURES
 from .registry import query, table
 
 HOUR = 3600
+#: The web patterns as SQL literals.
+PATTERN_SQL = {name: pattern.replace("'", "''") for name, pattern, _ in WEB_SIGNATURES}
 
 
 def packets(spark: SparkSession, d: str) -> DataFrame:
@@ -348,29 +350,44 @@ def ttl_confidence(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("event_id", F.round("confidence", 6).alias("confidence"))
 
 
-WEB_SQL = f"""{derived_sql('packets')}, u AS (SELECT *, CASE k % 16 WHEN 13 THEN '/search?q=<script>' ELSE replace(http_uri, '+', ' ') END AS d FROM packets)
-    SELECT event_id, attack_type FROM (SELECT event_id, CASE WHEN n_content_length > 0 AND chunked THEN 'http_smuggling_cl_te' WHEN n_content_length > 1 THEN 'http_smuggling_dual_cl'
-      WHEN k % 16 IN (1, 7) THEN 'sql_injection' WHEN k % 16 IN (2, 11, 13) THEN 'xss_attempt' WHEN k % 16 = 4 THEN 'command_injection' WHEN k % 16 = 3 THEN 'path_traversal' WHEN k % 5 IN (1, 3) THEN 'scanner_detected'
-      WHEN cookie LIKE 'sid=%' THEN 'cookie_injection' WHEN forwarded LIKE '../%' THEN 'header_injection' WHEN upgrade = 'websocket' THEN 'websocket_upgrade' END AS attack_type FROM u) t WHERE attack_type IS NOT NULL"""
+WEB_SQL = f"""{derived_sql('packets')}, u AS (SELECT *, url_decode(replace(http_uri, '+', ' ')) AS d FROM packets)
+    SELECT event_id, attack_type FROM (SELECT event_id, CASE WHEN regexp_matches(d, '{PATTERN_SQL["sql_injection"]}') THEN 'sql_injection' WHEN regexp_matches(d, '{PATTERN_SQL["xss"]}') THEN 'xss_attempt'
+      WHEN regexp_matches(d, '{PATTERN_SQL["command_injection"]}') THEN 'command_injection' WHEN regexp_matches(d, '{PATTERN_SQL["path_traversal"]}') THEN 'path_traversal' WHEN regexp_matches(user_agent, '{PATTERN_SQL["scanner_signature"]}') THEN 'scanner_detected'
+      WHEN regexp_matches(cookie, '{PATTERN_SQL["sql_injection"]}') OR regexp_matches(cookie, '{PATTERN_SQL["xss"]}') THEN 'cookie_injection' WHEN regexp_matches(forwarded, '{PATTERN_SQL["path_traversal"]}') THEN 'header_injection' WHEN upgrade = 'websocket' THEN 'websocket_upgrade'
+      WHEN n_content_length > 0 AND chunked THEN 'http_smuggling_cl_te' WHEN n_content_length > 1 THEN 'http_smuggling_dual_cl' END AS attack_type FROM u) t WHERE attack_type IS NOT NULL"""
 
 
 @query("st23_web_chain", WEB_SQL)
 def web_chain(spark: SparkSession, d: str) -> DataFrame:
-    return stateless.detect_first(packets(spark, d), stateless.web_rules()).select("event_id", "attack_type")
+    return stateless.web_attacks(packets(spark, d)).select("event_id", "attack_type")
 
 
-HOST_SQL = """ SELECT event_id, attack_type FROM (SELECT event_id, CASE
-    WHEN event_kind = 'exec' AND filename LIKE '%/bin/bash%' AND (args LIKE '%/dev/tcp%' OR args LIKE '%bash -i%') THEN 'reverse_shell' WHEN event_kind = 'exec' AND filename LIKE '%/bin/bash%' AND args LIKE '%curl%' THEN 'download_execute'
-    WHEN event_kind = 'exec' AND args LIKE '%sudo%' AND uid <> 0 THEN 'privilege_escalation_attempt' WHEN event_kind = 'exec' AND filename LIKE '%python%' AND args LIKE '%socket%' THEN 'reverse_shell'
-    WHEN event_kind = 'connect' AND dst_port = 4444 THEN 'suspicious_connection' WHEN event_kind = 'connect' AND dst_port > 10000 AND protocol = 'TCP' THEN 'high_port_connection' WHEN event_kind = 'connect' AND dst_port = 22 THEN 'external_ssh'
-    WHEN event_kind = 'open' AND filename LIKE '%/etc/shadow%' THEN 'credential_access' WHEN event_kind = 'open' AND filename LIKE '%/var/log/%' THEN 'log_tampering' WHEN event_kind = 'open' AND filename LIKE '%/var/www/%.php%' THEN 'webshell_creation'
-    WHEN event_kind = 'kill' THEN 'process_termination' END AS attack_type FROM host_events) t WHERE attack_type IS NOT NULL"""
+HOST_SQL = """ SELECT event_id, h.attack_type, h.severity FROM (SELECT event_id, CASE
+    WHEN event_kind = 'exec' AND filename LIKE '%/bin/bash%' AND (args LIKE '%/dev/tcp%' OR args LIKE '%bash -i%') THEN {'attack_type': 'reverse_shell', 'severity': 'critical'} WHEN event_kind = 'exec' AND filename LIKE '%/bin/bash%' AND args LIKE '%curl%' AND args LIKE '%>%' THEN {'attack_type': 'download_execute', 'severity': 'high'}
+    WHEN event_kind = 'exec' AND filename LIKE '%/bin/bash%' AND args LIKE '%sudo%' AND uid <> 0 THEN {'attack_type': 'privilege_escalation_attempt', 'severity': 'medium'} WHEN event_kind = 'exec' AND filename LIKE '%nc%' AND (args LIKE '%-e%' OR args LIKE '%--exec%') THEN {'attack_type': 'reverse_shell', 'severity': 'critical'}
+    WHEN event_kind = 'exec' AND filename LIKE '%python%' AND args LIKE '%socket%' THEN {'attack_type': 'reverse_shell', 'severity': 'high'}
+    WHEN event_kind = 'connect' AND dst_port = 4444 THEN {'attack_type': 'suspicious_connection', 'severity': 'high'} WHEN event_kind = 'connect' AND dst_port > 10000 AND protocol = 'TCP' THEN {'attack_type': 'high_port_connection', 'severity': 'medium'} WHEN event_kind = 'connect' AND dst_port = 22 THEN {'attack_type': 'external_ssh', 'severity': 'low'}
+    WHEN event_kind = 'open' AND filename LIKE '%/etc/passwd%' THEN {'attack_type': 'credential_access', 'severity': 'medium'} WHEN event_kind = 'open' AND filename LIKE '%/etc/shadow%' THEN {'attack_type': 'credential_access', 'severity': 'high'}
+    WHEN event_kind = 'open' AND (filename LIKE '%/.ssh/%' OR filename LIKE '%/.aws/%') THEN {'attack_type': 'credential_access', 'severity': 'medium'} WHEN event_kind = 'open' AND filename LIKE '%/var/log/%' THEN {'attack_type': 'log_tampering', 'severity': 'medium'}
+    WHEN event_kind = 'open' AND filename LIKE '%/proc/self/%' THEN {'attack_type': 'process_memory_access', 'severity': 'medium'} WHEN event_kind = 'open' AND filename LIKE '%/var/www/%.php%' THEN {'attack_type': 'webshell_creation', 'severity': 'critical'}
+    WHEN event_kind = 'kill' THEN {'attack_type': 'process_termination', 'severity': 'low'} END AS h FROM host_events) t WHERE h IS NOT NULL"""
 
 
 @query("st34_host_rules", derived_sql("host_events") + HOST_SQL)
 def host_rules(spark: SparkSession, d: str) -> DataFrame:
     h = derive(table(spark, d, "events"), "host_events").withColumn("source", F.lit("host"))
-    return stateless.detect_first(h, stateless.host_rules(), "source").select("event_id", "attack_type")
+    return stateless.detect_first(h, stateless.host_rules(), "source").select("event_id", "attack_type", "severity")
+
+
+#: Files by k beside those of the derived host events.
+FILES = "CASE k % 9 WHEN 0 THEN '/home/a/.ssh/id_rsa' WHEN 1 THEN '/root/.aws/credentials' WHEN 2 THEN '/proc/self/mem' WHEN 3 THEN '/usr/bin/ncat' WHEN 4 THEN '/etc/passwd' WHEN 5 THEN '/srv/http/a.jsp' ELSE filename END"
+ARGUMENTS = "CASE WHEN k % 9 = 3 THEN '10.0.0.1 4444 --exec sh' ELSE args END"
+
+
+@query("st36_host_files", derived_sql("host_events") + HOST_SQL.replace("FROM host_events)", f"FROM (SELECT * REPLACE ({FILES} AS filename, {ARGUMENTS} AS args) FROM host_events) f)").replace("LIKE '%/var/www/%.php%'", "LIKE '%/var/www/%.php%' OR event_kind = 'open' AND filename LIKE '%/srv/http%.jsp%'"))
+def host_files(spark: SparkSession, d: str) -> DataFrame:
+    h = derive(table(spark, d, "events"), "host_events").selectExpr("event_id", "ts", "k", "event_kind", "uid", f"{FILES} AS filename", f"{ARGUMENTS} AS args", "dst_port", "protocol", "'host' AS source")
+    return stateless.detect_first(h, stateless.host_rules(), "source").select("event_id", "attack_type", "severity")
 
 
 @query("st39_dns_entropy", f"""{derived_sql('packets')}, q AS (SELECT event_id, string_split(split_part(dns_qname, '.', 1), '') AS cs FROM packets WHERE dns_qname IS NOT NULL), c AS (SELECT event_id, unnest(cs) AS ch FROM q), f AS (SELECT event_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY event_id, ch),
@@ -426,12 +443,32 @@ def client_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return packets(spark, d).select("event_id", ja4(F.lit(771), lists(7), lists(5), F.col("tls_sni"), F.lit("h2")).alias("fingerprint"))
 
 
-@query("par17_packet_tokens", f"""{derived_sql('packets')} SELECT concat_ws('.', protocol, CAST((CASE WHEN raw_len >= 64 THEN 1 ELSE 0 END + CASE WHEN raw_len >= 128 THEN 1 ELSE 0 END + CASE WHEN raw_len >= 256 THEN 1 ELSE 0 END + CASE WHEN raw_len >= 512 THEN 1 ELSE 0 END + CASE WHEN raw_len >= 1024 THEN 1 ELSE 0 END + CASE WHEN raw_len >= 1500 THEN 1 ELSE 0 END) AS STRING),
-    CAST((CASE WHEN ttl >= 32 THEN 1 ELSE 0 END + CASE WHEN ttl >= 64 THEN 1 ELSE 0 END + CASE WHEN ttl >= 128 THEN 1 ELSE 0 END) AS STRING), CASE WHEN flags LIKE '%S%' THEN '1' ELSE '0' END, CASE WHEN flags LIKE '%A%' THEN '1' ELSE '0' END, CASE WHEN flags LIKE '%F%' THEN '1' ELSE '0' END,
-    CASE WHEN dst_port >= 1024 THEN '1' ELSE '0' END, CAST((CASE WHEN win >= 1024 THEN 1 ELSE 0 END + CASE WHEN win >= 8192 THEN 1 ELSE 0 END + CASE WHEN win >= 32768 THEN 1 ELSE 0 END) AS STRING)) AS token, count(*) AS n FROM packets GROUP BY token""")
+def _over(value: str, edges: tuple[float, ...]) -> str:
+    return "CAST(" + " + ".join(f"CASE WHEN {value} > {e} THEN 1 ELSE 0 END" for e in edges) + " AS STRING)"
+
+
+TOKEN_SQL = f"""concat_ws('.', CASE WHEN src_port > 1024 THEN '0' ELSE '1' END, {_over('payload_len', parse.LENGTH_EDGES)}, {_over('coalesce(iat, 0.0)', parse.GAP_EDGES)}, {_over('ttl', parse.TTL_EDGES)}, CASE WHEN protocol = 'tcp' THEN '0' ELSE '1' END,
+    CASE WHEN flags LIKE '%S%' THEN '1' ELSE '0' END, CASE WHEN flags LIKE '%A%' THEN '1' ELSE '0' END, CASE WHEN flags LIKE '%F%' THEN '1' ELSE '0' END, {_over('src_port', parse.PORT_EDGES)}, {_over('dst_port', parse.PORT_EDGES)}, CAST(least(win // 4096, 15) AS STRING))"""
+TOKENS_SQL = f"""{derived_sql('packets')}, tokens AS (SELECT src_ip, ts, event_id, {TOKEN_SQL} AS tok FROM (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY src_ip ORDER BY ts, event_id)) / 1000000.0 AS iat FROM packets) p)"""
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    p = windowed.with_gaps(packets(spark, d), ["src_ip"], ["ts", "event_id"], "ts")
+    return p.select("src_ip", "ts", "event_id", parse.packet_token(F.col("gap")).alias("tok"))
+
+
+@query("par17_packet_tokens", f"{TOKENS_SQL} SELECT tok AS token, count(*) AS n FROM tokens GROUP BY tok")
 def packet_tokens(spark: SparkSession, d: str) -> DataFrame:
-    p = packets(spark, d)
-    return p.groupBy(parse.packet_token(p).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    return tokens(spark, d).groupBy(F.col("tok").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("win45_packet_perplexity", f"""{TOKENS_SQL}, t AS (SELECT src_ip, lag(tok, 2) OVER w AS a, lag(tok) OVER w AS b, tok AS c, pow(0.999, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000.0) AS wt FROM tokens WINDOW w AS (PARTITION BY src_ip ORDER BY ts, event_id)),
+    g AS (SELECT * FROM t WHERE a IS NOT NULL AND b IS NOT NULL), n3 AS (SELECT a, b, c, sum(wt) AS n3 FROM g GROUP BY a, b, c), n2 AS (SELECT a, b, sum(wt) AS n2 FROM g GROUP BY a, b), v AS (SELECT count(DISTINCT tok) AS v FROM tokens)
+    SELECT src_ip, round(exp(-avg(ln((n3 + 0.01) / (n2 + 0.01 * v)))), 4) AS perplexity, count(*) AS n, exp(-avg(ln((n3 + 0.01) / (n2 + 0.01 * v)))) > 100 AS anomalous FROM g JOIN n3 USING (a, b, c) JOIN n2 USING (a, b), v GROUP BY src_ip""")
+def packet_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    age = (F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - windowed.micros("ts")) / 86400e6
+    found = windowed.perplexity(tokens(spark, d), "src_ip", ["ts", "event_id"], "tok", decay=F.pow(F.lit(0.999), age))
+    return found.select("src_ip", F.round("perplexity", 4).alias("perplexity"), "n", "anomalous")
 
 
 @query("agg15_flow_features", None)
@@ -464,6 +501,6 @@ def broadcast_address(spark: SparkSession, d: str) -> DataFrame:
     return packets(spark, d).filter(is_broadcast(F.col("dst_ip"))).select("event_id")
 
 
-@query("par08_payload_normaliser", None)
+@query("par08_payload_normaliser", f"{derived_sql('packets')} SELECT event_id, url_decode(replace(http_uri, '+', ' ')) AS uri FROM packets")
 def payload_normaliser(spark: SparkSession, d: str) -> DataFrame:
-    return packets(spark, d).select("event_id", parse.normalise(url_decoded(F.col("http_uri"))).alias("uri"))
+    return packets(spark, d).select("event_id", parse.normalise(F.col("http_uri")).alias("uri"))

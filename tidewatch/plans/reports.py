@@ -159,7 +159,7 @@ def range_label(spark: SparkSession, d: str) -> DataFrame:
     return suppress.range_label(derive(table(spark, d, "events"), "packets"), "dst_ip", reference.ranges(spark)).select("event_id", "label")
 
 
-@query("sup04_noise", f"{LABELLED} SELECT a.event_id FROM attacks a JOIN packets p USING (event_id) LEFT JOIN lab ON p.dst_ip = lab.dst_ip WHERE NOT coalesce(lab.label IN ('cloudflare', 'google', 'aws') AND a.attack_type IN ('port_scan', 'syn_flood'), false)")
+@query("sup04_noise", f"{LABELLED} SELECT a.event_id FROM attacks a JOIN packets p USING (event_id) LEFT JOIN lab ON p.dst_ip = lab.dst_ip WHERE NOT coalesce(lab.label IN ('cloudflare', 'google', 'aws') AND a.attack_type IN ('broadcast_storm', 'timing_evasion', 'port_scan', 'session_correlated_sql_attack', 'session_correlated_cmd_attack') OR lab.label = 'private' AND a.attack_type = 'broadcast_storm', false)")
 def noise(spark: SparkSession, d: str) -> DataFrame:
     p = suppress.range_label(derive(table(spark, d, "events"), "packets"), "dst_ip", reference.ranges(spark)).select("event_id", "label")
     return suppress.drop_noise(attacks(spark, d).join(p, "event_id")).select("event_id")
@@ -248,9 +248,9 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
 @query("ver02_actions", f"""{A_SQL}, c AS (SELECT source_ip, attack_type, event_id, epoch_us(ts) AS t FROM attacks WHERE severity IN ('high', 'critical')), r AS (SELECT source_ip, attack_type, min(t) AS t FROM c GROUP BY ALL UNION ALL SELECT r.source_ip, r.attack_type, min(c.t) FROM r JOIN c ON c.source_ip = r.source_ip AND c.attack_type = r.attack_type AND c.t >= r.t + 86400000000 GROUP BY r.source_ip, r.attack_type, r.t)
     SELECT a.event_id, a.severity <> 'info' AS records, r.t IS NOT NULL AS alerts, a.severity = 'critical' AS blocks FROM attacks a LEFT JOIN r ON r.source_ip = a.source_ip AND r.attack_type = a.attack_type AND r.t = epoch_us(a.ts) WHERE a.severity <> 'info'""")
 def actions(spark: SparkSession, d: str) -> DataFrame:
-    a = attacks(spark, d).filter("severity <> 'info'")
-    gate = windowed.cooldown(a.filter("severity IN ('high', 'critical')"), ["source_ip", "attack_type"], "ts", 86400).select("event_id", "passed")
-    return a.join(gate, "event_id", "left").select("event_id", F.lit(True).alias("records"), F.coalesce("passed", F.lit(False)).alias("alerts"), (F.col("severity") == "critical").alias("blocks"))
+    a = attacks(spark, d).filter("severity <> 'info'").withColumn("grave", F.col("severity").isin("high", "critical"))
+    gate = windowed.cooldown(a, ["source_ip", "attack_type", "grave"], "ts", 86400, carry=("severity",))
+    return gate.select("event_id", F.lit(True).alias("records"), (F.col("grave") & F.col("passed")).alias("alerts"), (F.col("severity") == "critical").alias("blocks"))
 
 
 @query("ver03_incidents", f"{A_SQL} SELECT event_id, CASE severity WHEN 'critical' THEN 'isolate' WHEN 'high' THEN 'block' WHEN 'medium' THEN 'watch' ELSE 'record' END AS playbook, k * 20 > CASE severity WHEN 'critical' THEN 300 WHEN 'high' THEN 600 WHEN 'medium' THEN 1800 ELSE 3600 END AS breached FROM attacks")
@@ -267,11 +267,10 @@ def attacker_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg02_threat_score", f"""{A_SQL}, c AS (SELECT source_ip, attack_type, severity, epoch_us(ts) AS t FROM attacks), r AS (SELECT source_ip, attack_type, min(t) AS t, min(severity) AS severity FROM c GROUP BY source_ip, attack_type UNION ALL SELECT r.source_ip, r.attack_type, min(c.t), min(r.severity) FROM r JOIN c ON c.source_ip = r.source_ip AND c.attack_type = r.attack_type AND c.t >= r.t + 432000000000 GROUP BY r.source_ip, r.attack_type, r.t)
-    SELECT source_ip, CAST(least(100, sum(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 3 WHEN 'high' THEN 10 WHEN 'critical' THEN 25 ELSE 0 END)) AS BIGINT) AS threat_score FROM r GROUP BY source_ip""")
+    SELECT source_ip, CAST(least(100, sum(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 3 WHEN 'high' THEN 10 WHEN 'critical' THEN 25 ELSE 3 END)) AS BIGINT) AS threat_score FROM r GROUP BY source_ip""")
 def threat_score(spark: SparkSession, d: str) -> DataFrame:
     a = attacks(spark, d)
-    kept = windowed.cooldown(a, ["source_ip", "attack_type"], "ts", 432000).filter("passed").select("event_id")
-    return report.threat_scores(a.join(kept, "event_id"))
+    return report.threat_scores(windowed.cooldown(a, ["source_ip", "attack_type"], "ts", 432000, carry=("severity",)).filter("passed"))
 
 
 @query("agg03_count_score", f"{A_SQL} SELECT source_ip, least(100, 20 * count(*)) AS score FROM attacks WHERE k < 20 GROUP BY source_ip")

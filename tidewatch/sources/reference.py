@@ -132,18 +132,32 @@ WEB_SIGNATURES = (
 # Syslog keywords in the order in which they are tried.
 SYSLOG_KEYWORDS = (
     ("bruteforce", r"(?i)Failed password|Authentication failure|Invalid user"), ("intrusion", r"(?i)BREAK IN|successful logout"), ("firewall_block", r"(?i)denied|rejected|blocked|firewall"),
-    ("attack", r"(?i)POSSIBLE BREAK-IN|Buffer overflow|SQL injection|XSS"), ("port_scan", r"(?i)scan|nmap|masscan"), ("dos", r"(?i)DDoS|distributed.*denial|flood"),
+    ("attack", r"(?i)POSSIBLE BREAK-IN|Buffer overflow|SQL injection|XSS"), ("port_scan", r"(?i)scan|nmap|masscan|port.*探测"), ("dos", r"(?i)DDoS|distributed.*denial|flood"),
     ("privilege_escalation", r"(?i)root.*login|su:|sudo:"), ("malware", r"(?i)malware|trojan|ransomware|backdoor"), ("unauthorized_access", r"(?i)unauthorized|access.*denied|forbidden"),
     ("system_compromise", r"(?i)kernel.*panic|out.*of.*memory|OOM"),
 )
 FACILITIES = ("kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "cron", "authpriv", "ftp")
 LEVELS = ("emergency", "alert", "critical", "error", "warning", "notice", "info", "debug")
 
-# Fragments of attacks that count over a session, by class.
+# Named entities and what they stand for, in the order in which they are replaced.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'"))
+
+# Request headers that override what a proxy saw.
+OVERRIDE_HEADERS = ("x-forwarded-for", "x-original-url", "x-rewrite-url", "x-http-method-override", "x-forwarded-host")
+
+# Files whose opening counts, with attack type and severity, in the order in which they are tried; web folders and endings of scripts.
+SENSITIVE_PATHS = (
+    ("/etc/passwd", "credential_access", "medium"), ("/etc/shadow", "credential_access", "high"), ("/.ssh/", "credential_access", "medium"), ("/.aws/", "credential_access", "medium"),
+    ("/var/log/", "log_tampering", "medium"), ("/proc/self/", "process_memory_access", "medium"),
+)
+WEB_FOLDERS = ("/var/www/", "/home//public_html", "/srv/http")
+SCRIPT_ENDINGS = (".php", ".phtml", ".phar", ".php5", ".php7", ".jsp", ".jspx", ".asp", ".aspx", ".exe", ".sh", ".bat", ".cmd", ".ps1")
+
+# Fragments of attacks that count over a session, by class; the star of an Accept header opens no comment.
 FRAGMENTS = (
-    ("sql", r"(?i)(\bunion\b|\bselect\b|\bfrom\b|\bwhere\b|\bdrop\b|\binsert\b|\bdelete\b|'|--|@@|0x[0-9a-f]|\bor\b|\band\b)"),
+    ("sql", r"(?i)(\bunion\b|\bselect\b|\bfrom\b|\bwhere\b|\bdrop\b|\binsert\b|\bdelete\b|'|--|(?<!\*)/\*|@@|0x[0-9a-f]|\bor\b|\band\b)"),
     ("xss", r"(?i)(script|javascript|on\w+\s*=|alert\(|eval\(|prompt|document\.)"),
-    ("cmd", r"(?i)(;|\||`|\$\(|&&|/bin/|/usr/|\.sh|cmd|powershell|wget|curl)"),
+    ("cmd", r"(?i)(;|\||`|\$\(|&&|\|\||/bin/|/usr/|\.sh|cmd|powershell|wget|curl)"),
     ("traversal", r"(?i)(\.\.|etc/|passwd|shadow|\.env|boot\.ini|win\.ini)"),
 )
 
