@@ -336,45 +336,48 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
         left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         sketches = _Sketches(table.column("bits").to_pylist())
         starts, ends = cuts[:-1], cuts[1:]
-        rows, cols, far = [], [], []
+        failed = {(c, f) for c, many in zip(cls.tolist(), table.column("failed").to_pylist(), strict=True) for f in many or ()}
 
-        def take(i: np.ndarray, j: np.ndarray) -> None:
+        def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of pairs of rows, the ``offer`` nearest of each row on either side."""
+            if offer is None or not len(i):
+                return i, j, far
+            keep = np.zeros(len(i), bool)
+            for side, other in ((i, j), (j, i)):
+                order = np.lexsort((cls[other], far, side))
+                keep[order[np.arange(len(side)) - np.searchsorted(side[order], side[order]) < offer]] = True
+            return i[keep], j[keep], far[keep]
+
+        def take(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             fine = near(i, j, n, comp, left, right)
             i, j = i[fine], j[fine]
             if not len(i):
-                return
+                return i, j, np.empty(0)
             apart, total = sketches.apart(i, j), n[i] + n[j]
             fine = apart * (den + num) <= (den - num) * total
-            rows.append(i[fine]), cols.append(j[fine]), far.append(apart[fine] / total[fine])
+            i, j, far = i[fine], j[fine], apart[fine] / total[fine]
+            if failed and len(i):
+                fine = np.fromiter(((min(x, y), max(x, y)) not in failed for x, y in zip(cls[i].tolist(), cls[j].tolist(), strict=True)), bool, len(i))
+                i, j, far = i[fine], j[fine], far[fine]
+            return nearest(i, j, far)
 
-        take(*_small_pairs(starts, ends))
+        parts = [take(*_small_pairs(starts, ends))]
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             if b - a <= SMALL or (comp[a:b] == comp[a]).all():
                 continue
-            by = a + np.argsort(n[a:b], kind="stable")
+            by, own_parts = a + np.argsort(n[a:b], kind="stable"), []
             sizes = n[by]
             for at in range(0, b - a, SMALL):  # by size, so that only a stretch of the group can link
                 own = by[at : at + SMALL]
                 stretch = by[at : int(np.searchsorted(sizes, sizes[at + len(own) - 1] * den // num, "right"))]
                 x, y = np.meshgrid(np.arange(len(own)), np.arange(len(stretch)), indexing="ij")
                 later = x < y
-                take(own[x[later]], stretch[y[later]])
-        if not rows:
+                own_parts.append(take(own[x[later]], stretch[y[later]]))  # thinned at once: in a group of copies all pairs are near
+            parts.append(nearest(*(np.concatenate(x) for x in zip(*own_parts, strict=True))))
+        rows, cols, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(rows):
             return None
-        rows, cols, far = np.concatenate(rows), np.concatenate(cols), np.concatenate(far)
-        a, b = np.minimum(cls[rows], cls[cols]), np.maximum(cls[rows], cls[cols])
-        failed = {(c, f) for c, many in zip(cls.tolist(), table.column("failed").to_pylist(), strict=True) for f in many or ()}
-        if failed:
-            fine = np.fromiter(((x, y) not in failed for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
-            rows, cols, far, a, b = rows[fine], cols[fine], far[fine], a[fine], b[fine]
-        if offer is not None and len(a):  # the nearest of each member
-            keep = np.zeros(len(a), bool)
-            for side in (rows, cols):
-                order = np.lexsort((b, a, far, side))
-                nth = np.arange(len(side)) - np.searchsorted(side[order], side[order])
-                keep[order[nth < offer]] = True
-            a, b = a[keep], b[keep]
-        return pa.table({"a": a, "b": b})
+        return pa.table({"a": np.minimum(cls[rows], cls[cols]), "b": np.maximum(cls[rows], cls[cols])})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last group so far, which the next batch may go on with
