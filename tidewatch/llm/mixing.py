@@ -163,7 +163,8 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).filter("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("of"), of).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     # the rows' own columns lie in a struct, so that no name of theirs meets one of ours
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), count_words(F.col("text")).alias("size"))
-    joined = sized.join(taken, (F.col("id") == F.col("of")) & (F.col("size") == F.col("words")))
+    # both sides are exchanged at every size; small tables are not broadcast, so that a run on little tells of one on much
+    joined = sized.join(taken.hint("merge"), (F.col("id") == F.col("of")) & (F.col("size") == F.col("words")))
     # rows repeated under one doc_id share its copies evenly, the remainder with the first
     once = joined.filter("rows = 1").withColumn("n", F.col("copies"))
     more = joined.filter("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy("id", "size").orderBy("id")))
