@@ -176,8 +176,8 @@ DECODERS = (
     lambda t: F.regexp_replace(t, r"(?s)/\*.*?\*/", ""),
     _base64,
 )
-#: A text without any of these is as it is.
-ENCODED = r"[%+\\&]|/\*|[A-Za-z0-9+/]{8}"
+#: A text without any of these is as it is: marks of an encoding, or a run that base64 could be.
+ENCODED = r"[%+\\&]|/\*|(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?(?![A-Za-z0-9+/])"
 
 
 def normalise(text: Column, rounds: int = 10, kinds: int = 5) -> Column:
@@ -199,8 +199,9 @@ def normalise(text: Column, rounds: int = 10, kinds: int = 5) -> Column:
         return F.when(state["done"], state).otherwise(_bound(passed, after))
 
     text = F.coalesce(text, F.lit(""))
-    begun = F.struct(text.alias("text"), F.lit(0).alias("met"), (~text.rlike(ENCODED)).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begun, lambda s, _: one(s), lambda s: s["text"])
+    begun = F.struct(text.alias("text"), F.lit(0).alias("met"), F.lit(False).alias("done"))
+    passes = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begun, lambda s, _: one(s), lambda s: s["text"])
+    return F.when(text.rlike(ENCODED), passes).otherwise(text)
 
 
 def chunked_body(body: Column) -> Column:

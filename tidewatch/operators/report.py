@@ -128,6 +128,13 @@ def flow_features(packets: DataFrame, flow: Column, idle: float = 120.0) -> Data
     return out.withColumn("packets_per_s", per(F.col("packets"), F.col("duration"))).withColumn("bytes_per_s", per(F.col("bytes"), F.col("duration"))).withColumn("fwd_share", F.col("fwd_packets") / F.col("packets"))
 
 
+def incident_summary(incidents: DataFrame, by: str, resolved: str, source: str) -> DataFrame:
+    """Of every severity: incidents, resolved and open ones, and how many sources they come from."""
+    return incidents.groupBy(by).agg(
+        F.count(F.lit(1)).alias("total"), F.sum(F.col(resolved).cast("long")).alias("resolved"), F.sum((~F.col(resolved)).cast("long")).alias("open"), F.countDistinct(source).alias("attackers"),
+    )
+
+
 def retain(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     """Rows not older than ``days``."""
     return df.filter(F.col(ts) >= now - F.expr(f"interval {days} days"))

@@ -38,8 +38,12 @@ def detect(df: DataFrame, rules: list[Rule], source: str = "src_ip") -> DataFram
 
 
 def detect_first(df: DataFrame, rules: list[Rule], source: str = "src_ip") -> DataFrame:
-    """The first rule that holds, for each row with one."""
-    rows = df.select("event_id", "ts", F.col(source).alias("source_ip"), F.coalesce(*[r.hit() for r in rules]).alias("h"))
+    """The first rule that holds, for each row with one.
+
+    The hit passes through an array of one, so that the filter stays above and no decoded column is computed once a mention.
+    """
+    hit = F.explode(F.array(F.coalesce(*[r.hit() for r in rules])))
+    rows = df.select("event_id", "ts", F.col(source).alias("source_ip"), hit.alias("h"))
     return rows.filter("h is not null").select("event_id", "ts", "source_ip", "h.*")
 
 
@@ -90,39 +94,43 @@ def _traversal(c: Column) -> Column:
 
 
 def decoded_request(df: DataFrame) -> DataFrame:
-    """``df`` with what the web chain reads decoded once: uri, body, cookie, forwarded header, parts of a chunked body.
+    """``df`` with what the web chain reads decoded once: uri, body, cookie, forwarded header, parts of a chunked body, values of repeated parameters.
 
-    Columns that a table of requests lacks (body, content_type) count as empty.
+    All texts of a request are decoded by one expression over an array. Columns that a table of requests lacks (body,
+    content_type) count as empty.
     """
     for name in ("body", "content_type"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(""))
-    parts = multipart(F.coalesce("content_type", F.lit("")), chunked_body(F.coalesce("body", F.lit(""))))
-    hidden = F.when(F.col("chunked") & (chunked_body(F.col("body")) != F.col("body")), F.array_join(F.transform(parts, lambda p: normalise(p)), "\n"))
-    return df.withColumns(
-        {"_uri": normalise(F.col("http_uri")), "_body": normalise(F.col("body")), "_cookie": normalise(F.col("cookie")), "_forwarded": normalise(F.col("forwarded")), "_hidden": hidden}
-    )
+    df = df.withColumn("body", F.coalesce("body", F.lit(""))).withColumn("_plain", F.when(F.col("chunked"), chunked_body(F.col("body"))))
+    none = F.array().cast("array<string>")
+    parts = F.when(F.col("_plain") != F.col("body"), multipart(F.coalesce("content_type", F.lit("")), F.col("_plain"))).otherwise(none)
+    query = F.regexp_extract("http_uri", r"(?s)^[^?]*\?(.*)$", 1)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(p.contains("="), F.regexp_replace(p, "(?s)^[^=]*=", "")).otherwise("").alias("v")))
+    df = df.withColumn("_parts", F.coalesce(parts, none)).withColumn("_pairs", F.when(query.contains("&"), pairs))
+    again = F.transform(F.filter("_pairs", lambda p: F.size(F.filter("_pairs", lambda q: q["k"] == p["k"])) > 1), lambda p: url_decoded(p["v"]))
+    df = df.withColumn("_again", F.coalesce(again, none))
+    texts = F.concat(F.array(*[F.coalesce(c, F.lit("")) for c in ("http_uri", "body", "cookie", "forwarded")]), "_parts", "_again")
+    df = df.withColumn("_texts", F.transform(texts, lambda t: normalise(t)))
+    own = {name: F.get("_texts", i) for i, name in enumerate(("_uri", "_body", "_cookie", "_forwarded"))}
+    return df.withColumns(own | {"_hidden": F.slice("_texts", 5, F.size("_parts")), "_again": F.slice("_texts", F.size("_parts") + 5, F.size("_again"))})
 
 
 def web_rules() -> list[Rule]:
     """The ordered chain over decoded requests: of several, the first counts; smuggling is tried last."""
     uri, body, agent, cookie, forwarded = F.col("_uri"), F.col("_body"), F.lower("user_agent"), F.col("_cookie"), F.col("_forwarded")
-    query = F.regexp_extract("http_uri", r"(?s)^[^?]*\?(.*)$", 1)
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(p.contains("="), F.regexp_replace(p, "(?s)^[^=]*=", "")).otherwise("").alias("v")))
     bad = lambda c: _sql(c) | _xss(c) | _cmd(c)
-    repeated = F.filter(pairs, lambda p: F.size(F.filter(pairs, lambda q: q["k"] == p["k"])) > 1)
-    polluted = query.contains("&") & F.exists(repeated, lambda p: bad(normalise(url_decoded(p["v"]))))
     return [
         Rule("sql_injection", "critical", _sql(body) | _sql(uri), 0.9),
         Rule("xss_attempt", "high", _xss(body) | _xss(uri), 0.85),
         Rule("command_injection", "critical", _cmd(body) | _cmd(uri), 0.9),
         Rule("path_traversal", "high", _traversal(uri), 0.85),
         Rule("scanner_detected", "low", agent.rlike(PATTERN["scanner_signature"]) | uri.rlike(PATTERN["scanner_signature"]), 0.7),
-        Rule("http_parameter_pollution", "high", polluted, 0.85),
+        Rule("http_parameter_pollution", "high", F.exists("_again", bad), 0.85),
         Rule("cookie_injection", "high", _sql(cookie) | _xss(cookie), 0.85),
         Rule("header_injection", "high", _sql(forwarded) | _xss(forwarded) | _traversal(forwarded), 0.8),
         Rule("websocket_upgrade", "low", F.lower("upgrade") == "websocket", 0.3),
-        Rule("bypass_encoding", "high", F.coalesce(bad(F.col("_hidden")), F.lit(False)), 0.85),
+        Rule("bypass_encoding", "high", F.exists("_hidden", bad), 0.85),
         Rule("http_smuggling_cl_te", "critical", (F.col("n_content_length") > 0) & F.col("chunked"), 0.9),
         Rule("http_smuggling_dual_cl", "critical", F.col("n_content_length") > 1, 0.85),
     ]

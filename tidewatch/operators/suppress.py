@@ -24,12 +24,17 @@ def range_label(df: DataFrame, ip: str, ranges: DataFrame, disabled: tuple[str,
     listed = ranges.orderBy("ord").limit(MOST_RANGES + 1).collect()
     if len(listed) > MOST_RANGES:
         raise ValueError("a range list is a small configuration table")
-    numbered = df.withColumn("_ip4", ipv4_number(F.col(ip))).withColumn("_ip6", ipv6_hex(F.col(ip)))
-    label = F.when(F.lit(False), F.lit(""))
-    for r in listed:
-        inside = F.col("_ip4").between(r.lo, r.hi) if r.lo is not None else F.col("_ip6").between(r.lo6, r.hi6)
-        label = label.when(inside, F.lit(None if r.label in disabled else r.label).cast("string"))
-    return numbered.withColumn("label", label).drop("_ip4", "_ip6")
+    text = lambda v: "cast(null as string)" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    number = lambda v: "cast(null as bigint)" if v is None else f"{v}L"
+    rows = [f"struct({text(None if r.label in disabled else r.label)} AS label, {number(r.lo)} AS lo, {number(r.hi)} AS hi, {text(r.lo6)} AS lo6, {text(r.hi6)} AS hi6)" for r in listed]
+    every = F.expr(f"array({', '.join(rows)})")
+    address = F.array(F.struct(ipv4_number(F.col(ip)).alias("n"), ipv6_hex(F.col(ip)).alias("h")))
+    holds = lambda a, r: F.coalesce(a["n"].between(r["lo"], r["hi"]), a["h"].between(r["lo6"], r["hi6"]), F.lit(False))
+    if not listed:
+        return df.withColumn("label", F.lit(None).cast("string"))
+    first = F.transform(address, lambda a: F.get(F.filter(every, lambda r: holds(a, r)), 0)["label"])
+    # an array of one, so that filters on the label stay above and it is computed once
+    return df.withColumn("label", F.explode(first))
 
 
 def drop_noise(detections: DataFrame, ip: str = "source_ip", cdn_types: tuple[str, ...] = CDN_NOISE, private_types: tuple[str, ...] = PRIVATE_NOISE) -> DataFrame:
