@@ -60,6 +60,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def fold_id(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -91,4 +96,4 @@ def split_by_ids(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame,
     words = ids.select(word.alias("__word"), bit.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
     marked = rows.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
     maybe = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
-    return tuple(marked.filter(test).select(rows.columns) for test in (maybe, ~maybe))
+    return tuple(marked.filter(test).select(*quoted(rows)) for test in (maybe, ~maybe))

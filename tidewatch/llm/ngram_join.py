@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, split_by_ids
+from .common import Scratch, quoted, split_by_ids
 from .components import components
 
 #: Frequent tokens that are told apart, at most: the size of the broadcast table.
@@ -519,4 +519,4 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     scratch = Scratch(docs.sparkSession, "ngrams")
     gone = scratch.save(ngram_join(docs, k, num, den, scratch).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     likely, rest = split_by_ids(docs, gone, "doc_id")
-    return likely.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(rest)
+    return likely.join(gone, "doc_id", "left_anti").select(*quoted(docs)).unionByName(rest)

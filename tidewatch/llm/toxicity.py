@@ -256,10 +256,12 @@ def keep_clean(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [cast.value.probability(cast.value.passages(tokens(text or ""))) < THRESHOLD for text in batch.column("text").to_pylist()]
+            keep = [cast.value.probability(cast.value.passages(tokens(text or ""))) < THRESHOLD for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    # by place, as names may hold dots
+    at, places = docs.columns.index("text"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return places.mapInArrow(work, places.schema).toDF(*docs.columns)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
