@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_ids
+from .common import strings, with_ids
 
 TYPES = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -181,7 +181,7 @@ class Coder:
                 yield int(found["d"][k]), bytes.fromhex(found["hex"][k])
 
 
-def chunks(texts: list[str], most: int = CHARACTERS) -> Iterator[list[str]]:
+def chunks(texts: Iterable[str], most: int = CHARACTERS) -> Iterator[list[str]]:
     """Texts in runs of about ``most`` characters."""
     run, size = [], 0
     for text in texts:
@@ -207,7 +207,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFra
         coder = Coder.of(vocabulary, pattern)
         for batch in batches:
             rows: list[tuple] = []
-            for run in chunks([text or "" for text in batch.column("text").to_pylist()]):
+            for run in chunks(text or "" for text in strings(batch.column("text"))):
                 ids = coder.encode(run)
                 digests = [hashlib.sha256() for _ in run]
                 for place, part in coder.decode(ids):
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(vocabulary, pattern)
         for batch in batches:
-            ids = [x for run in chunks([text or "" for text in batch.column("text").to_pylist()]) for x in coder.encode(run)]
+            ids = [x for run in chunks(text or "" for text in strings(batch.column("text"))) for x in coder.encode(run)]
             yield with_ids(batch, [(np.frombuffer(x, "<u4").astype(np.int32),) for x in ids], {"ids": pa.list_(pa.int32())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, ids array<int>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -81,6 +82,22 @@ def with_ids(batch: pa.RecordBatch, rows: list[tuple], types: dict[str, pa.DataT
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *types])
 
 
+def strings(column: pa.Array, many: int = 256) -> Iterator[str | None]:
+    """A column's values, made into Python strings some at a time."""
+    for at in range(0, len(column), many):
+        yield from column.slice(at, many).to_pylist()
+
+
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on a task's batches that gives Arrow's unused memory back at its end, as a worker lives on after a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 #: Words of 64 bits in the filter of ``split_by_ids``: a megabyte, whatever the tables.
 FILTER_WORDS = 1 << 17
 

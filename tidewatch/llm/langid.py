@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, fold_id, with_ids
+from .common import Scratch, fold_id, strings, with_ids
 
 #: Labelled documents that the machines are fitted on: of a language, and of all, at most.
 FIT_ROWS, FIT_TOTAL = 400, 20_000
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, scratch: Scratch | None = Non
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 found = words(text)
                 bins = np.bincount(np.array([k for w in found for k in grams(w)] if has_letter(text, found) else [], np.int64), minlength=DIMS)
                 k = np.flatnonzero(bins)
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield with_ids(batch, [cast.value.predict(text) for text in batch.column("text").to_pylist()], TYPES)
+            yield with_ids(batch, [cast.value.predict(text) for text in strings(batch.column("text"))], TYPES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
 

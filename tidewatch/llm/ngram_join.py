@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, quoted, split_by_ids
+from .common import Scratch, quoted, releasing, split_by_ids, strings
 from .components import components
 
 #: Frequent tokens that are told apart, at most: the size of the broadcast table.
@@ -196,7 +196,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             n, cls, chk, bits = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 tokens = shingle_hashes(text, k)
                 n.append(len(tokens))
                 cls.append(set_id(tokens) if len(tokens) else None)
@@ -211,7 +211,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(n), kind) for kind in kinds[5:]]], names=names)
         yield from often()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n int, cls long, chk long, bits binary, tok long, cnt int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(work), "doc_id long, n int, cls long, chk long, bits binary, tok long, cnt int")
 
 
 def _index(docs: DataFrame, frequent, moved: dict, k: int, num: int, den: int) -> DataFrame:
@@ -224,7 +224,7 @@ def _index(docs: DataFrame, frequent, moved: dict, k: int, num: int, den: int) -
         done: set[int] = set()
         for batch in batches:
             sig, cls = [], []
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 tokens = shingle_hashes(text, k)
                 if not len(tokens) or (own := set_id(tokens, moved)) in done:
                     continue
@@ -240,7 +240,7 @@ def _index(docs: DataFrame, frequent, moved: dict, k: int, num: int, den: int) -
             if sig:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cls))], names=["sig", "cls"])
 
-    return docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(work, "sig long, cls long")
+    return docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(releasing(work), "sig long, cls long")
 
 
 def _shared(sigs: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def _shared(sigs: DataFrame) -> DataFrame:
             other = lo != cls
             yield pa.RecordBatch.from_arrays([pa.array(lo[other]), pa.array(cls[other])], names=["lo", "cls"])
 
-    return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(work, "lo long, cls long").distinct()
+    return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(releasing(work), "lo long, cls long").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, moved: dict, k: int) -> DataFrame:
@@ -273,12 +273,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, moved: dict, k: int) -> DataFrame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls = [set_id(shingle_hashes(text, k), moved) for text in batch.column("text").to_pylist()]
+            cls = [set_id(shingle_hashes(text, k), moved) for text in strings(batch.column("text"))]
             yield batch.append_column("cls", pa.array(cls, pa.int64()))
 
     read = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep is not null and text is not null")
     likely, _ = split_by_ids(read, wanted.select("rep"), "rep")
-    return likely.mapInArrow(work, "rep long, text string, cls long").join(wanted, ["rep", "cls"]).select("cls", "text").dropDuplicates(["cls"])
+    return likely.mapInArrow(releasing(work), "rep long, text string, cls long").join(wanted, ["rep", "cls"]).select("cls", "text").dropDuplicates(["cls"])
 
 
 def _small_pairs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -401,7 +401,7 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
 
     # groups of two parts at most, several to a task: one call each would cost more than the work
     keys = ("lo", "bi", "bj")
-    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long").distinct()
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(work), "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -412,7 +412,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
         size = 0
         for batch in batches:
             links = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+            for a, b, x, y in zip(*(strings(batch.column(c), 64) for c in ("a", "b", "x", "y")), strict=True):
                 if size > VERIFIED:
                     known, size = {}, 0
                 for cls, text in ((a, x), (b, y)):
@@ -424,7 +424,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "links"])
 
     sides = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(work, "a long, b long, links boolean")
+    return sides.select("a", "b", "x", "y").mapInArrow(releasing(work), "a long, b long, links boolean")
 
 
 def _moved(sets: DataFrame) -> dict[tuple[int, int], int]:

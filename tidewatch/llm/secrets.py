@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_ids
+from .common import strings, with_ids
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -83,7 +83,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, pattern: str, ratio: float =
         coder = encoding(vocabulary, pattern)
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 text = text or ""
                 base = base_spans(text)
                 more = random_spans(text, coder, ratio)

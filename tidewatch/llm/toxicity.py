@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_id, with_ids
+from .common import Scratch, fold_id, releasing, strings, with_ids
 
 #: Labelled documents that a model is fitted on, at most; a quarter of them calibrates and is not counted.
 FIT_ROWS = 20_000
@@ -29,8 +29,10 @@ PRIOR, DRIFT, EVALUE = 4.0, 1.5, 0.05
 #: Passages expected less often than this add to a text's score; those below EVALUE are significant by themselves.
 COUNTS = 1.0
 THRESHOLD = 0.7
+#: Rows that a filter passes on together.
+SLICE = 512
 #: Words whose score a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Letters and digits stay, other ASCII becomes a space; bytes of other characters stay.
 KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 BINS = np.arange(-8.0, 12.01, 0.25)
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, every = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, label in zip(strings(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 at = np.array([k for word in tokens(text) for k in features(word)], np.int64)
                 np.add.at(every, at, 1)
                 if label:
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
         yield pa.RecordBatch.from_pydict({"k": k, "t": toxic[k], "n": every[k]})
 
     # at most BUCKETS rows come to the driver
-    counted = chosen.filter("not calibrates").select("text", "toxic").mapInArrow(count, "k long, t long, n long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
+    counted = chosen.filter("not calibrates").select("text", "toxic").mapInArrow(releasing(count), "k long, t long, n long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
     toxic, every = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     k = counted.column("k").to_numpy()
     toxic[k], every[k] = counted.column("t").to_numpy(), counted.column("n").to_numpy()
@@ -197,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 words = tokens(text)
                 scores = cast.value.token_scores(words)
                 bins = np.bincount(np.clip(np.rint((scores - BINS[0]) * 4), 0, len(BINS) - 1).astype(int), minlength=len(BINS))
@@ -205,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
             yield with_ids(batch, rows, {"n": pa.int64(), "best": pa.float64(), "bins": pa.list_(pa.int64())})
 
     # at most a quarter of fit_rows, a row of fixed length each
-    benign = chosen.filter("calibrates and toxic = 0").select("doc_id", "text").mapInArrow(measure, "doc_id long, n long, best double, bins array<long>").filter("n > 0").orderBy("doc_id").collect()
+    benign = chosen.filter("calibrates and toxic = 0").select("doc_id", "text").mapInArrow(releasing(measure), "doc_id long, n long, best double, bins array<long>").filter("n > 0").orderBy("doc_id").collect()
     if not benign:
         return model
     model.rate, model.scale = gumbel(np.sum([r.bins for r in benign], axis=0), np.array([r.best for r in benign]), np.array([r.n for r in benign], float))
@@ -214,11 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: S
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [cast.value.summary(cast.value.passages(tokens(text))) for text in batch.column("text").to_pylist()]
+            rows = [cast.value.summary(cast.value.passages(tokens(text))) for text in strings(batch.column("text"))]
             yield with_ids(batch, rows, {"best": pa.float64(), "total": pa.float64()}).append_column("toxic", batch.column("toxic"))
 
     # three numbers a row
-    held = chosen.filter("calibrates").select("doc_id", "text", "toxic").mapInArrow(summarise, "doc_id long, best double, total double, toxic int").orderBy("doc_id", "best", "total").collect()
+    held = chosen.filter("calibrates").select("doc_id", "text", "toxic").mapInArrow(releasing(summarise), "doc_id long, best double, total double, toxic int").orderBy("doc_id", "best", "total").collect()
     if any(r.toxic for r in held):
         model.weights = tuple(logistic(np.array([(r.best, r.total) for r in held]), np.array([float(r.toxic > 0) for r in held])).tolist())
     model.known = {}
@@ -237,13 +239,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 found = cast.value.passages(tokens(text or ""))
                 sure = [{"start": a, "end": b, "evalue": e} for a, b, e in found if e <= EVALUE]
                 rows.append((cast.value.probability(found), len(sure), sure))
             yield with_ids(batch, rows, TYPES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(work), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -256,12 +258,14 @@ def keep_clean(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [cast.value.probability(cast.value.passages(tokens(text or ""))) < THRESHOLD for text in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for begin in range(0, len(batch), SLICE):  # rows go on some at a time, as they carry whole texts
+                part = batch.slice(begin, SLICE)
+                keep = [cast.value.probability(cast.value.passages(tokens(text or ""))) < THRESHOLD for text in strings(part.column(at))]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     # by place, as names may hold dots
     at, places = docs.columns.index("text"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return places.mapInArrow(work, places.schema).toDF(*docs.columns)
+    return places.mapInArrow(releasing(work), places.schema).toDF(*docs.columns)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
