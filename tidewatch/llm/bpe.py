@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, with_ids
+from .common import keep_between_tasks, releasing, strings, with_ids
 
 TYPES = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -26,7 +27,7 @@ REMEMBERED, REMEMBERED_BYTES, PIECES, LONG = 400_000, 1 << 25, 20_000, 64
 #: Rows that one recursive query over a long piece keeps, about.
 KEPT = 1 << 21
 #: Characters of the texts that are handled together; ids that one query decodes. Both bound memory.
-CHARACTERS, IDS = 1 << 21, 1 << 19
+CHARACTERS, IDS = 1 << 19, 1 << 17
 MEMORY = "256MB"
 
 # Rows are keyed by a byte address g; pieces are a byte apart, so that a row's right neighbour stands at g + len.
@@ -80,7 +81,7 @@ class Coder:
     A merge is any two tokens whose bytes joined are a token; its rank is that token's id.
     """
 
-    _kept: dict[tuple[str, str], Coder] = {}
+    _kept: dict[tuple[str, str], Coder] = keep_between_tasks({})
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
@@ -88,10 +89,8 @@ class Coder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in lines if line.strip())}
-        merges = np.array(
-            [(left, right, rank) for word, rank in ranks.items() for i in range(1, len(word)) if (left := ranks.get(word[:i])) is not None and (right := ranks.get(word[i:])) is not None],
-            dtype=np.int64,
-        ).reshape(-1, 3)
+        found = ((left, right, rank) for word, rank in ranks.items() for i in range(1, len(word)) if (left := ranks.get(word[:i])) is not None and (right := ranks.get(word[i:])) is not None)
+        merges = np.fromiter(itertools.chain.from_iterable(found), np.int64).reshape(-1, 3)
         left, right, rank = merges.T
         self.pattern, self.ranks, self.pieces = regex.compile(pattern), ranks, {}
         self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
@@ -215,7 +214,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFra
                 rows += [(len(x) // 4, hashlib.sha256(x).hexdigest(), d.hexdigest()) for x, d in zip(ids, digests, strict=True)]
             yield with_ids(batch, rows, TYPES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(work, keeps=True), SCHEMA)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -227,7 +226,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             ids = [x for run in chunks(text or "" for text in strings(batch.column("text"))) for x in coder.encode(run)]
             yield with_ids(batch, [(np.frombuffer(x, "<u4").astype(np.int32),) for x in ids], {"ids": pa.list_(pa.int32())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(work, keeps=True), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -242,4 +241,4 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 parts[place].append(part)
             yield with_ids(batch, [(b"".join(x),) for x in parts], {"bytes": pa.binary()})
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(work, "doc_id long, bytes binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(releasing(work, keeps=True), "doc_id long, bytes binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,12 +89,39 @@ def strings(column: pa.Array, many: int = 256) -> Iterator[str | None]:
         yield from column.slice(at, many).to_pylist()
 
 
-def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` on a task's batches that gives Arrow's unused memory back at its end, as a worker lives on after a task."""
+#: What operators keep in a worker between their tasks.
+_KEPT: list[dict] = []
+
+
+def keep_between_tasks(cache: dict) -> dict:
+    """``cache``, which an operator's workers keep until a task of another operator comes."""
+    _KEPT.append(cache)
+    return cache
+
+
+def drop_kept() -> None:
+    for cache in _KEPT:
+        cache.clear()
+
+
+def give_back() -> None:
+    """Unused memory of Arrow and of the C library goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on a task's batches that gives unused memory back at its end, as a worker lives on after a task.
+
+    What other operators keep in the worker goes first, unless ``work`` is of an operator that ``keeps``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            drop_kept()
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
