@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, ngram_join, secrets, sharding, toxicity
+from . import ann, bpe, exact_dedup, langid, lexical, line_dedup, mixing, ngram_join, secrets, sharding, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -80,6 +80,27 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, n_removed, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS text_sha256 FROM kept
 """
 
+
+def op11_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+     lens AS (SELECT doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+     c AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM lens),
+     words AS (SELECT doc_id, n, unnest(ts) AS term FROM lens),
+     tf AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+     q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+     p AS (SELECT q.item_id, tf.doc_id, CAST(floor(1000 * ln((2 * c.nd + 2) / (2 * df.df + 1))) AS BIGINT) * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * tf.n * c.nd) // c.l))) AS s
+           FROM q JOIN df USING (term) JOIN tf USING (term), c),
+     s AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM p GROUP BY item_id, doc_id HAVING sum(s) > 0),
+     r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -95,6 +116,7 @@ QUERIES = {
     "op8_family_svm": op8_family_svm,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_windows": op10_line_windows,
+    "op11_term_pipeline": op11_term_pipeline,
     "pipeline": pipeline,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op10_line_windows": OP10_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op10_line_windows": OP10_SQL, "op11_term_pipeline": OP11_SQL}
