@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, bpe, exact_dedup, langid, lexical, line_dedup, mixing, ngram_join, secrets, sharding, toxicity
+from . import ann, bpe, collocations, exact_dedup, hyperplanes, langid, lexical, line_dedup, mixing, ngram_join, secrets, sharding, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -101,6 +101,32 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """
 
 
+def op12_sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplanes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+     at AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+     g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM at, (SELECT unnest([1, 2, 3, 4, 5]) AS k) x WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+     c AS (SELECT lang, k, phrase, f AS a FROM g WHERE k >= 2 AND f >= 100),
+     cut AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS j FROM c),
+     part AS (SELECT *, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS lp, array_to_string(string_split(phrase, ' ')[j + 1:k], ' ') AS rp FROM cut),
+     s AS (SELECT part.lang, part.phrase, part.k, part.a, part.j, x.f AS l, y.f AS r, n.n, CAST((1000::HUGEINT * part.a * n.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+           FROM part JOIN g x ON x.lang = part.lang AND x.phrase = part.lp JOIN g y ON y.lang = part.lang AND y.phrase = part.rp JOIN n ON n.lang = part.lang),
+     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s) t WHERE o = 1),
+     kept AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+     r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -117,6 +143,8 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_line_windows": op10_line_windows,
     "op11_term_pipeline": op11_term_pipeline,
+    "op12_sign_hashes": op12_sign_hashes,
+    "op13_prefix_free": op13_prefix_free,
     "pipeline": pipeline,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op10_line_windows": OP10_SQL, "op11_term_pipeline": OP11_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op10_line_windows": OP10_SQL, "op11_term_pipeline": OP11_SQL, "op13_prefix_free": OP13_SQL}
