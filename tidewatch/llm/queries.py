@@ -112,8 +112,8 @@ def op13_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
      w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
-     at AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
-     g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM at, (SELECT unnest([1, 2, 3, 4, 5]) AS k) x WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+     place AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+     g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM place, (SELECT unnest([1, 2, 3, 4, 5]) AS k) x WHERE i + k - 1 <= len(ws) GROUP BY ALL),
      n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
      c AS (SELECT lang, k, phrase, f AS a FROM g WHERE k >= 2 AND f >= 100),
      cut AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS j FROM c),
