@@ -24,11 +24,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             break
         seen = state
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # written, so that the rows of a large star's centre can be split in the join
+        near = scratch.write(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "nearest")
+        least = scratch.read(near, "x long, m long")
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, path = path, scratch.write(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
         scratch.drop(old)
+        scratch.drop(near)
     stars = scratch.read(path, "u long, v long")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,7 +12,7 @@ broadcast, so their rows stay where they are; the rest meet their groups in a jo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower, split_by_ids, union_all
@@ -56,6 +56,10 @@ def _split(rows: DataFrame, width: int, n: int, scratch: Scratch) -> DataFrame:
     )
 
 
+def _normalised() -> Column:
+    return ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")
+
+
 def exact_duplicates(docs: DataFrame, first_digit: int = FIRST_DIGIT, wider: int = WIDER, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
 
@@ -65,8 +69,7 @@ def exact_duplicates(docs: DataFrame, first_digit: int = FIRST_DIGIT, wider: int
     columns may have any name. The digest is a column of the result and decides nothing.
     """
     scratch = scratch or Scratch(docs.sparkSession, "radix")
-    norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("grp"), norm.alias("rest")).withColumn("text_sha256", F.sha2("rest", 256))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("grp"), _normalised().alias("rest")).withColumn("text_sha256", F.sha2("rest", 256))
     done, width, previous, n = [], first_digit, None, docs.count()
     while True:
         path = scratch.write(_split(rows, width, n, scratch), "level", partition=["done"])
@@ -84,7 +87,17 @@ def exact_duplicates(docs: DataFrame, first_digit: int = FIRST_DIGIT, wider: int
     return union_all([d.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256") for d in done])
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that a larger doc_id with an equal text replaces, one row a doc_id."""
-    gone = exact_duplicates(docs, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``docs`` with one row for each text (as compared by ``exact_duplicates``): one of those with the largest doc_id.
+
+    Rows with a null doc_id stay where no row with an id has their text. Columns may have any name.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "radix")
+    groups = exact_duplicates(docs, scratch=scratch, **options).filter("group_size > 1").groupBy(F.col("text_sha256").alias("of")).agg(F.max("keep_id").alias("keep_id"))
+    groups = scratch.save(groups, "kept")
+    # the rows' own columns lie in a struct, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(_normalised(), 256).alias("sha"))
+    likely, rest = split_by_ids(rows, groups.select(F.col("of").alias("sha")), "sha")
+    placed = likely.join(groups, F.col("sha") == F.col("of"), "left").filter("of is null or id <=> keep_id")
+    one = placed.filter("of is not null").dropDuplicates(["sha"]).select("row")
+    return placed.filter("of is null").select("row").unionByName(one).unionByName(rest.select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

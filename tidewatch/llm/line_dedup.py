@@ -70,8 +70,14 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, scratch: Scratch | None = N
     lines all go becomes empty. An empty table gives an empty table; other columns are carried along, whatever their
     names; columns named n_lines or n_removed are replaced. Texts that lose nothing are not shuffled.
     """
+    cleaned = clean(docs, size, scratch)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return cleaned.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in own], "n_lines", "n_removed")
+
+
+def clean(docs: DataFrame, size: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
+    """row, text, n_lines, n_removed: ``dedup_lines`` with each row as it came in a struct, so that no column is replaced."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    docs = docs.drop("n_lines", "n_removed")
     starts = repeated_windows(docs, size, scratch).groupBy("doc_id", "txt").agg(F.collect_set("line").alias("starts"))
     starts = scratch.save(starts.withColumn("key", F.xxhash64("doc_id", "txt")), "starts")
     # the rows' own columns lie in a struct, so that no name of theirs meets one of ours
@@ -85,7 +91,8 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, scratch: Scratch | None = N
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda i: F.get(lines, i))
     text = F.when(F.col("starts").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return both.select(
-        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
+        "row",
+        text.alias("text"),
         F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("starts").isNull(), 0).otherwise(F.size(covered)).cast("long").alias("n_removed"),
     )

@@ -33,6 +33,10 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """source, source_size, n_docs, target, for ``sizes`` (source, size) with one row a document.
 
@@ -109,15 +113,10 @@ def _round_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("src", "grp").applyInPandas(work, rows.schema)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, group_rows: int = GROUP_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """Copies of every document in the mix: doc_id, source, size, source_size, target, copies, taken.
-
-    Null and empty texts have size 0 and take no words; they get no copies. Null sources form one source, the last. A null
-    doc_id is a key like any other. Repeated rows are rounded one by one. An empty table gives no rows. Other columns
-    are ignored. Only ids, sources and sizes are shuffled; coins come from the keys of a group, so reruns agree.
-    """
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, group_rows: int = GROUP_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``mix`` and their key, a hash of id and text."""
     scratch = scratch or Scratch(docs.sparkSession, "mix")
-    sizes = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key")), "sizes")
+    sizes = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), _key().alias("key")), "sizes")
     goal = scratch.save(targets(sizes, weights, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a table with a row for each source is joined by its key, not broadcast: nothing bounds the number of sources
@@ -149,23 +148,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, g
         groups = scratch.read(scratch.write(_round_groups(up.select(*rows.columns)), "level"), rows.schema)
     copies = (F.col("whole") + F.col("part")).cast("int")
     return union_all(done).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "key"
     )
 
 
-def repeat(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, group_rows: int = GROUP_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """Copies of every document in the mix: doc_id, source, size, source_size, target, copies, taken.
 
-    Rows that share a doc_id get their copies one by one, in no particular order; rows with a null doc_id or without words
-    are not taken. Columns may have any name.
+    Null and empty texts have size 0 and take no words; they get no copies. Null sources form one source, the last. A null
+    doc_id is a key like any other. Repeated rows are rounded one by one. An empty table gives no rows. Other columns
+    are ignored. Only ids, sources and sizes are shuffled; coins come from the keys of a group, so reruns agree.
     """
-    of = F.col("size").alias("words")
-    taken = mix(docs, **options).filter("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("of"), of).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    return _mixed(docs, weights, cap, group_rows, scratch).drop("key")
+
+
+def repeat(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, whatever its id.
+
+    Rows repeated with id and text share their copies evenly, the remainder in no particular order; rows without words are
+    not taken. Columns may have any name.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "mix")
+    of = [F.col("key").alias("of"), F.col("size").alias("words")]
+    taken = _mixed(docs, scratch=scratch, **options).groupBy(*of).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    # written, so that a row repeated very often can be split in the join
+    taken = scratch.save(taken, "taken")
     # the rows' own columns lie in a struct, so that no name of theirs meets one of ours
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), count_words(F.col("text")).alias("size"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("id"), count_words(F.col("text")).alias("size"))
     # both sides are exchanged at every size; small tables are not broadcast, so that a run on little tells of one on much
     joined = sized.join(taken.hint("merge"), (F.col("id") == F.col("of")) & (F.col("size") == F.col("words")))
-    # rows repeated under one doc_id share its copies evenly, the remainder with the first
     once = joined.filter("rows = 1").withColumn("n", F.col("copies"))
     more = joined.filter("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy("id", "size").orderBy("id")))
     more = more.withColumn("n", F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") <= F.col("copies") % F.col("rows")).cast("int")).drop("nth")

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, quoted, releasing, split_by_ids, strings
@@ -323,7 +323,7 @@ class _Sketches:
 
 
 def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFrame:
-    """(a, b): pairs of sets in a bucket, in different components, that the sketches don't rule out and that didn't fail."""
+    """(a, b): pairs of sets in a bucket, in different components, that the sketches don't rule out."""
 
     def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Pairs whose sizes allow a link, of different components, and of the two parts if those differ."""
@@ -336,7 +336,6 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
         left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         sketches = _Sketches(table.column("bits").to_pylist())
         starts, ends = cuts[:-1], cuts[1:]
-        failed = {(c, f) for c, many in zip(cls.tolist(), table.column("failed").to_pylist(), strict=True) for f in many or ()}
 
         def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Of pairs of rows, the ``offer`` nearest of each row on either side."""
@@ -355,11 +354,7 @@ def _offers(members: DataFrame, num: int, den: int, offer: int | None) -> DataFr
                 return i, j, np.empty(0)
             apart, total = sketches.apart(i, j), n[i] + n[j]
             fine = apart * (den + num) <= (den - num) * total
-            i, j, far = i[fine], j[fine], apart[fine] / total[fine]
-            if failed and len(i):
-                fine = np.fromiter(((min(x, y), max(x, y)) not in failed for x, y in zip(cls[i].tolist(), cls[j].tolist(), strict=True)), bool, len(i))
-                i, j, far = i[fine], j[fine], far[fine]
-            return nearest(i, j, far)
+            return nearest(i[fine], j[fine], apart[fine] / total[fine])
 
         parts = [take(*_small_pairs(starts, ends))]
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -442,17 +437,12 @@ def _moved(sets: DataFrame) -> dict[tuple[int, int], int]:
     return {(r.cls, r.chk): r.id for r in rows}
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: ``k``-word shingles, links at Jaccard similarity num / den or more.
+def _sets(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict]:
+    """(doc_id, n, cls) of every row, (cls, rep) of every set that a row with an id has, and ``_moved``.
 
-    component_id is the smallest doc_id that links reach, the row's own included; equal sets link. Null texts, empty ones
-    and ones without words have no shingles and link with nothing. A row with a null doc_id keeps a null component and
-    links nothing. Rows repeated under one doc_id are one document with all their links. An empty table gives no rows;
-    columns other than doc_id and text are ignored. ``num`` / ``den`` must be at least a half.
+    rep is the smallest doc_id that the set's links reach.
     """
-    if not 1 <= k or not den <= 2 * num <= 2 * den:
-        raise ValueError("k must be positive and the similarity between a half and one")
-    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "ngrams")
+    spark = docs.sparkSession
     described = scratch.save(_describe(docs, k), "sets")
     sets = described.filter("n is not null").select("doc_id", "n", "cls", "chk", "bits")
     moved = _moved(sets)
@@ -476,47 +466,89 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scrat
     classes = sets.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = scratch.save(classes, "classes")
 
-    links = spark.createDataFrame([], "a long, b long, links boolean")
-    comps = None
+    links = comps = None
     for offer in OFFERS:
         if comps is None:
-            rows = members.withColumn("comp", F.col("cls")).withColumn("failed", F.lit(None).cast("array<long>"))
+            rows = members.withColumn("comp", F.col("cls"))
         else:
             rows = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
             closed = rows.groupBy("lo").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("m")).filter((F.col("a") == F.col("b")) & (F.col("m") >= CLOSED))
             rows = rows.join(scratch.save(closed.select("lo"), "closed"), "lo", "left_anti")
-            failed = links.filter("not links").groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("failed"))
-            rows = rows.join(failed, "cls", "left")
         rows = rows.join(classes.select("cls", "n", "bits"), "cls")
         # a large bucket is compared part by part: a row goes to the pairs of parts that its own is one of
         pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj")))
-        rows = rows.withColumn("p", F.explode(pairs_of)).select("lo", "cls", "n", "bits", "comp", "failed", "p.bi", "p.bj", (F.col("blk") == F.col("p.bi")).alias("left"), (F.col("blk") == F.col("p.bj")).alias("right"))
-        pairs = scratch.save(_offers(rows, num, den, offer), "offers")
+        rows = rows.withColumn("p", F.explode(pairs_of)).select("lo", "cls", "n", "bits", "comp", "p.bi", "p.bj", (F.col("blk") == F.col("p.bi")).alias("left"), (F.col("blk") == F.col("p.bj")).alias("right"))
+        offers = _offers(rows, num, den, offer)
+        # what was verified before is not verified again
+        pairs = scratch.save(offers if links is None else offers.join(links.select("a", "b"), ["a", "b"], "left_anti"), "offers")
         if pairs.isEmpty():
-            break
+            if offer is None or links is None:
+                break
+            continue
         live = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         wanted = scratch.save(classes.join(live, "cls").select("cls", "rep"), "wanted")
         if comps is None:
             # what no sketch passes now, none passes later
             members = scratch.save(members.join(wanted.select("cls"), "cls"), "members")
         texts = scratch.save(_texts(docs, wanted, moved, k), "texts")
-        links = scratch.save(links.unionByName(_verify(pairs, texts, k, num, den)), "links")
+        found = _verify(pairs, texts, k, num, den)
+        links = scratch.save(found if links is None else links.unionByName(found), "links")
         comps = scratch.save(components(links.filter("links").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "components")
     # from sets to documents: a component's id is its smallest document
     reps = classes.select("cls", "rep")
     if comps is not None:
         reps = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        least = reps.groupBy("component").agg(F.min("rep").alias("least"))
+        least = scratch.save(reps.groupBy("component").agg(F.min("rep").alias("least")), "least")
         reps = scratch.save(reps.join(least, "component").select("cls", F.col("least").alias("rep")), "reps")
-    found = sets.filter("doc_id is not null").join(reps, "cls", "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id")).unionByName(
-        sets.filter("doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    )
+    return sets.select("doc_id", "n", "cls"), reps, moved
+
+
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: ``k``-word shingles, links at Jaccard similarity num / den or more.
+
+    component_id is the smallest doc_id that links reach, the row's own included; equal sets link. Null texts, empty ones
+    and ones without words have no shingles and link with nothing. A row with a null doc_id keeps a null component and
+    links nothing. Rows under one doc_id are one document with all their links, whatever their texts. An empty table gives no
+    rows; columns other than doc_id and text are ignored. ``num`` / ``den`` must be at least a half.
+    """
+    if not 1 <= k or not den <= 2 * num <= 2 * den:
+        raise ValueError("k must be positive and the similarity between a half and one")
+    scratch = scratch or Scratch(docs.sparkSession, "ngrams")
+    sets, reps, _ = _sets(docs, k, num, den, scratch)
+    found = sets.filter("doc_id is not null").join(reps, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+    found = scratch.save(found, "found")
+    # texts of one document may lie in several components, which are one then
+    several = found.groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo <> hi")
+    several = scratch.save(several, "several")
+    if not several.isEmpty():
+        ties = found.join(several, "doc_id").filter("component_id <> lo").select(F.col("component_id").alias("u"), F.col("lo").alias("v"))
+        merged = scratch.save(components(ties, scratch), "merged").withColumnRenamed("node", "component_id")
+        found = found.join(merged, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+    return found.unionByName(sets.filter("doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without near duplicates: of each component the row of its smallest doc_id stays."""
+    """``docs`` without near duplicates: of the rows whose texts links join, one of the smallest doc_id stays.
+
+    Texts are judged one by one: of different texts under one doc_id only those go that another row stands for. Rows
+    with a null doc_id, and texts without words, stay. Columns may have any name.
+    """
     scratch = Scratch(docs.sparkSession, "ngrams")
-    gone = scratch.save(ngram_join(docs, k, num, den, scratch).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    likely, rest = split_by_ids(docs, gone, "doc_id")
-    return likely.join(gone, "doc_id", "left_anti").select(*quoted(docs)).unionByName(rest)
+    sets, reps, moved = _sets(docs, k, num, den, scratch)
+    each = sets.filter("doc_id is not null and cls is not null").groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("times"))
+    judged = each.join(reps, "cls").filter("rep <> doc_id or times > 1").select(F.col("doc_id").alias("id"), F.col("cls").alias("of"), (F.col("rep") != F.col("doc_id")).alias("gone"))
+    judged = scratch.save(judged, "judged")
+    # the rows' own columns lie in a struct, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    likely, rest = split_by_ids(rows, judged.select(F.col("id").alias("doc_id")), "doc_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = [set_id(own, moved) if len(own := shingle_hashes(text, k)) else None for text in strings(batch.column("text"))]
+            yield batch.select(["row", "doc_id"]).append_column("cls", pa.array(cls, pa.int64()))
+
+    kinds = likely.select("row", "doc_id", F.lit(None).cast("long").alias("cls")).schema
+    placed = likely.mapInArrow(releasing(work), kinds).join(judged, (F.col("doc_id") == F.col("id")) & (F.col("cls") == F.col("of")), "left").filter("gone is null or not gone")
+    repeated = placed.filter("gone is not null").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "cls").orderBy("doc_id"))).filter("nth = 1")
+    every = placed.filter("gone is null").select("row").unionByName(repeated.select("row")).unionByName(rest.select("row"))
+    return every.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -107,8 +107,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS,
 
     The law is ``bytes``: shards get nearly equal bytes. ``slot`` counts from 0 without gaps within a shard: each virtual slot
     starts where the one before it ends, and within it each part of the input where the part before ends. Rows go to virtual slots
-    by doc_id and text, so rows without an id spread by their texts; exact repeats of a row share a virtual slot, but
-    are numbered part by part. Null and empty texts have the overhead alone as size and checksum 0; an empty table gives no rows.
+    by doc_id and text, so rows without an id spread by their texts; repeats of a row within a part of the input spread by
+    their number too, so that a row repeated very often doesn't fill one shard. Null and empty texts have the overhead alone as size and checksum 0; an empty table gives no rows.
     Only doc_id and text are read, so other columns may have any name.
 
     ``slot_map`` (virtual_slot, shard, version; as ``load_map`` gives it) places the rows by a stored map of ``n_slots`` slots; without it
@@ -121,9 +121,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS,
         record_size(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    records = records.withColumn("virtual_slot", virtual_slot(F.struct("doc_id", "text_crc32", "size"), n_slots)).withColumn("part", F.spark_partition_id())
     # written, so that a row's part stays the same from here on
-    records = scratch.save(records, "records")
+    records = scratch.save(records.withColumn("part", F.spark_partition_id()), "records")
+    again = F.row_number().over(Window.partitionBy("part", "doc_id", "text_crc32", "size").orderBy("doc_id")) - 1
+    row = F.struct("doc_id", "text_crc32", "size")
+    slot = F.when(F.col("again") == 0, virtual_slot(row, n_slots)).otherwise(virtual_slot(F.struct(row, "again"), n_slots))
+    records = scratch.save(records.withColumn("again", again).withColumn("virtual_slot", slot).drop("again"), "slots")
     parts = scratch.save(records.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "parts")
     totals = scratch.save(slot_totals(parts.withColumnRenamed("bytes", "size"), n_slots, F.sum("n")), "totals")
     one = scratch.save(slot_map.select("virtual_slot", "shard", "version") if slot_map is not None else first_map(totals, n_shards), "map")
