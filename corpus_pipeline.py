@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from tidewatch.llm.common import Scratch, quoted
+from tidewatch.llm.common import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -22,10 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go from the texts; a document that loses its whole text goes."""
-    cleaned = line_dedup.dedup_lines(docs)
-    kept = cleaned.filter(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*quoted(docs))
+    """Later occurrences of three-line windows go from the texts; a document that loses its whole text goes.
+
+    n_chars, where there is one, follows the text; no other column changes.
+    """
+    changed = F.col("n_removed") > 0
+    kept = line_dedup.clean(docs).filter(~(changed & (F.trim("text") == "")))
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast("long") if "n_chars" in docs.columns else None}
+    return kept.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        path = scratch.write(made, name)
+        docs = scratch.read(path, made.schema)
+        if before:
+            scratch.drop(before)  # what a stage took is no longer read once it is written
+        before = path
     return docs
