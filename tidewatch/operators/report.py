@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # What an attack of a severity adds to its source's threat score; any other severity counts as medium.
@@ -140,6 +142,30 @@ def retain(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     return df.filter(F.col(ts) >= now - F.expr(f"interval {days} days"))
 
 
+def retain_partitions(spark: SparkSession, path: str, ts: str, now: datetime, days: int, by: str = "date") -> list[str]:
+    """Take rows older than ``days`` out of a parquet table that is partitioned by date; returns the dates that are gone.
+
+    Whole dates before the limit are removed, the date that holds it is rewritten alone (dynamic partition overwrite); files of other
+    dates are not touched, so the work is that of a day, whatever the table holds.
+    """
+    limit = now - timedelta(days=days)
+    day = limit.strftime("%Y-%m-%d")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dates = sorted(s.getPath().getName().removeprefix(f"{by}=") for s in fs.listStatus(where(path)) if s.getPath().getName().startswith(f"{by}="))
+    gone = [d for d in dates if d < day]
+    if day in dates:
+        # the type is the column's own, so that a date is not read as text or the reverse
+        rows = spark.read.parquet(path).filter((F.col(by).cast("string") == day) & (F.col(ts) >= F.lit(limit).cast("timestamp_ntz" if dict(spark.read.parquet(path).dtypes)[ts] == "timestamp_ntz" else "timestamp")))
+        if rows.isEmpty():
+            gone.append(day)
+        else:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    for d in gone:
+        fs.delete(where(f"{path}/{by}={d}"), True)
+    return gone
+
+
 def union_detections(*parts: DataFrame) -> DataFrame:
     """Detector outputs in one shape; rows without type or source are dropped."""
     out = parts[0]

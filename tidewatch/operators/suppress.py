@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,30 +15,74 @@ from .windowed import micros
 # Types that content networks cause and that don't count from there, and those of private networks.
 CDN_NOISE = ("broadcast_storm", "timing_evasion", "port_scan", "session_correlated_sql_attack", "session_correlated_cmd_attack")
 PRIVATE_NOISE = ("broadcast_storm",)
-#: Rows of a range list, at most: it becomes one expression.
-MOST_RANGES = 10_000
-
-
-def range_label(df: DataFrame, ip: str, ranges: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+#: Rows of a range list, at most; stretches of addresses that become one expression, beyond which they are searched in arrays.
+MOST_RANGES, EXPRESSED = 1_000_000, 256
+
+
+def stretches(ranges: list[tuple[int, int, str | None]]) -> tuple[list[int], list[str | None]]:
+    """Starts of disjoint stretches, ascending from 0, and their labels: that of the first of ``ranges`` (lo, hi, label) that holds them."""
+    edges = sorted([(lo, 1, i) for i, (lo, _, _) in enumerate(ranges)] + [(hi + 1, 0, i) for i, (_, hi, _) in enumerate(ranges)])
+    starts, labels, open_, gone = [0], [None], [], set()
+    at = 0
+    while at < len(edges):
+        where = edges[at][0]
+        while at < len(edges) and edges[at][0] == where:
+            _, opens, i = edges[at]
+            heapq.heappush(open_, i) if opens else gone.add(i)
+            at += 1
+        while open_ and open_[0] in gone:
+            heapq.heappop(open_)
+        label = ranges[open_[0]][2] if open_ else None
+        if where == starts[-1]:
+            labels[-1] = label
+        elif label != labels[-1]:
+            starts.append(where)
+            labels.append(label)
+    return starts, labels
+
+
+def _search(value: Column, starts: list, labels: list[str | None]) -> Column:
+    """The label of the last start at or below the value, by halving: an expression of a depth of log2 of the stretches."""
+
+    def half(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.lit(labels[lo])
+        mid = (lo + hi) // 2
+        return F.when(value >= F.lit(starts[mid]), half(mid, hi)).otherwise(half(lo, mid))
+
+    return F.when(value.isNotNull(), half(0, len(starts)).cast("string"))
+
+
+def range_label(df: DataFrame, ip: str, ranges: DataFrame, disabled: tuple[str, ...] = (), expressed: int = EXPRESSED) -> DataFrame:
     """``label``: that of the first range, in list order, that holds the address; null for none.
 
-    A range with a disabled label ends the search without a label. The list is a configuration of a few dozen rows; it becomes
-    an expression of each row, so nothing is shuffled.
+    A range with a disabled label ends the search without a label. The list (MOST_RANGES at most) is cut into disjoint stretches of
+    addresses, sorted; a row's stretch is found by halving, in an expression while there are few, in broadcast arrays beyond: nothing
+    is shuffled, and a row's cost grows with the logarithm of the list.
     """
     listed = ranges.orderBy("ord").limit(MOST_RANGES + 1).collect()
     if len(listed) > MOST_RANGES:
-        raise ValueError("a range list is a small configuration table")
-    text = lambda v: "cast(null as string)" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    number = lambda v: "cast(null as bigint)" if v is None else f"{v}L"
-    rows = [f"struct({text(None if r.label in disabled else r.label)} AS label, {number(r.lo)} AS lo, {number(r.hi)} AS hi, {text(r.lo6)} AS lo6, {text(r.hi6)} AS hi6)" for r in listed]
-    every = F.expr(f"array({', '.join(rows)})")
-    address = F.array(F.struct(ipv4_number(F.col(ip)).alias("n"), ipv6_hex(F.col(ip)).alias("h")))
-    holds = lambda a, r: F.coalesce(a["n"].between(r["lo"], r["hi"]), a["h"].between(r["lo6"], r["hi6"]), F.lit(False))
-    if not listed:
-        return df.withColumn("label", F.lit(None).cast("string"))
-    first = F.transform(address, lambda a: F.get(F.filter(every, lambda r: holds(a, r)), 0)["label"])
-    # an array of one, so that filters on the label stay above and it is computed once
-    return df.withColumn("label", F.explode(first))
+        raise ValueError("a range list is a configuration table")
+    label = lambda r: None if r.label in disabled else r.label
+    four = stretches([(int(r.lo), int(r.hi), label(r)) for r in listed if r.lo is not None])
+    six = stretches([(int(r.lo6, 16), int(r.hi6, 16), label(r)) for r in listed if r.lo6 is not None])
+    hexes = [format(x, "032x") for x in six[0]]
+    # an array of one, so that the address is read once and filters on the label stay above
+    rows = df.withColumn("_a", F.explode(F.array(F.struct(ipv4_number(F.col(ip)).alias("n"), ipv6_hex(F.col(ip)).alias("h")))))
+    if len(four[0]) + len(hexes) <= expressed:
+        found = F.coalesce(_search(F.col("_a.n"), *four), _search(F.col("_a.h"), hexes, six[1]))
+        return rows.withColumn("label", F.explode(F.array(found))).drop("_a")
+    held = df.sparkSession.sparkContext.broadcast((np.array(four[0], np.int64), np.array([*four[1], None], object), np.array(hexes, "S32"), np.array([*six[1], None], object)))
+
+    @F.pandas_udf("string")
+    def look_up(n: pd.Series, h: pd.Series) -> pd.Series:
+        starts, labels, starts6, labels6 = held.value
+        known, known6 = n.notna().to_numpy(), h.notna().to_numpy()
+        at = np.where(known, np.searchsorted(starts, n.fillna(0).to_numpy(np.int64), "right") - 1, len(labels) - 1)
+        at6 = np.where(known6, np.searchsorted(starts6, h.fillna("").to_numpy(str).astype("S32"), "right") - 1, len(labels6) - 1)
+        return pd.Series(np.where(known, labels[at], labels6[at6]), dtype=object)
+
+    return rows.withColumn("label", look_up("_a.n", "_a.h")).drop("_a")
 
 
 def drop_noise(detections: DataFrame, ip: str = "source_ip", cdn_types: tuple[str, ...] = CDN_NOISE, private_types: tuple[str, ...] = PRIVATE_NOISE) -> DataFrame:
@@ -67,9 +115,52 @@ def dampen(reports: DataFrame, confirmed: DataFrame) -> DataFrame:
     return per.join(top, "attack_type").select("source_ip", "attack_type", "n", (F.col("n") >= 3).alias("damped"), F.when(F.col("worst") >= 6, 3.0).when(F.col("worst") >= 3, 1.5).otherwise(1.0).alias("multiplier"))
 
 
-def active_block(events: DataFrame, blocks: DataFrame, ip: str = "source_ip") -> DataFrame:
-    """Events of a source while a block of it stands: created_at <= ts < block_until."""
-    b = blocks.select(F.col("ip_address").alias("_ip"), "created_at", "block_until")
+#: Words of 64 bits in a key filter, at least and at most: 8 KB to 8 MB, ten bits a key in between.
+FEWEST_WORDS, MOST_WORDS = 1 << 10, 1 << 20
+
+
+def key_filter(keys: DataFrame, key: str, n: int) -> tuple[Column, int]:
+    """A Bloom filter of about ``n`` keys: one array of 64-bit words, read as a scalar subquery, and the number of its words."""
+    words = min(MOST_WORDS, max(FEWEST_WORDS, 1 << (max(1, n * 10 // 64) - 1).bit_length()))
+    marks = F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _marks(F.col(key), words)])
+    set_ = keys.filter(F.col(key).isNotNull()).select(F.explode(marks).alias("m")).groupBy(F.col("m.word").alias("id")).agg(F.bit_or("m.bit").alias("bits"))
+    every = keys.sparkSession.range(words).join(set_, "id", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+    return every.scalar(), words
+
+
+def _marks(key: Column, words: int) -> list[tuple[Column, Column]]:
+    """The three (word, bit) of a key."""
+    places = [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(64 * words)) for seed in range(3)]
+    return [(F.floor(p / 64), F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))) for p in places]
+
+
+def may_hold(bits: Column, words: int, key: Column) -> Column:
+    """False only for keys that the filter surely doesn't hold."""
+    found = [F.get(bits, w.cast("int")).bitwiseAND(b) != 0 for w, b in _marks(key, words)]
+    return F.coalesce(found[0] & found[1] & found[2], F.lit(False))
+
+
+def merged_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of an address that touch or overlap as one: ip_address, created_at, block_until."""
+    by = Window.partitionBy("ip_address").orderBy("created_at", "block_until")
+    ends = F.max("block_until").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = blocks.filter("created_at < block_until").withColumn("_new", F.coalesce(F.col("created_at") > ends, F.lit(True)).cast("long"))
+    rows = rows.withColumn("_nth", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("ip_address", "_nth").agg(F.min("created_at").alias("created_at"), F.max("block_until").alias("block_until")).drop("_nth")
+
+
+def active_block(events: DataFrame, blocks: DataFrame, ip: str = "source_ip", filtered: bool = False) -> DataFrame:
+    """Events of a source while a block of it stands: created_at <= ts < block_until.
+
+    ``filtered``: for large lists, most events of sources that were never blocked are sorted out by a Bloom filter of the blocked
+    ones before they are exchanged; the join that follows is exact.
+    """
+    merged = merged_blocks(blocks)
+    b = merged.select(F.col("ip_address").alias("_ip"), "created_at", "block_until")
+    if filtered:
+        keys = blocks.select("ip_address").distinct()
+        bits, words = key_filter(keys, "ip_address", keys.count())
+        events = events.filter(may_hold(bits, words, F.col(ip)))
     return events.join(b, (F.col(ip) == F.col("_ip")) & (F.col("ts") >= F.col("created_at")) & (F.col("ts") < F.col("block_until")), "left_semi")
 
 

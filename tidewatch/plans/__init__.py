@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ("detect", "reports", "behaviour")
+MODULES: tuple[str, ...] = ("detect", "reports", "behaviour", "folding", "streams")
 
 
 def load() -> None:

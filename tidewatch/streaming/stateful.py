@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import folds
+from .ordered import ordered
 
 
 def event_time(df: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -25,50 +26,18 @@ def sessions(df: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame:
     return df.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _stateful(df: DataFrame, key: str, ts: str, order: str, seconds: float, decide: Callable, kind: str) -> DataFrame:
-    """Rows that ``decide(kept times, t)`` lets pass; a key's state ends ``seconds`` after its last row by event time."""
-
-    def work(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values([ts, order])
-        out = []
-        for ident, t in zip(rows[order], rows[ts].astype("datetime64[us]").astype("int64"), strict=True):
-            kept, passed = decide(kept, int(t))
-            if passed:
-                out.append((k[0], ident, pd.Timestamp(t, unit="us")))
-        state.update((kept,))
-        end = int(rows[ts].max().timestamp() * 1000 + seconds * 1000)
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[key, order, ts])
-
-    schema = f"{key} {kind}, {order} long, {ts} timestamp"
-    rows = df.select(key, order, ts)
-    return rows.groupBy(key).applyInPandasWithState(work, schema, "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def cooldown(df: DataFrame, key: str, ts: str, seconds: float, order: str = "event_id", kind: str = "long") -> DataFrame:
-    """Rows that pass the gate: a key's first, then each ``seconds`` or more after the last that passed."""
-    span = int(seconds * 1e6)
+def _reported(df: DataFrame, key: str, ts: str, order: str, fold: folds.Fold) -> DataFrame:
+    return ordered(df, key, ts, order, fold).select(key, F.col("event_id").alias(order), F.timestamp_micros("t").alias(ts))
 
-    def decide(kept: list[int], t: int):
-        return (kept, False) if kept and t - kept[-1] < span else ([t], True)
 
-    return _stateful(df, key, ts, order, seconds, decide, kind)
+def cooldown(df: DataFrame, key: str, ts: str, seconds: float, order: str = "event_id") -> DataFrame:
+    """Rows that pass the gate: a key's first, then each ``seconds`` or more after the last that passed."""
+    return _reported(df, key, ts, order, folds.gate(seconds))
 
 
-def counter(df: DataFrame, key: str, ts: str, seconds: float, threshold: int, order: str = "event_id", kind: str = "long") -> DataFrame:
+def counter(df: DataFrame, key: str, ts: str, seconds: float, threshold: int, order: str = "event_id") -> DataFrame:
     """Rows at which the count within ``seconds`` reaches the threshold; it then starts again."""
-    span = int(seconds * 1e6)
-
-    def decide(kept: list[int], t: int):
-        kept = [x for x in kept if x >= t - span] + [t]
-        return ([], True) if len(kept) >= threshold else (kept, False)
-
-    return _stateful(df, key, ts, order, seconds, decide, kind)
+    return _reported(df, key, ts, order, folds.counter(seconds, threshold))
 
 
 def follows(left: DataFrame, right: DataFrame, key: str, seconds: int, ts: str = "ts") -> DataFrame:
