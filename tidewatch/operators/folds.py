@@ -288,6 +288,31 @@ def assembled(ports: tuple[int, ...], reorder: bool = False, most_held: int = 1
     return Fold(("seq", "payload", "port"), "t long, event_id long, nth long, length long, message binary", lambda: [None, "", [], 0], step, 300.0)
 
 
+def first_crossing(names: tuple[str, ...], seconds: float = 30.0, at_least: int = 5) -> Fold:
+    """A source's first row with ``at_least`` rows of a class in the window (t - seconds, t], once for each class.
+
+    Rows carry the classes of their text (places in ``names``). A row's classes are tried in order; the first that crosses is reported, and
+    the row's classes after it are not counted. Classes reported before don't count at all.
+    """
+    span = int(seconds * 1_000_000)
+
+    def step(state: State, rows: list[tuple]) -> tuple[State, list[tuple]]:
+        state, out = [None if x is None else list(x) for x in state], []
+        for t, order, classes in rows:
+            for c in classes or ():
+                if state[c] is None:
+                    continue
+                # the last few times are all that a later row can need
+                state[c] = [x for x in state[c] if t - x < span][-at_least:] + [t]
+                if len(state[c]) >= at_least:
+                    state[c] = None
+                    out.append((t, order, names[c]))
+                    break
+        return state, out
+
+    return Fold(("classes",), "t long, event_id long, class string", lambda: [[] for _ in names], step)
+
+
 def stored(state: State) -> str:
     return json.dumps(state)
 

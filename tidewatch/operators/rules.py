@@ -102,31 +102,31 @@ def _all(*conditions: dict) -> dict:
     return {"type": "composite", "logic": "and", "conditions": list(conditions)}
 
 
-def _rule(ident: str, name: str, severity: str, category: str, condition: dict, mitre: str, *actions: str) -> dict:
-    return {"id": ident, "name": name, "severity": severity, "category": category, "condition": condition, "mitre": mitre.split(), "actions": list(actions or ("alert",))}
+def _rule(ident: str, name: str, severity: str, category: str, condition: dict, mitre: list[str], *actions: str) -> dict:
+    return {"id": ident, "name": name, "severity": severity, "category": category, "condition": condition, "mitre": mitre, "actions": list(actions or ("alert",))}
 
 
 # The rules that are there without any file.
 SHIPPED = [
-    _rule("web-sql-001", "SQL Injection Detected", "critical", "injection", _pattern("path", r"(union\s+select|select\s+.*\s+from|insert\s+into|update\s+.*\s+set|delete\s+from|drop\s+table|;\s*--|'\s*or\s*'|1\s*=\s*1)"), "T1190 T1059", "alert", "block_ip"),
-    _rule("web-xss-001", "XSS Attempt Detected", "high", "injection", _pattern("path", r"(<script|javascript:|on\w+\s*=|onerror|onload|<iframe|<svg)"), "T1189"),
-    _rule("web-path-traversal-001", "Path Traversal Attempt", "high", "file_access", _pattern("path", r"(\.\./|\.\.\\|%2e%2e%2f|%2e%2e/|\.\.%2f|%2e%2e%5c)"), "T1190"),
-    _rule("web-lfi-001", "Local File Inclusion", "critical", "file_access", _pattern("path", r"(etc/passwd|etc/shadow|proc/self|\.\./\.\./)"), "T1190 T1005", "alert", "block_ip"),
-    _rule("web-rfi-001", "Remote File Inclusion", "critical", "file_access", _pattern("path", r"(php://|file://|http://|https://|data://)"), "T1190"),
-    _rule("web-cmd-001", "Command Injection Attempt", "critical", "injection", _pattern("path", r"(;\s*\w+|&&\s*\w+|\|\s*\w+|`[^`]+`|\$\([^)]+\))"), "T1059 T1190", "alert", "block_ip"),
-    _rule("web-ssrf-001", "SSRF Attempt", "high", "injection", _pattern("path", r"(127\.0\.0\.1|localhost|169\.254\.169\.254|metadata\.google)"), "T1190"),
-    _rule("web-admin-001", "Admin Panel Probe", "low", "reconnaissance", _pattern("path", r"(/admin|/wp-admin|/phpmyadmin|/manager|/console|/solr|/actuator|/.env|/config\.php|/wp-config)"), "T1086"),
-    _rule("web-scanner-001", "Security Scanner Detected", "low", "reconnaissance", _pattern("user_agent", r"(nikto|nmap|sqlmap|dirbuster|gobuster|wpscan|nuclei|masscan|zgrab|acunetix|burp)"), "T1595"),
-    _rule("web-xxe-001", "XXE Attempt", "critical", "injection", _pattern("path", r"(<!DOCTYPE|<!ENTITY|ENTITY|SYSTEM|PUBLIC)"), "T1190"),
-    _rule("web-deser-001", "Deserialization Attack", "critical", "injection", _pattern("path", r"(base64_decode|eval\(|unserialize|ObjectInputStream|__construct)"), "T1059"),
-    _rule("net-portscan-001", "Port Scan Detected", "medium", "reconnaissance", _all(_test("event_type", "equals", "connect"), _test("connection_count", "gt", 10)), "T1595 T1082", "alert", "block_ip"),
-    _rule("net-synflood-001", "SYN Flood Detection", "high", "dos", _test("syn_count", "gt", 100), "T1498"),
-    _rule("net-smb-001", "SMB Enumeration", "medium", "reconnaissance", _pattern("dst_port", "(445|139)"), "T1021 T1040"),
-    _rule("net-ldap-enum-001", "LDAP Enumeration", "medium", "reconnaissance", _pattern("dst_port", "389"), "T1087 T1082"),
-    _rule("net-dns-tunnel-001", "DNS Tunneling Indicator", "high", "exfiltration", _all(_test("dst_port", "equals", 53), _test("dns_query_length", "gt", 200)), "T1573 T1041"),
-    _rule("net-ftp-anon-001", "FTP Anonymous Login", "low", "misconfiguration", _test("username", "equals", "anonymous"), "T1078"),
-    _rule("net-telnet-001", "Telnet Usage", "medium", "insecure_protocol", _test("dst_port", "equals", 23), "T1072"),
-    _rule("net-ftp-brute-001", "FTP Brute Force", "high", "credential_attack", _test("failed_attempts", "gt", 5), "T1110", "alert", "block_ip"),
+    _rule("web-sql-001", "SQL Injection Detected", "critical", "injection", _pattern("path", r"(union\s+select|select\s+.*\s+from|insert\s+into|update\s+.*\s+set|delete\s+from|drop\s+table|;\s*--|'\s*or\s*'|1\s*=\s*1)"), ["T1190", "T1059"], "alert", "block_ip"),
+    _rule("web-xss-001", "XSS Attempt Detected", "high", "injection", _pattern("path", r"(<script|javascript:|on\w+\s*=|onerror|onload|<iframe|<svg)"), ["T1189"]),
+    _rule("web-path-traversal-001", "Path Traversal Attempt", "high", "file_access", _pattern("path", r"(\.\./|\.\.\\|%2e%2e%2f|%2e%2e/|\.\.%2f|%2e%2e%5c)"), ["T1190"]),
+    _rule("web-lfi-001", "Local File Inclusion", "critical", "file_access", _pattern("path", r"(etc/passwd|etc/shadow|proc/self|\.\./\.\./)"), ["T1190", "T1005"], "alert", "block_ip"),
+    _rule("web-rfi-001", "Remote File Inclusion", "critical", "file_access", _pattern("path", r"(php://|file://|http://|https://|data://)"), ["T1190"]),
+    _rule("web-cmd-001", "Command Injection Attempt", "critical", "injection", _pattern("path", r"(;\s*\w+|&&\s*\w+|\|\s*\w+|`[^`]+`|\$\([^)]+\))"), ["T1059", "T1190"], "alert", "block_ip"),
+    _rule("web-ssrf-001", "SSRF Attempt", "high", "injection", _pattern("path", r"(127\.0\.0\.1|localhost|169\.254\.169\.254|metadata\.google)"), ["T1190"]),
+    _rule("web-admin-001", "Admin Panel Probe", "low", "reconnaissance", _pattern("path", r"(/admin|/wp-admin|/phpmyadmin|/manager|/console|/solr|/actuator|/.env|/config\.php|/wp-config)"), ["T1086"]),
+    _rule("web-scanner-001", "Security Scanner Detected", "low", "reconnaissance", _pattern("user_agent", r"(nikto|nmap|sqlmap|dirbuster|gobuster|wpscan|nuclei|masscan|zgrab|acunetix|burp)"), ["T1595"]),
+    _rule("web-xxe-001", "XXE Attempt", "critical", "injection", _pattern("path", r"(<!DOCTYPE|<!ENTITY|ENTITY|SYSTEM|PUBLIC)"), ["T1190"]),
+    _rule("web-deser-001", "Deserialization Attack", "critical", "injection", _pattern("path", r"(base64_decode|eval\(|unserialize|ObjectInputStream|__construct)"), ["T1059"]),
+    _rule("net-portscan-001", "Port Scan Detected", "medium", "reconnaissance", _all(_test("event_type", "equals", "connect"), _test("connection_count", "gt", 10)), ["T1595", "T1082"], "alert", "block_ip"),
+    _rule("net-synflood-001", "SYN Flood Detection", "high", "dos", _test("syn_count", "gt", 100), ["T1498"]),
+    _rule("net-smb-001", "SMB Enumeration", "medium", "reconnaissance", _pattern("dst_port", "(445|139)"), ["T1021", "T1040"]),
+    _rule("net-ldap-enum-001", "LDAP Enumeration", "medium", "reconnaissance", _pattern("dst_port", "389"), ["T1087", "T1082"]),
+    _rule("net-dns-tunnel-001", "DNS Tunneling Indicator", "high", "exfiltration", _all(_test("dst_port", "equals", 53), _test("dns_query_length", "gt", 200)), ["T1573", "T1041"]),
+    _rule("net-ftp-anon-001", "FTP Anonymous Login", "low", "misconfiguration", _test("username", "equals", "anonymous"), ["T1078"]),
+    _rule("net-telnet-001", "Telnet Usage", "medium", "insecure_protocol", _test("dst_port", "equals", 23), ["T1072"]),
+    _rule("net-ftp-brute-001", "FTP Brute Force", "high", "credential_attack", _test("failed_attempts", "gt", 5), ["T1110"], "alert", "block_ip"),
 ]
 
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ipv4_number, ipv6_hex, severity_norm, severity_rank
-from .windowed import micros
+from ..functions.exprs import ipv4_number, ipv6_hex, is_actionable, severity_norm, severity_rank
+from .windowed import cooldown, micros
 
 # Types that content networks cause and that don't count from there, and those of private networks.
 CDN_NOISE = ("broadcast_storm", "timing_evasion", "port_scan", "session_correlated_sql_attack", "session_correlated_cmd_attack")
@@ -206,3 +206,47 @@ def incidents(passed: DataFrame, elapsed: Column) -> DataFrame:
     allowed = F.when(F.col("severity") == "critical", 300).when(F.col("severity") == "high", 600).when(F.col("severity") == "medium", 1800).otherwise(3600)
     book = F.when(F.col("severity") == "critical", "isolate").when(F.col("severity") == "high", "block").when(F.col("severity") == "medium", "watch").otherwise("record")
     return passed.withColumn("playbook", book).withColumn("sla_seconds", allowed.cast("long")).withColumn("breached", elapsed > allowed)
+
+
+def action_plan(detections: DataFrame, whitelist: DataFrame | None = None, no_block: DataFrame | None = None, seconds: float = 900.0, dry_run: bool = False) -> DataFrame:
+    """What follows from packet detections: event_id, source_ip, attack_type, severity, records, alerts, blocks.
+
+    ``detections`` has event_id, ts, source_ip, attack_type, severity, verdict and label (of ``range_label``). Observations, rows without a
+    source, whitelisted sources and what the label's network causes by itself lead to nothing. The rest is recorded; what is high or critical and
+    dropped alerts, once a source and type for ``seconds``, and is blocked, throttled or not, unless ``no_block`` lists the source or it is a
+    dry run. Both lists have a column ip.
+    """
+    rows = drop_noise(detections.filter(is_actionable(F.col("severity")) & F.coalesce(F.col("source_ip") != "", F.lit(False))))
+    if whitelist is not None:
+        rows = rows.join(whitelist.select(F.col("ip").alias("source_ip")).distinct(), "source_ip", "left_anti")
+    if no_block is not None:
+        rows = rows.join(no_block.select(F.col("ip").alias("source_ip"), F.lit(True).alias("_spared")).distinct(), "source_ip", "left")
+    else:
+        rows = rows.withColumn("_spared", F.lit(None).cast("boolean"))
+    rows = rows.withColumn("_grave", F.lower("severity").isin("high", "critical") & (F.col("verdict") == "drop"))
+    gate = cooldown(rows, ["source_ip", "attack_type", "_grave"], "ts", seconds, carry=("severity", "_spared"))
+    blocks = F.lit(False) if dry_run else F.col("_grave") & F.col("_spared").isNull()
+    return gate.select("event_id", "source_ip", "attack_type", "severity", F.lit(True).alias("records"), (F.col("_grave") & F.col("passed")).alias("alerts"), blocks.alias("blocks"))
+
+
+def host_action_plan(detections: DataFrame, known: DataFrame, dry_run: bool = False) -> DataFrame:
+    """What follows from host detections: high and critical ones alert; critical ones block sources that ``known`` (ip, malicious, score) calls malicious or scores 70 or more."""
+    rows = drop_noise(detections.filter(is_actionable(F.col("severity"))))
+    k = known.select(F.col("ip").alias("source_ip"), "malicious", "score")
+    level = F.lower("severity")
+    bad = F.coalesce(F.col("malicious"), F.lit(False)) | (F.coalesce("score", F.lit(0)) >= 70)
+    blocks = F.lit(False) if dry_run else (level == "critical") & bad
+    return rows.join(k, "source_ip", "left").select("event_id", "source_ip", "attack_type", "severity", F.lit(True).alias("records"), level.isin("high", "critical").alias("alerts"), blocks.alias("blocks"))
+
+
+def incident_plan(alerts: DataFrame, elapsed: Column, seconds: float = 300.0, playbooks: dict[str, str] | None = None) -> DataFrame:
+    """Incidents of alerts (event_id, ts, source_ip, attack_type, severity), one a source and type for ``seconds``: playbook, sla_seconds, breached.
+
+    High and critical ones run their severity's playbook (``playbooks``, else full_response), others the default one (else log_only); an incident
+    is breached when ``elapsed`` seconds exceed what its severity allows.
+    """
+    books = playbooks or {}
+    kept = cooldown(alerts.withColumn("_elapsed", elapsed), ["source_ip", "attack_type"], "ts", seconds, carry=("severity", "_elapsed")).filter("passed")
+    allowed = F.when(F.col("severity") == "critical", 300).when(F.col("severity") == "high", 600).when(F.col("severity") == "medium", 1800).otherwise(3600)
+    book = F.when(F.col("severity") == "critical", books.get("critical", "full_response")).when(F.col("severity") == "high", books.get("high", "full_response")).otherwise(books.get("default", "log_only"))
+    return kept.select("event_id", "source_ip", "attack_type", "severity", book.alias("playbook"), allowed.cast("long").alias("sla_seconds"), (F.col("_elapsed") > allowed).alias("breached"))

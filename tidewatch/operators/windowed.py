@@ -379,10 +379,66 @@ def printable_deltas(packets: DataFrame, of: str, last: int = 25, at_least: int
     return rows.filter((F.col("printable") >= at_least) & (F.col("distinct") <= most_distinct * F.col("printable")))
 
 
-def perplexity(tokens: DataFrame, flow: str, order: list[str], token: str, smoothing: float = 0.01, more_than: float = 100.0, decay: Column | None = None) -> DataFrame:
+def fragment_faults(packets: DataFrame, most: int = 64, tiny: int = 100, oversize: int = 65_535) -> DataFrame:
+    """Everything that a fragment shows about its set (source, destination, id, protocol): event_id, ts, source_ip, attack_type, severity, reason.
+
+    Beyond ``most`` fragments it is a storm (high) and the set begins anew with the next. Overlaps (high) are an offset met before in the
+    set, and an offset before the end of the set's first fragment; both hold on once they are met. A fragment under ``tiny`` bytes with more to
+    come is tiny (medium); a tcp set of more than ``oversize`` bytes is oversize (critical). A fragment's length is its payload's, or
+    the packet's where that is 0 or null.
+    """
+    key = ["src_ip", "dst_ip", "ip_id", "protocol"]
+    length = F.when(F.coalesce("payload_len", F.lit(0)) != 0, F.col("payload_len")).otherwise(F.coalesce("raw_len", F.lit(0)))
+    more = F.coalesce("more_fragments", F.lit(False)) | F.coalesce(F.col("flags").contains("M"), F.lit(False))
+    rows = packets.withColumn("_at", F.coalesce("frag_offset", F.lit(0))).withColumn("_len", length).withColumn("_more", more).filter((F.col("_at") != 0) | F.col("_more"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("ts", "event_id")) - 1
+    rows = rows.withColumn("_set", F.floor(nth / (most + 1))).withColumn("_nth", nth % (most + 1) + 1)
+    w = running([*key, "_set"], ["ts", "event_id"])
+    again = F.row_number().over(Window.partitionBy(*key, "_set", "_at").orderBy("ts", "event_id")) > 1
+    rows = rows.withColumn("_again", again).withColumn("_end", F.first(F.col("_at") + F.col("_len")).over(w))
+    rows = rows.withColumn("_repeated", F.max("_again").over(w)).withColumn("_inside", F.max((F.col("_nth") > 1) & (F.col("_at") < F.col("_end"))).over(w)).withColumn("_total", F.sum("_len").over(w))
+    fault = lambda test, kind, severity, reason: F.when(test, F.struct(F.lit(kind).alias("attack_type"), F.lit(severity).alias("severity"), F.lit(reason).alias("reason")))
+    found = F.array(
+        fault(F.col("_nth") > most, "fragment_storm", "high", "count"),
+        fault(F.col("_repeated"), "fragment_overlap", "high", "repeated offset"),
+        fault(F.col("_inside"), "fragment_overlap", "high", "inside the first"),
+        fault((F.col("_len") < tiny) & F.col("_more"), "tiny_fragment", "medium", "length"),
+        fault((F.col("_total") > oversize) & (F.col("protocol") == "tcp"), "fragment_oversize", "critical", "total"),
+    )
+    rows = rows.withColumn("_f", F.explode(F.filter(found, lambda x: x.isNotNull())))
+    return rows.select("event_id", "ts", F.col("src_ip").alias("source_ip"), "_f.attack_type", "_f.severity", "_f.reason")
+
+
+def covert_numbers(packets: DataFrame, of: str, attack_type: str, printable: int, where: str = "true", last: int = 25, samples: int = 10, seconds: float = 300.0, baseline: int = 1000) -> DataFrame:
+    """Rows at which the low bytes of a host's numbers look like text: event_id, ts, source_ip, attack_type, severity, text.
+
+    Of the differences (modulo 256) between the last ``last`` low bytes, ``printable`` at least are printable, and the last so many of those
+    have few distinct values (0.7 of them, or three); and the byte itself is an outlier: over three sample deviations from the mean
+    of those of the last ``seconds`` before it, ``baseline`` at most, of which there are three or more.
+    """
+    order = ["ts", "event_id"]
+    rows = packets.filter(where).withColumn("_b", F.pmod(F.col(of), F.lit(256)).cast("long")).withColumn("_t", micros("ts"))
+    near = Window.partitionBy("src_ip").orderBy("_t").rangeBetween(-int(seconds * 1e6), -1)
+    newest = Window.partitionBy("src_ip").orderBy(*order).rowsBetween(-baseline, -1)
+    # whole sums, so that any engine finds the same deviation
+    sums = lambda w: F.struct(F.count("_b").over(w).alias("n"), F.coalesce(F.sum("_b").over(w), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("_b") * F.col("_b")).over(w), F.lit(0)).alias("q"))
+    rows = rows.withColumn("_near", sums(near)).withColumn("_newest", sums(newest)).withColumn("_seen", F.collect_list("_b").over(last_rows(["src_ip"], order, last)))
+    rows = rows.withColumn("_x", F.when(F.col("_near.n") > baseline, F.col("_newest")).otherwise(F.col("_near")))
+    deltas = F.filter(F.zip_with(F.slice("_seen", 2, last), F.slice("_seen", 1, F.greatest(F.size("_seen") - 1, F.lit(0))), lambda b, a: F.pmod(b - a, F.lit(256))), lambda d: d.between(32, 126))
+    rows = rows.withColumn("_p", deltas).filter((F.size("_seen") >= samples) & (F.size("_p") >= printable)).withColumn("_p", F.slice("_p", -printable, printable))
+    n, total, squares = (F.col(f"_x.{c}") for c in ("n", "s", "q"))
+    # n (n - 1) times the variance, and n times the byte's distance from the mean
+    spread, off = n * squares - total * total, F.abs(n * F.col("_b") - total)
+    outlier = (n >= 3) & F.when(spread > 0, off * F.sqrt(n - 1) > 3 * F.sqrt(n * spread)).otherwise(off > 0)
+    hit = rows.filter((F.size(F.array_distinct("_p")) <= max(3.0, 0.7 * printable)) & outlier)
+    text = F.array_join(F.transform("_p", lambda d: F.char(d)), "")
+    return hit.select("event_id", "ts", F.col("src_ip").alias("source_ip"), F.lit(attack_type).alias("attack_type"), F.lit("high").alias("severity"), text.alias("text"))
+
+
+def perplexity(tokens: DataFrame, flow: str, order: list[str], token: str, smoothing: float = 0.01, more_than: float = 100.0, decay: Column | None = None, by_contexts: bool = False) -> DataFrame:
     """Trigram perplexity of every flow, and whether it is over ``more_than``: counts over the table, add-``smoothing`` probabilities.
 
-    With ``decay`` (a weight for each row, by its age) older grams count less. Grams are counted a flow first, so that a
+    ``by_contexts``: smoothing spreads over all contexts counted, and one more, instead of over the vocabulary: (n3 + s) / (n2 + s T + 1). With ``decay`` (a weight for each row, by its age) older grams count less. Grams are counted a flow first, so that a
     common one is not gathered row by row, and the tables of distinct grams are joined, whichever way their sizes allow.
     """
     w = Window.partitionBy(flow).orderBy(*order)
@@ -394,6 +450,9 @@ def perplexity(tokens: DataFrame, flow: str, order: list[str], token: str, smoot
     two = three.groupBy("a", "b").agg(F.sum("n3").alias("n2"))
     # one row
     scored = per.join(three.join(two, ["a", "b"]), ["a", "b", "c"]).join(F.broadcast(size))
-    p = (F.col("n3") + smoothing) / (F.col("n2") + smoothing * F.col("vocabulary"))
+    if by_contexts:
+        scored = scored.join(F.broadcast(two.agg(F.sum("n2").alias("contexts"))))
+    room = smoothing * F.col("contexts") + 1 if by_contexts else smoothing * F.col("vocabulary")
+    p = F.greatest((F.col("n3") + smoothing) / (F.col("n2") + room), F.lit(1e-10))
     flows = scored.groupBy(flow).agg((-F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("surprise"), F.sum("n").alias("n"))
     return flows.select(flow, F.exp("surprise").alias("perplexity"), "n", (F.exp("surprise") > more_than).alias("anomalous"))

@@ -147,3 +147,79 @@ def intel_rows(p: DataFrame) -> DataFrame:
     brings = F.col("event_type") == "error"
     return p.withColumns({"provider": F.when(brings, F.when(F.col("k") % 2 == 0, "a").otherwise("b")), "abuse_score": F.when(brings, F.col("k") % 60).cast("int"), "malicious": F.when(brings, F.col("k") > 97)})
 
+
+
+# Lengths and offsets of fragments that make all kinds of faults.
+PARTS = ("event_id", "ts", "src_ip", "'d' AS dst_ip", "CAST(k % 2 AS INT) AS ip_id", "protocol", "CAST(CASE WHEN k % 4 = 0 THEN 0 ELSE (event_id % 90) * 8 END AS INT) AS frag_offset", "k % 3 <> 0 AS more_fragments", "CAST(CASE WHEN k % 5 = 0 THEN 0 WHEN k % 7 = 0 THEN 30 ELSE k * 300 END AS INT) AS payload_len", "raw_len", "CASE WHEN k % 6 = 0 THEN 'M' END AS flags")
+
+
+@query("win13_fragment_faults", f"""{derived_sql('packets')}, p AS (SELECT {', '.join(PARTS)} FROM (SELECT * REPLACE (concat('10.0.0.', CAST(user_id % 9 AS STRING)) AS src_ip) FROM packets) x),
+    f AS (SELECT *, CASE WHEN payload_len <> 0 THEN payload_len ELSE raw_len END AS len, more_fragments OR coalesce(flags LIKE '%M%', false) AS more, row_number() OVER (PARTITION BY src_ip, ip_id, protocol ORDER BY ts, event_id) - 1 AS i FROM p WHERE frag_offset <> 0 OR more_fragments OR coalesce(flags LIKE '%M%', false)),
+    s AS (SELECT *, i // 65 AS st, i % 65 + 1 AS nth, row_number() OVER (PARTITION BY src_ip, ip_id, protocol, i // 65, frag_offset ORDER BY ts, event_id) > 1 AS again, first_value(frag_offset + len) OVER (PARTITION BY src_ip, ip_id, protocol, i // 65 ORDER BY ts, event_id) AS fe FROM f),
+    w AS (SELECT *, max(again) OVER v AS rep, max(nth > 1 AND frag_offset < fe) OVER v AS ins, sum(len) OVER v AS total FROM s WINDOW v AS (PARTITION BY src_ip, ip_id, protocol, st ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT event_id, src_ip AS source_ip, 'fragment_storm' AS attack_type, 'high' AS severity, 'count' AS reason FROM w WHERE nth > 64 UNION ALL SELECT event_id, src_ip, 'fragment_overlap', 'high', 'repeated offset' FROM w WHERE rep UNION ALL SELECT event_id, src_ip, 'fragment_overlap', 'high', 'inside the first' FROM w WHERE ins
+    UNION ALL SELECT event_id, src_ip, 'tiny_fragment', 'medium', 'length' FROM w WHERE len < 100 AND more UNION ALL SELECT event_id, src_ip, 'fragment_oversize', 'critical', 'total' FROM w WHERE total > 65535 AND protocol = 'tcp'""")
+def fragment_faults(spark: SparkSession, d: str) -> DataFrame:
+    p = packets(spark, d).withColumn("src_ip", F.concat(F.lit("10.0.0."), (F.col("user_id") % 9).cast("string"))).selectExpr(*PARTS)
+    return windowed.fragment_faults(p).select("event_id", "source_ip", "attack_type", "severity", "reason")
+
+
+def _covert_sql(of: str, kind: str, printable: int, where: str) -> str:
+    return f"""SELECT event_id, src_ip AS source_ip, '{kind}' AS attack_type, 'high' AS severity FROM (SELECT *, list_filter(list_transform(range(1, len(seen)), lambda i: (seen[i + 1] - seen[i] + 256) % 256), lambda x: x BETWEEN 32 AND 126) AS p,
+        CASE WHEN nn > 1000 THEN {{'n': rn, 's': rs, 'q': rq}} ELSE {{'n': nn, 's': ns, 'q': nq}} END AS x FROM (SELECT event_id, src_ip, b, list(b) OVER (o ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS seen, count(b) OVER r AS nn, coalesce(sum(b) OVER r, 0) AS ns, coalesce(sum(b * b) OVER r, 0) AS nq,
+          count(b) OVER (o ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING) AS rn, coalesce(sum(b) OVER (o ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING), 0) AS rs, coalesce(sum(b * b) OVER (o ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING), 0) AS rq
+          FROM (SELECT event_id, ts, src_ip, CAST({of} % 256 AS BIGINT) AS b FROM numbers WHERE {where}) y WINDOW o AS (PARTITION BY src_ip ORDER BY ts, event_id), r AS (PARTITION BY src_ip ORDER BY epoch_us(ts) RANGE BETWEEN 432000000000 PRECEDING AND 1 PRECEDING)) z) t
+        WHERE len(seen) >= 10 AND len(p) >= {printable} AND len(list_distinct(p[-{printable}:])) <= {max(3.0, 0.7 * printable)} AND x.n >= 3 AND CASE WHEN x.n * x.q - x.s * x.s > 0 THEN abs(x.n * b - x.s) * sqrt(x.n - 1) > 3 * sqrt(x.n * (x.n * x.q - x.s * x.s)) ELSE abs(x.n * b - x.s) > 0 END"""
+
+
+# Numbers that step by one of a few printable amounts, and jump now and then.
+NUMBERS = ("event_id", "ts", "src_ip", "CASE WHEN k % 4 = 0 THEN 'PA' WHEN k % 4 = 1 THEN 'S' ELSE 'A' END AS flags", "CAST(CASE WHEN k % 23 = 0 THEN 250 WHEN k % 2 = 0 THEN 10 ELSE 70 END AS BIGINT) AS seq", "CAST(CASE WHEN k % 29 = 0 THEN 251 WHEN k % 3 = 0 THEN 5 ELSE 66 END AS BIGINT) AS ack")
+
+HAS_ACK = "flags LIKE '%A%'"
+
+
+@query("win24_covert_outliers", f"{derived_sql('packets')}, numbers AS (SELECT {', '.join(NUMBERS)} FROM packets) {_covert_sql('seq', 'seq_covert_channel', 8, 'true')} UNION ALL {_covert_sql('ack', 'ack_covert_channel', 9, HAS_ACK)}")
+def covert_outliers(spark: SparkSession, d: str) -> DataFrame:
+    p = packets(spark, d).selectExpr(*NUMBERS)
+    seq = windowed.covert_numbers(p, "seq", "seq_covert_channel", 8, seconds=5 * DAY)
+    ack = windowed.covert_numbers(p, "ack", "ack_covert_channel", 9, HAS_ACK, seconds=5 * DAY)
+    return seq.unionByName(ack).select("event_id", "source_ip", "attack_type", "severity")
+
+
+# Classes of a line by its number: some lines are of several.
+CLASSES = "CASE k % 8 WHEN 0 THEN [0] WHEN 1 THEN [1] WHEN 2 THEN [0, 2] WHEN 3 THEN [0, 1, 3] WHEN 4 THEN [3] ELSE [] END"
+_NAMES = ("sql", "xss", "cmd", "traversal")
+
+
+def _crossing_sql() -> str:
+    """A recursion whose state is a list of times for each class, null once the class is reported."""
+    live = "l{c} IS NOT NULL AND list_contains(cl, {c})"
+    times = "list_append(list_filter(l{c}, lambda x: o.t - x < 432000000000), o.t)"
+    crosses = [f"(r.{live.format(c=c).replace('list_contains(cl', 'list_contains(o.cl')} AND len({times.format(c=c).replace('l' + str(c) + ',', 'r.l' + str(c) + ',')}) >= 3)" for c in range(4)]
+    first = "CASE " + " ".join(f"WHEN {x} THEN {c}" for c, x in enumerate(crosses)) + " END"
+    new = []
+    for c in range(4):
+        grown = times.format(c=c).replace(f"l{c},", f"r.l{c},")
+        new.append(f"CASE WHEN r.l{c} IS NULL OR f = {c} THEN NULL WHEN list_contains(cl, {c}) AND (f IS NULL OR {c} < f) THEN {grown.replace('o.t', 't')} ELSE r.l{c} END AS l{c}".replace("r.l", "l"))
+    return f"""r AS (SELECT src_ip, event_id, i, CAST(NULL AS INT) AS f, {', '.join(f'CASE WHEN list_contains(cl, {c}) THEN [t] ELSE CAST([] AS BIGINT[]) END AS l{c}' for c in range(4))} FROM o WHERE i = 1 UNION ALL
+      SELECT src_ip, event_id, i, f, {', '.join(new)} FROM (SELECT o.src_ip, o.event_id, o.i, o.t, o.cl, r.l0, r.l1, r.l2, r.l3, {first} AS f FROM r JOIN o ON o.src_ip = r.src_ip AND o.i = r.i + 1) n)"""
+
+
+@query("win30_first_crossing", f"""{derived_sql('packets')}, o AS (SELECT src_ip, event_id, epoch_us(ts) AS t, {CLASSES} AS cl, row_number() OVER (PARTITION BY src_ip ORDER BY ts, event_id) AS i FROM packets), {_crossing_sql()}
+    SELECT event_id, src_ip AS source_ip, 'session_correlated_' || CASE f WHEN 0 THEN 'sql' WHEN 1 THEN 'xss' WHEN 2 THEN 'cmd' ELSE 'traversal' END || '_attack' AS attack_type FROM r WHERE f IS NOT NULL""")
+def first_crossing(spark: SparkSession, d: str) -> DataFrame:
+    p = packets(spark, d).selectExpr("event_id", "ts", "src_ip", CLASSES.replace("[]", "CAST(array() AS array<int>)").replace("[", "array(").replace("]", ")") + " AS classes")
+    found = folds.fold_rows(p, "src_ip", "ts", "event_id", folds.first_crossing(_NAMES, 5 * DAY, 3))
+    return found.select("event_id", F.col("src_ip").alias("source_ip"), F.concat(F.lit("session_correlated_"), "class", F.lit("_attack")).alias("attack_type"))
+
+
+FLOWS = ("event_id", "ts", "concat(src_ip, '|', CAST(k % 2 AS STRING), '|', CAST(dst_port % 2 AS STRING)) AS flow", "concat(protocol, '.', flags, '.', CAST(raw_len // 400 AS STRING)) AS tok")
+
+
+@query("win45_flow_perplexity", f"""{derived_sql('packets')}, f AS (SELECT {', '.join(FLOWS)} FROM packets), t AS (SELECT flow, lag(tok, 2) OVER w AS a, lag(tok) OVER w AS b, tok AS c FROM f WINDOW w AS (PARTITION BY flow ORDER BY ts, event_id)),
+    g AS (SELECT * FROM t WHERE a IS NOT NULL AND b IS NOT NULL), n3 AS (SELECT a, b, c, count(*) AS n3 FROM g GROUP BY a, b, c), n2 AS (SELECT a, b, count(*) AS n2 FROM g GROUP BY a, b), v AS (SELECT count(*) AS v FROM g)
+    SELECT flow, round(exp(-avg(ln((n3 + 0.01) / (n2 + 0.01 * v + 1)))), 4) AS perplexity, count(*) AS n, exp(-avg(ln((n3 + 0.01) / (n2 + 0.01 * v + 1)))) > 100 AS anomalous FROM g JOIN n3 USING (a, b, c) JOIN n2 USING (a, b), v GROUP BY flow""")
+def flow_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """By flow; smoothing spreads over the contexts counted: of two laws that the survey leaves open, the one of the sensor's own model."""
+    f = packets(spark, d).selectExpr(*[c.replace("raw_len // 400", "raw_len div 400") for c in FLOWS])
+    return windowed.perplexity(f, "flow", ["ts", "event_id"], "tok", by_contexts=True).select("flow", F.round("perplexity", 4).alias("perplexity"), "n", "anomalous")

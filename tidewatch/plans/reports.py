@@ -149,7 +149,7 @@ def technique_detail(spark: SparkSession, d: str) -> DataFrame:
     return attacks(spark, d).join(F.broadcast(t), "attack_type").groupBy("technique").agg(F.max("tactic_name").alias("tactic_name"), F.countDistinct("attack_type").alias("types"), F.count(F.lit(1)).alias("attacks"))
 
 
-RANGES_SQL = reference.sql_values([(i, label, *reference.cidr_bounds(c)[:2]) for i, (label, c) in enumerate((label, c) for label in reference.RANGES for c in reference.RANGES[label].split()) if reference.cidr_bounds(c)[0] is not None], ("ord", "label", "lo", "hi"))
+RANGES_SQL = reference.sql_values([(i, label, *reference.cidr_bounds(c)[:2]) for i, (label, c) in enumerate((label, c) for label in reference.RANGES for c in reference.RANGES[label]) if reference.cidr_bounds(c)[0] is not None], ("ord", "label", "lo", "hi"))
 LABELLED = f"""{A_SQL}, ips AS (SELECT DISTINCT dst_ip, CAST(split_part(dst_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(dst_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(dst_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(dst_ip, '.', 4) AS BIGINT) AS n FROM packets),
     lab AS (SELECT dst_ip, arg_min(label, ord) AS label FROM ips JOIN {RANGES_SQL} r ON n BETWEEN r.lo AND r.hi GROUP BY dst_ip)"""
 
