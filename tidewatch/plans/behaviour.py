@@ -80,11 +80,10 @@ def closes_in_window(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT src_ip, event_id, i, t, t AS opened, 1 AS n, CASE WHEN flags = 'S' THEN 1 ELSE 0 END AS syns, CAST(raw_len AS BIGINT) AS bytes FROM o WHERE i = 1 UNION ALL
       SELECT o.src_ip, o.event_id, o.i, o.t, CASE WHEN f THEN o.t ELSE opened END, CASE WHEN f THEN 1 ELSE n + 1 END, CASE WHEN f THEN 0 ELSE syns END + CASE WHEN o.flags = 'S' THEN 1 ELSE 0 END, CASE WHEN f THEN 0 ELSE bytes END + o.raw_len
       FROM (SELECT r.*, o2.t - r.opened > {DAY * 10**6} AS f FROM r JOIN o o2 ON o2.src_ip = r.src_ip AND o2.i = r.i + 1) r JOIN o ON o.src_ip = r.src_ip AND o.i = r.i + 1)
-    SELECT src_ip, event_id FROM r WHERE n / greatest((t - opened) / 1e6, 0.1) > 0.00012 AND n > 1 AND t > opened""")
+    SELECT src_ip, event_id FROM r WHERE n / greatest((t - opened) / 1e6, 0.1) > 0.00012""")
 def throttled(spark: SparkSession, d: str) -> DataFrame:
     found = windowed.throttled(packets(spark, d), "src_ip", "ts", "raw_len", F.col("flags") == "S", seconds=DAY, packets=0.00012, syns=1e9, total=1e12)
-    # a window's first row has no elapsed time, so its rate stands for a tenth of a second alone
-    return found.filter("packets_per_s < 9").select("src_ip", "event_id")
+    return found.select("src_ip", "event_id")
 
 
 FRAMES = (

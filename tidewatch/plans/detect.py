@@ -420,16 +420,16 @@ def rules_by_category(spark: SparkSession, d: str) -> DataFrame:
     return rules.match_rules(packets(spark, d), rules.RULES).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("par10_app_protocol", f"{derived_sql('packets')} SELECT event_id, CASE dst_port WHEN 22 THEN 'ssh' WHEN 80 THEN 'http' WHEN 443 THEN 'tls' WHEN 53 THEN 'dns' WHEN 8080 THEN 'http' WHEN 3306 THEN 'mysql' ELSE CASE src_port WHEN 80 THEN 'http' WHEN 3306 THEN 'mysql' ELSE NULL END END AS app FROM packets WHERE src_port < 1030")
-def app_protocol(spark: SparkSession, d: str) -> DataFrame:
-    return packets(spark, d).filter("src_port < 1030").select("event_id", parse.app_protocol(F.col("src_port"), F.col("dst_port"), F.lit("")).alias("app"))
-
-
 #: First bytes of a packet by its flags and address; the others have none.
 PAYLOAD = "CASE flags WHEN 'PA' THEN concat('GET ', http_uri, ' HTTP/1.1') WHEN 'SA' THEN 'SSH-2.0-x' WHEN 'A' THEN concat(chr(22), chr(3), chr(1)) WHEN 'SF' THEN 'EHLO x' WHEN 'FR' THEN 'USER x' ELSE '' END"
 BY_PORT = " ".join(f"WHEN {port} THEN '{name}'" for port, name in APP_PORTS.items())
 
 
+@query("par10_app_protocol", f"{derived_sql('packets')} SELECT event_id, coalesce(CASE dst_port {BY_PORT} END, CASE src_port {BY_PORT} END) AS app FROM packets")
+def app_protocol(spark: SparkSession, d: str) -> DataFrame:
+    return packets(spark, d).select("event_id", parse.app_protocol(F.col("src_port"), F.col("dst_port"), F.lit("")).alias("app"))
+
+
 @query("par10_app_protocol_all", f"""{derived_sql('packets')} SELECT event_id, CASE WHEN regexp_matches(payload, '^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) ') THEN 'http' WHEN payload LIKE 'SSH-%' THEN 'ssh' WHEN starts_with(payload, concat(chr(22), chr(3))) THEN 'tls' WHEN payload LIKE 'EHLO%' OR payload LIKE 'HELO%' THEN 'smtp' WHEN payload LIKE 'USER %' OR payload LIKE 'PASS %' THEN 'ftp'
     ELSE coalesce(CASE dst_port {BY_PORT} END, CASE src_port {BY_PORT} END) END AS app FROM (SELECT *, {PAYLOAD} AS payload FROM packets) p""")
 def app_protocol_all(spark: SparkSession, d: str) -> DataFrame:

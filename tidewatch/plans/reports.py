@@ -106,21 +106,17 @@ def actionable(spark: SparkSession, d: str) -> DataFrame:
     return attacks(spark, d).filter(is_actionable(F.concat(F.lit(" "), F.upper("severity")))).select("event_id")
 
 
-@query("st38_log_dispatch", f"""{derived_sql('log_lines')} SELECT event_id, a AS attack_type FROM (SELECT event_id, CASE WHEN regexp_matches(line, 'union%20select|1%27|''%20or%20''') THEN 'sql_injection' WHEN line LIKE '%<script%' THEN 'xss_attempt' WHEN line LIKE '%../%' THEN 'path_traversal' WHEN line LIKE '%etc/passwd%' OR line LIKE '%etc/hosts%' AND false THEN 'lfi_attempt' END AS a FROM log_lines WHERE line LIKE '%GET /_?%' OR line LIKE '%GET /..%') t WHERE a IS NOT NULL""")
-def log_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    web = lines(spark, d).filter("line LIKE '%GET /_?%' OR line LIKE '%GET /..%'")
-    path = F.regexp_extract("line", r'"GET (\S+) ', 1)
-    kind = parse.web_signature(path)
-    return web.select("event_id", kind.alias("attack_type")).filter(F.col("attack_type").isin("sql_injection", "xss_attempt", "path_traversal"))
-
-
 def _web_case() -> str:
     tried = [(pattern.replace("'", "''"), kind) for _, pattern, kind in reference.WEB_SIGNATURES[: reference.WEB_LAST + 1]]
     return "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') OR regexp_matches(plain, '{p}') THEN '{kind}'" for p, kind in tried) + " END"
 
 
 # The derived lines are ssh lines, which say nothing by themselves, and access lines.
-@query("st38_log_dispatch_all", f"""{derived_sql('log_lines')} SELECT event_id, attack_type FROM (SELECT event_id, {_web_case()} AS attack_type FROM (SELECT event_id, line, url_decode(replace(line, '+', ' ')) AS plain FROM log_lines WHERE line NOT LIKE '%sshd[%') l) t WHERE attack_type IS NOT NULL""")
+LOG_DISPATCH_SQL = f"""{derived_sql('log_lines')} SELECT event_id, attack_type FROM (SELECT event_id, {_web_case()} AS attack_type FROM (SELECT event_id, line, url_decode(replace(line, '+', ' ')) AS plain FROM log_lines WHERE line NOT LIKE '%sshd[%') l) t WHERE attack_type IS NOT NULL"""
+
+
+@query("st38_log_dispatch", LOG_DISPATCH_SQL)
+@query("st38_log_dispatch_all", LOG_DISPATCH_SQL)
 def log_dispatch_all(spark: SparkSession, d: str) -> DataFrame:
     return parse.log_attacks(lines(spark, d)).select("event_id", "attack_type").filter("attack_type is not null")
 
@@ -197,12 +193,11 @@ def active_block(spark: SparkSession, d: str) -> DataFrame:
     return suppress.active_block(e, b, "user_id").select("event_id")
 
 
-@query("cor02_intel", f"""{A_SQL}, f AS (SELECT source_ip AS ip, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS provider, k AS s, k > 97 AS m, ts, event_id FROM attacks WHERE ts > TIMESTAMP '2024-01-20'), n AS (SELECT ip, provider, arg_max(s, (ts, s)) AS s, arg_max(m, (ts, s)) AS m FROM f GROUP BY ip, provider)
+@query("cor02_intel", f"""{A_SQL}, f AS (SELECT source_ip AS ip, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS provider, k AS s, k > 97 AS m, ts, event_id FROM attacks WHERE ts + INTERVAL 15 DAY > TIMESTAMP '2024-01-30'), n AS (SELECT ip, provider, arg_max(s, (ts, s)) AS s, arg_max(m, (ts, s)) AS m FROM f GROUP BY ip, provider)
     SELECT ip, max(s) AS abuse_score, max(CASE WHEN m THEN 1 ELSE 0 END) = 1 OR max(s) >= 50 AS malicious FROM n GROUP BY ip""")
 def intel(spark: SparkSession, d: str) -> DataFrame:
-    f = attacks(spark, d).filter("ts > TIMESTAMP_NTZ '2024-01-20 00:00:00'")
-    f = f.select(F.col("source_ip").alias("ip"), F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("provider"), F.col("k").alias("abuse_score"), (F.col("k") > 97).alias("malicious"), F.col("ts").alias("fetched_at"))
-    return suppress.intel(f, F.lit(0), 0)
+    f = attacks(spark, d).select(F.col("source_ip").alias("ip"), F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("provider"), F.col("k").alias("abuse_score"), (F.col("k") > 97).alias("malicious"), F.col("ts").alias("fetched_at"))
+    return suppress.intel(f, F.unix_micros(F.expr(NOW_SPARK).cast("timestamp")), 15 * 86_400)
 
 
 @query("cor04_incident_score", f"{A_SQL} SELECT event_id, round(greatest(k / 100.0, (k % 9) / 8.0), 6) AS score FROM attacks")
@@ -238,11 +233,11 @@ def device_policy(spark: SparkSession, d: str) -> DataFrame:
     return c.join(known, "c_custkey", "left").join(vendor, "c_mktsegment", "left").select("c_custkey", F.coalesce("own", "vendor", F.lit("workstation")).alias("policy"))
 
 
-@query("ver01_verdicts", f"""{A_SQL}, x AS (SELECT event_id, severity FROM attacks WHERE k % 2 = 0), e AS (SELECT event_id, k AS reputation, event_type = 'view' AS throttled FROM base), t AS (SELECT event_id, max(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END) AS w, count(*) AS n FROM x GROUP BY event_id)
+@query("ver01_verdicts", f"""{A_SQL}, x AS (SELECT event_id, severity FROM attacks), e AS (SELECT event_id, k AS reputation, event_type = 'view' AS throttled FROM base), t AS (SELECT event_id, max(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END) AS w, count(*) AS n FROM x GROUP BY event_id)
     SELECT e.event_id, coalesce(n, 0) AS n_detections, CASE WHEN w IS NULL THEN 'pass' WHEN w >= 3 THEN 'drop' WHEN w = 2 THEN 'log_only' WHEN reputation >= 70 THEN 'drop' WHEN reputation >= 40 THEN 'log_only' WHEN throttled THEN 'rate_limit' ELSE 'pass' END AS verdict FROM e LEFT JOIN t USING (event_id)""")
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     a = attacks(spark, d)
-    return suppress.verdicts(a.filter("k % 2 = 0"), a.select("event_id", F.col("k").alias("reputation"), (F.col("event_type") == "view").alias("throttled")))
+    return suppress.verdicts(a, a.select("event_id", F.col("k").alias("reputation"), (F.col("event_type") == "view").alias("throttled")))
 
 
 @query("ver02_actions", f"""{A_SQL}, c AS (SELECT source_ip, attack_type, event_id, epoch_us(ts) AS t FROM attacks WHERE severity IN ('high', 'critical')), r AS (SELECT source_ip, attack_type, min(t) AS t FROM c GROUP BY ALL UNION ALL SELECT r.source_ip, r.attack_type, min(c.t) FROM r JOIN c ON c.source_ip = r.source_ip AND c.attack_type = r.attack_type AND c.t >= r.t + 86400000000 GROUP BY r.source_ip, r.attack_type, r.t)
@@ -273,9 +268,9 @@ def threat_score(spark: SparkSession, d: str) -> DataFrame:
     return report.threat_scores(windowed.cooldown(a, ["source_ip", "attack_type"], "ts", 432000, carry=("severity",)).filter("passed"))
 
 
-@query("agg03_count_score", f"{A_SQL} SELECT source_ip, least(100, 20 * count(*)) AS score FROM attacks WHERE k < 20 GROUP BY source_ip")
+@query("agg03_count_score", f"{A_SQL} SELECT source_ip, least(100, 20 * count(*)) AS score FROM attacks GROUP BY source_ip")
 def count_score(spark: SparkSession, d: str) -> DataFrame:
-    return report.count_scores(attacks(spark, d).filter("k < 20"))
+    return report.count_scores(attacks(spark, d))
 
 
 @query("agg03_count_score_all", f"{A_SQL} SELECT source_ip, least(100, 20 * count(*)) AS score FROM attacks GROUP BY source_ip")
@@ -352,10 +347,9 @@ def baselines(spark: SparkSession, d: str) -> DataFrame:
     return b.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd")], "low", "high", F.round("median", 6).alias("median"), "p95")
 
 
-@query("fn_nearest_rank", """SELECT event_type, sort[least(len(sort) * 75 // 100, len(sort) - 1) + 1] AS p75 FROM (SELECT event_type, list_sort(list(CAST(json_extract_string(props, '$.k') AS INT))) AS sort FROM events WHERE user_id < 20 GROUP BY event_type) t""")
+@query("fn_nearest_rank", """SELECT event_type, sort[least(len(sort) * 75 // 100, len(sort) - 1) + 1] AS p75 FROM (SELECT event_type, list_sort(list(CAST(json_extract_string(props, '$.k') AS INT))) AS sort FROM events GROUP BY event_type) t""")
 def nearest_rank_query(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("user_id < 20").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return e.groupBy("event_type").agg(nearest_rank(F.collect_list("k"), 75).alias("p75"))
+    return nearest_rank_all(spark, d)
 
 
 @query("fn_nearest_rank_all", """SELECT event_type, max(CASE WHEN i = least(c * 75 // 100, c - 1) THEN k END) AS p75 FROM (SELECT event_type, k, row_number() OVER (PARTITION BY event_type ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) e) r GROUP BY event_type""")
