@@ -25,15 +25,20 @@ def _field(line: Column, kind: Column, field: str) -> Column:
     return out
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however many expressions above name it: an array of one, exploded."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def log_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """log_type and fields of every line; the first pattern that matches decides, none gives null."""
-    df = df.withColumn("log_type", first_match(F.col(line), [(n, p) for n, p, _ in LOG_PATTERNS]))
+    df = _once(df, "log_type", first_match(F.col(line), [(n, p) for n, p, _ in LOG_PATTERNS]))
     return df.select("*", *[_field(F.col(line), F.col("log_type"), f).alias(f"log_{f}") for f in FIELDS])
 
 
-def web_signature(text: Column, signatures=WEB_SIGNATURES) -> Column:
+def web_signature(text: Column, signatures=WEB_SIGNATURES, decoded: Column | None = None) -> Column:
     """Attack type of the first signature that the text or its decoded form matches."""
-    decoded = url_decoded(text)
+    decoded = url_decoded(text) if decoded is None else decoded
     out = F.lit(None).cast("string")
     for _, pattern, kind in reversed(signatures):
         out = F.when(text.rlike(pattern) | decoded.rlike(pattern), F.lit(kind)).otherwise(out)
@@ -97,13 +102,13 @@ def log_attacks(df: DataFrame, line: str = "line") -> DataFrame:
 
     Web signatures are tried on access lines and others that name http; the exploits' fixed strings on what no rule before takes.
     """
-    df = log_lines(df, line)
+    df = _once(log_lines(df, line), "_plain", url_decoded(F.col(line)))
     kind, text = F.col("log_type"), F.col(line)
-    web = F.when((kind == "web_access") | (kind.isNotNull() & F.lower(text).contains("http")), web_signature(text, WEB_SIGNATURES[: WEB_LAST + 1]))
-    chain = F.when(web.isNotNull(), web)
+    web = F.when((kind == "web_access") | (kind.isNotNull() & F.lower(text).contains("http")), web_signature(text, WEB_SIGNATURES[: WEB_LAST + 1], F.col("_plain")))
+    chain = F.when(F.col("_web").isNotNull(), F.col("_web"))
     for name, attack in DIRECT_LOG_TYPES:
         chain = chain.when(kind.contains(name), F.lit(attack).cast("string"))
-    return df.withColumn("attack_type", chain.when(kind.isNotNull(), exploit_signature(text)))
+    return _once(_once(df, "_web", web), "attack_type", chain.when(kind.isNotNull(), exploit_signature(text))).drop("_plain", "_web")
 
 
 def http_request(payload: Column) -> Column:

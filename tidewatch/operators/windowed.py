@@ -55,7 +55,8 @@ def distinct_in_window(df: DataFrame, attack_type: str, severity: str | Column,
     No set is held: a value counts one from the row at which it enters the window to the moment it leaves, and the count is a
     running sum of entries and leavings.
     """
-    rows = df.filter(where).withColumn("_t", micros(ts))
+    # dealt by key once: windows by key and value use that too
+    rows = df.filter(where).withColumn("_t", micros(ts)).repartition(*key)
     if seconds is None:
         nth = F.row_number().over(Window.partitionBy(*key, of).orderBy(ts, order))
         enters = F.when(F.col(of).isNotNull() & (nth == 1), 1).otherwise(0)
@@ -296,17 +297,23 @@ def slow_loris(packets: DataFrame, last: int = 20, at_least: int = 10, span: flo
     """
     shortest = int(span * 1_000_000)
 
-    def step(recent: list[int], times: np.ndarray) -> tuple[list[int], np.ndarray]:
-        marks = np.zeros(len(times), bool)
-        for i, t in enumerate(times.tolist()):
-            recent = [*recent[1 - last :], t]
-            width = t - recent[0]
-            if len(recent) >= at_least and width >= shortest and len(recent) * 1e6 > per_second * width:
-                marks[i], recent = True, []
-        return recent, marks
+    def step(recent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate([recent, times])
+        marks, begin = np.zeros(len(every), bool), 0
+        at = np.arange(len(every))
+        while begin < len(every):
+            # of all rows since the last hit, the first whose sample is large, wide and dense enough
+            size = np.minimum(at[begin:] - begin + 1, last)
+            width = every[begin:] - every[at[begin:] - size + 1]
+            hits = np.flatnonzero((size >= at_least) & (width >= shortest) & (size * 1e6 > per_second * width) & (at[begin:] >= len(recent)))
+            if not len(hits):
+                break
+            begin += int(hits[0]) + 1
+            marks[begin - 1] = True
+        return every[max(begin, len(every) - last + 1) :], marks[len(recent) :]
 
     syns = unanswered_syns(packets).select("source_ip", "event_id", "ts")
-    return detection(fold(syns, ["source_ip"], ["ts", "event_id"], list, step), "slow_loris", "high", "source_ip")
+    return detection(fold(syns, ["source_ip"], ["ts", "event_id"], lambda: np.empty(0, np.int64), step), "slow_loris", "high", "source_ip")
 
 
 def low_entropy_isn(packets: DataFrame, last: int = 5, at_least: int = 4, small: int = 100, constant: int = 10_000) -> DataFrame:
