@@ -26,7 +26,7 @@ _LEVEL = "doc_id long, keep_id long, group_size long, text_sha256 string, grp lo
 
 
 def _split(rows: DataFrame, width: int, n: int, scratch: Scratch) -> DataFrame:
-    """One level: the ``n`` ``rows`` (doc_id, grp, rest, text_sha256) split by the next ``width`` bytes.
+    """One level: the ``n`` ``rows`` (doc_id, grp, rest, and text_sha256 but on the first level) split by the next ``width`` bytes.
 
     ``grp`` is the group that shares all bytes before; ``ended`` tells a text that stops within this digit from one that only
     begins like it.
@@ -45,11 +45,13 @@ def _split(rows: DataFrame, width: int, n: int, scratch: Scratch) -> DataFrame:
         maybe.join(hot.select(*keys), keys, "left_anti").join(groups.filter(F.col("size") <= share), keys, "left").select(*digit.columns, "size", "last", "next"),
     ]
     done = F.col("size").isNull() | F.col("ended")
+    # on the first level, where rest is the whole text, the digest is computed here, once a row
+    digest = F.col("text_sha256") if "text_sha256" in rows.columns else F.sha2("rest", 256)
     return union_all(parts).select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("last")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        "text_sha256",
+        digest.alias("text_sha256"),
         done.alias("done"),
         F.when(~done, F.col("next")).alias("grp"),
         F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
@@ -69,7 +71,7 @@ def exact_duplicates(docs: DataFrame, first_digit: int = FIRST_DIGIT, wider: int
     columns may have any name. The digest is a column of the result and decides nothing.
     """
     scratch = scratch or Scratch(docs.sparkSession, "radix")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("grp"), _normalised().alias("rest")).withColumn("text_sha256", F.sha2("rest", 256))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("grp"), _normalised().alias("rest"))
     done, width, previous, n = [], first_digit, None, docs.count()
     while True:
         path = scratch.write(_split(rows, width, n, scratch), "level", partition=["done"])
