@@ -44,17 +44,18 @@ def policy_violations(packets: DataFrame, policies: DataFrame, mac: str = "src_m
     """Packets (with ``policy``) against their policies: a device's packets beyond max_connections (high), else a port, protocol or hour that isn't allowed (medium).
 
     ``policies``: policy, max_connections, ports (array), protocols (array), from_hour, to_hour; a null array or hour allows all, the hours
-    are from_hour <= hour < to_hour. Devices of unknown policies are left alone.
+    are from_hour <= hour < to_hour, past midnight where from_hour is the larger. Devices of unknown policies are left alone.
     """
     known = policies.select(F.col("policy").alias("_p"), "max_connections", "ports", "protocols", "from_hour", "to_hour")
     rows = packets.filter("policy is not null").join(known, F.col("policy") == F.col("_p"))
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(running([mac], ["ts", "event_id"])))
-    hour = F.hour("ts")
+    hour, begin, end = F.hour("ts"), F.col("from_hour"), F.col("to_hour")
+    inside = F.when(begin <= end, (hour >= begin) & (hour < end)).otherwise((hour >= begin) | (hour < end))
     reason = (
         F.when(F.col("_n") > F.col("max_connections"), "connections")
         .when(~F.coalesce(F.array_contains("ports", F.col("dst_port")), F.lit(True)), "port")
         .when(~F.coalesce(F.array_contains("protocols", F.col("protocol")), F.lit(True)), "protocol")
-        .when(~F.coalesce((hour >= F.col("from_hour")) & (hour < F.col("to_hour")), F.lit(True)), "hour")
+        .when(~F.coalesce(inside, F.lit(True)), "hour")
     )
     found = rows.withColumn("reason", reason).filter("reason is not null")
     return found.select("event_id", "ts", F.col("src_ip").alias("source_ip"), F.lit("zt_policy_violation").alias("attack_type"), F.when(F.col("reason") == "connections", "high").otherwise("medium").alias("severity"), "reason")

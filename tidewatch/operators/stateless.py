@@ -9,11 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import entropy, url_decoded
-from ..sources.reference import SCRIPT_ENDINGS, SENSITIVE_PATHS, SERVICES, WEB_FOLDERS, WEB_SIGNATURES
+from ..sources.reference import OVERRIDE_HEADERS, PROXY_HEADERS, SCRIPT_ENDINGS, SENSITIVE_PATHS, SERVICES, WEB_FOLDERS, WEB_SIGNATURES
 from .parse import chunked_body, multipart, normalise
 
 PATTERN = {name: pattern for name, pattern, _ in WEB_SIGNATURES}
@@ -163,6 +163,34 @@ def host_rules() -> list[Rule]:
     ]
 
 
+def tunnel_rules() -> list[Rule]:
+    """Tunnels in http, on payload_text and payload_len: large payloads, tunnel headers, binary content."""
+    line = lambda p: F.coalesce(F.col("payload_text").rlike(r"(?im)^" + p), F.lit(False))
+    large = F.coalesce(F.col("payload_len") > 50_000, F.lit(False))
+    return [
+        Rule("http_tunnel", "medium", large),
+        Rule("http_tunnel", "high", ~large & line(r"[^\r\n]*(x-tunnel|proxy-authorization|proxy-connection)")),
+        Rule("http_tunnel", "high", ~large & ~line(r"[^\r\n]*(x-tunnel|proxy-authorization|proxy-connection)") & line(r"content-type:[^\r\n]*application/octet-stream")),
+    ]
+
+
+def override_injection(requests: DataFrame) -> DataFrame:
+    """Requests one of whose override headers (OVERRIDE_HEADERS, in ``headers``, a map of any case) holds SQL, script or a path upwards once decoded."""
+    texts = F.transform(F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]).isin(*OVERRIDE_HEADERS)), lambda e: normalise(e["value"]))
+    # an array of one, so that headers are decoded once a row
+    rows = requests.withColumn("_x", F.explode(F.array(texts))).filter(F.exists("_x", lambda t: _sql(t) | _xss(t) | _traversal(t)))
+    return detect(rows, [Rule("header_injection", "high", F.lit(True), 0.8)])
+
+
+def proxy_headers(packets: DataFrame, at_least: int = 3) -> DataFrame:
+    """Packets with a proxy header (``payload_text``) once their source has sent ``at_least`` such headers; a packet counts up to the one that is reported."""
+    named = F.size(F.filter(F.split("payload_text", "\r\n"), lambda x: x.contains(":") & F.lower(F.trim(F.substring_index(x, ":", 1))).isin(*PROXY_HEADERS)))
+    rows = packets.filter("protocol = 'tcp'").withColumn("_n", named).filter("_n > 0")
+    # before the mark all of a packet's headers count, from it on one is enough
+    total = F.sum("_n").over(Window.partitionBy("src_ip").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return detect(rows.withColumn("_t", total).filter(F.col("_t") >= at_least), [Rule("proxy_traffic", "medium", F.lit(True))])
+
+
 def wire_rules() -> list[Rule]:
     """Rules on decoded wire columns: ethertypes (outer, inner), next_header, ext_headers (array), inner_version and inner_protocol of
     an encapsulated header with its inner_length, payload_text and payload_len, and header_value of a listed request header.

@@ -75,6 +75,24 @@ def distinct_in_window(df: DataFrame, attack_type: str, severity: str | Column,
     return detection(found, attack_type, severity, key[0], n="n")
 
 
+def protocol_use(packets: DataFrame, at_least: int = 50, kinds: int = 3) -> DataFrame:
+    """Packets of a host that has sent ``at_least`` in ``kinds`` protocols or more so far; null counts as one protocol, unknown."""
+    w = running(["src_ip"], ["ts", "event_id"])
+    rows = packets.repartition("src_ip").withColumn("_p", F.coalesce("protocol", F.lit("unknown")))
+    first = F.row_number().over(Window.partitionBy("src_ip", "_p").orderBy("ts", "event_id")) == 1
+    rows = rows.withColumn("_first", first.cast("long")).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("n", F.sum("_first").over(w))
+    return detection(rows.filter((F.col("_n") >= at_least) & (F.col("n") >= kinds)), "proto_scan", "low", n="n")
+
+
+def hopping(packets: DataFrame, step: int = 5) -> DataFrame:
+    """Packets that bring a pair of hosts to ``step`` distinct ports, and to each multiple of it."""
+    key = ["src_ip", "dst_ip"]
+    rows = packets.filter("dst_port is not null").repartition(*key)
+    first = F.row_number().over(Window.partitionBy(*key, "dst_port").orderBy("ts", "event_id")) == 1
+    rows = rows.withColumn("_first", first.cast("long")).withColumn("n", F.sum("_first").over(running(key, ["ts", "event_id"])))
+    return detection(rows.filter((F.col("_first") == 1) & (F.col("n") % step == 0)), "port_hopping", "medium", n="n")
+
+
 def frame(df: DataFrame, attack_type: str, severity: str, key: list[str], order: list[str], n: int, at_least: int, test: Callable[[Window], Column], where: str = "true", source: str | None = None) -> DataFrame:
     """Rows where ``test`` holds over the key's last ``n`` rows, of which there are ``at_least``."""
     w = last_rows(key, order, n)

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ("detect", "reports", "behaviour", "folding", "streams", "response", "desk")
+MODULES: tuple[str, ...] = ("detect", "reports", "behaviour", "folding", "streams", "response", "desk", "intake")
 
 
 def load() -> None:

@@ -324,7 +324,7 @@ def evidence_window(spark: SparkSession, d: str) -> DataFrame:
     return hits.filter("event_id is not null")
 
 
-@query("win49_payload_assembly", None)
+@query("win49_payload_assembly", "SELECT conv_id, CAST(count(*) AS INT) AS n_parts, sha256(coalesce(string_agg(text, '' ORDER BY turn, text), '')) AS payload_sha256 FROM conversations GROUP BY conv_id")
 def payload_assembly(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parts"))
     return c.select("conv_id", F.size("parts").alias("n_parts"), F.sha2(F.array_join(F.transform("parts", lambda p: p["text"]), ""), 256).alias("payload_sha256"))
@@ -437,7 +437,9 @@ def app_protocol_all(spark: SparkSession, d: str) -> DataFrame:
     return p.select("event_id", parse.app_protocol(F.col("src_port"), F.col("dst_port"), F.col("payload")).alias("app"))
 
 
-@query("par13_client_fingerprint", None)
+@query("par13_client_fingerprint", f"""{derived_sql('packets')}, l AS (SELECT event_id, tls_sni, list_transform(range(0, k % 7 + 1), lambda i: i * 257 + k) AS c, list_transform(range(0, k % 5 + 1), lambda i: i * 257 + k) AS e FROM packets)
+    SELECT event_id, concat('t12', CASE WHEN length(tls_sni) > 0 THEN 'd' ELSE 'i' END, lpad(CAST(len(c) AS STRING), 2, '0'), lpad(CAST(len(e) AS STRING), 2, '0'), 'h2_', sha256(array_to_string(list_transform(c, lambda x: lpad(lower(hex(x)), 4, '0')), ','))[1:12], '_',
+      sha256(array_to_string(list_transform(list_filter(e, lambda x: x NOT IN (0, 16)), lambda x: lpad(lower(hex(x)), 4, '0')), ','))[1:12]) AS fingerprint FROM l""")
 def client_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     lists = lambda a: F.transform(F.sequence(F.lit(0), F.col("k") % a), lambda i: (i * 257 + F.col("k")).cast("int"))
     return packets(spark, d).select("event_id", ja4(F.lit(771), lists(7), lists(5), F.col("tls_sni"), F.lit("h2")).alias("fingerprint"))

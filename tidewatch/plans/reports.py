@@ -10,7 +10,7 @@ from ..operators import parse, report, rules, suppress, windowed
 from ..sources import reference, sinks
 from ..sources.derive import derive, derived_sql
 from ..sources.readers import above_mark
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 # The stored attacks: detections of several types, by source, with the country of a customer of the same number.
 KIND = "CASE k % 7 WHEN 0 THEN 'port_scan' WHEN 1 THEN 'sql_injection' WHEN 2 THEN 'ssh_bruteforce' WHEN 3 THEN 'syn_flood' WHEN 4 THEN 'crypto_miner' WHEN 5 THEN 'tls_observation' ELSE 'admin_probe' END"
@@ -473,7 +473,8 @@ def syslog_lines(spark: SparkSession, d: str) -> DataFrame:
     return sinks.formatted(attacks(spark, d), "syslog")
 
 
-@query("snk05_fan_out", None)
+@query("snk05_fan_out", f"""{A_SQL} SELECT a.event_id, e.ecs, c.cef, s.syslog, concat('{{"type":"indicator","id":"indicator--', sha256(concat(a.attack_type, '|', a.source_ip))[1:32], '","name":"', a.attack_type, '","pattern":"[ipv4-addr:value = ''', a.source_ip, ''']"}}') AS stix
+    FROM attacks a JOIN ({ORACLES['snk01_ecs']}) e USING (event_id) JOIN ({ORACLES['snk02_cef']}) c USING (event_id) JOIN ({ORACLES['snk03_syslog']}) s USING (event_id)""")
 def fan_out(spark: SparkSession, d: str) -> DataFrame:
     return sinks.formatted(attacks(spark, d), "ecs", "cef", "syslog", "stix")
 

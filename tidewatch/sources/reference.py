@@ -399,6 +399,9 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&ap
 # Request headers that override what a proxy saw.
 OVERRIDE_HEADERS = ("x-forwarded-for", "x-original-url", "x-rewrite-url", "x-http-method-override", "x-forwarded-host")
 
+# Headers that proxies add.
+PROXY_HEADERS = ("x-forwarded-for", "x-real-ip", "x-forwarded-proto", "via", "proxy-authorization", "proxy-connection", "x-proxy-user", "x-proxy-agent")
+
 # Files whose opening counts, with attack type and severity, in the order in which they are tried; web folders and endings of scripts.
 SENSITIVE_PATHS = (
     ("/etc/passwd", "credential_access", "medium"), ("/etc/shadow", "credential_access", "high"), ("/.ssh/", "credential_access", "medium"), ("/.aws/", "credential_access", "medium"),

@@ -53,8 +53,22 @@ def stix() -> Column:
     return F.to_json(F.struct(F.lit("indicator").alias("type"), ident.alias("id"), F.col("attack_type").alias("name"), F.concat(F.lit("[ipv4-addr:value = '"), F.col("source_ip"), F.lit("']")).alias("pattern")))
 
 
+def stix_bundle() -> Column:
+    """A bundle of one indicator with the detection's techniques (column mitre) as references; ids are UUIDs that follow from type and source."""
+    digest = F.sha2(F.concat_ws("|", "attack_type", "source_ip"), 256)
+    uuid = lambda at: F.concat_ws("-", F.substring(digest, at, 8), F.substring(digest, at + 8, 4), F.concat(F.lit("4"), F.substring(digest, at + 13, 3)), F.concat(F.lit("8"), F.substring(digest, at + 17, 3)), F.substring(digest, at + 20, 12))
+    refs = F.transform("mitre", lambda t: F.struct(F.lit("mitre-attack").alias("source_name"), F.concat(F.lit("https://attack.mitre.org/techniques/"), t).alias("url")))
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    indicator = F.struct(
+        F.lit("indicator").alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit("indicator--"), uuid(1)).alias("id"), at.alias("created"), at.alias("modified"), at.alias("valid_from"),
+        F.concat(F.lit("[ipv4-addr:value = '"), "source_ip", F.lit("']")).alias("pattern"), F.lit("stix").alias("pattern_type"), F.array(F.lit("malicious-activity")).alias("indicator_types"), F.col("attack_type").alias("name"),
+        F.when(F.size("mitre") > 0, refs).alias("external_references"),
+    )
+    return F.to_json(F.struct(F.lit("bundle").alias("type"), F.concat(F.lit("bundle--"), uuid(33)).alias("id"), F.array(indicator).alias("objects")))
+
+
 #: Formats by name; add a function without arguments that returns a text column.
-FORMATS: dict[str, Callable[[], Column]] = {"ecs": ecs, "cef": cef, "syslog": syslog_line, "stix": stix}
+FORMATS: dict[str, Callable[[], Column]] = {"ecs": ecs, "cef": cef, "syslog": syslog_line, "stix": stix, "stix_bundle": stix_bundle}
 
 
 def formatted(detections: DataFrame, *names: str) -> DataFrame:
