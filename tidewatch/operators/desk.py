@@ -149,3 +149,65 @@ def unusual_hours(rows: DataFrame, key: str, ts: str, at_least: int = 200, hours
     seen = seen.withColumn("_nth", nth).withColumn("_hours", F.sum((F.col("_nth") == 1).cast("long")).over(w))
     hit = (F.col("_nth") < seldom) & ~F.coalesce(F.col("_before") == F.col("_h"), F.lit(False)) & (F.col("_n") >= at_least) & (F.col("_hours") >= hours) & (F.col("_hours") / 24 < share)
     return seen.filter(hit).select(order, ts, F.col(key).alias("source_ip"), F.lit("unusual_hours_activity").alias("attack_type"), F.lit("low").alias("severity"), F.col("_h").cast("int").alias("hour"))
+
+
+def dashboard(attacks: DataFrame, blocks: DataFrame, hits: DataFrame, alerts: DataFrame, now: Column, n: int = 10) -> DataFrame:
+    """Rows (panel, place, name, value) of five panels: the ``n`` commonest types, the newest attacks, the newest standing blocks, hits of each kind of deception, alerts of the last hour by severity.
+
+    ``hits`` has kind, ``alerts`` created_at and severity; attacks and blocks of one moment go by source.
+    """
+    at = F.unix_micros(now.cast("timestamp"))
+    count = F.count(F.lit(1)).alias("n")
+
+    def panel(name: str, rows: DataFrame, order: list[Column], label: Column, value: Column, most: int | None = n) -> DataFrame:
+        # the first rows of a total order, so a window over few
+        rows = rows.select(*[c.alias(f"_o{i}") for i, c in enumerate(order)], label.cast("string").alias("name"), value.cast("string").alias("value"))
+        by = [F.col(f"_o{i}") for i in range(len(order))]
+        first = rows.orderBy(*by).limit(most) if most else rows
+        place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*by))
+        return first.withColumn("place", place).select(F.lit(name).alias("panel"), "place", "name", "value")
+
+    types = attacks.groupBy("attack_type").agg(count)
+    stands = blocks.filter((micros("created_at") <= at) & (micros("block_until") > at))
+    recent = alerts.filter((micros("created_at") > at - 3_600_000_000) & (micros("created_at") <= at)).groupBy(severity_norm(F.col("severity")).alias("severity")).agg(count)
+    parts = [
+        panel("types", types, [-F.col("n"), F.col("attack_type")], F.col("attack_type"), F.col("n")),
+        panel("attacks", attacks, [-micros("ts"), F.col("source_ip"), F.col("attack_type")], F.col("source_ip"), F.col("attack_type")),
+        panel("blocks", stands, [-micros("created_at"), F.col("ip_address")], F.col("ip_address"), F.date_format("block_until", "yyyy-MM-dd HH:mm:ss")),
+        panel("deception", hits.groupBy("kind").agg(count), [F.col("kind")], F.col("kind"), F.col("n"), None),
+        panel("alerts", recent, [F.col("severity")], F.col("severity"), F.col("n"), None),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def attacker_countries(attackers: DataFrame, now: Column, n: int = 5) -> DataFrame:
+    """Rows (panel, name, n): all attackers (ip_address, last_seen, country), those seen in the last 24 hours, and the ``n`` countries with most, where one is known."""
+    at = F.unix_micros(now.cast("timestamp"))
+    none = F.lit(None).cast("string").alias("name")
+    every = attackers.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("panel"), none, "n")
+    day = attackers.filter(micros("last_seen") >= at - 86_400_000_000).agg(F.count(F.lit(1)).alias("n")).select(F.lit("last_day").alias("panel"), none, "n")
+    top = attackers.filter("country is not null").groupBy(F.col("country").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(n)
+    return every.unionByName(day).unionByName(top.select(F.lit("country").alias("panel"), "name", "n"))
+
+
+def pipeline_counters(packets: DataFrame, at: str = "ts") -> DataFrame:
+    """By verdict: packets, mean latency (``latency``), and packets a second between the table's first and last."""
+    span = packets.agg(((F.max(micros(at)) - F.min(micros(at))) / 1e6).alias("_s"))
+    per = packets.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.avg("latency").alias("mean_latency"))
+    # one row
+    return per.join(F.broadcast(span)).select("verdict", "n", "mean_latency", F.when(F.col("_s") > 0, F.col("n") / F.col("_s")).alias("rate"))
+
+
+def technique_coverage(detections: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """One row: techniques and tactics of the detections (columns mitre, tactics: arrays), sorted and counted, and the share of the catalogue's types (attack_type) that were seen."""
+    t = detections.select(F.explode("mitre").alias("x")).agg(F.array_sort(F.collect_set("x")).alias("t"))
+    c = detections.select(F.explode("tactics").alias("x")).agg(F.array_sort(F.collect_set("x")).alias("c"))
+    seen = catalogue.select("attack_type").distinct().join(detections.select("attack_type").distinct().withColumn("_seen", F.lit(True)), "attack_type", "left")
+    share = seen.agg(F.count("_seen").alias("seen"), F.count(F.lit(1)).alias("known"))
+    # techniques and tactics are few, whatever the table
+    return t.join(F.broadcast(c)).join(F.broadcast(share)).select(
+        F.size("t").alias("n_techniques"), F.size("c").alias("n_tactics"), F.array_join("t", ",").alias("techniques"), F.array_join("c", ",").alias("tactics"), (F.col("seen") / F.col("known")).alias("share")
+    )

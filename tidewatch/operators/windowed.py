@@ -434,6 +434,33 @@ def fragment_faults(packets: DataFrame, most: int = 64, tiny: int = 100, oversiz
     return rows.select("event_id", "ts", F.col("src_ip").alias("source_ip"), "_f.attack_type", "_f.severity", "_f.reason")
 
 
+def beside_recent(rows: DataFrame, key: str, value: str, at: str, order: list[str], seconds: float, most: int = 1000) -> DataFrame:
+    """``outlier``: a whole number over three sample deviations from the mean of its key's values of the last ``seconds`` before it, the newest ``most`` of them.
+
+    There must be three such values; where they are all the same, any other is an outlier. ``at`` is the time in microseconds. Sums are whole numbers, so
+    that any engine finds the same.
+    """
+    near = Window.partitionBy(key).orderBy(at).rangeBetween(-int(seconds * 1e6), -1)
+    newest = Window.partitionBy(key).orderBy(*order).rowsBetween(-most, -1)
+    sums = lambda w: F.struct(F.count(value).over(w).alias("n"), F.coalesce(F.sum(value).over(w), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col(value) * F.col(value)).over(w), F.lit(0)).alias("q"))
+    rows = rows.withColumn("_near", sums(near)).withColumn("_newest", sums(newest))
+    rows = rows.withColumn("_x", F.when(F.col("_near.n") > most, F.col("_newest")).otherwise(F.col("_near")))
+    n, total, squares = (F.col(f"_x.{c}") for c in ("n", "s", "q"))
+    # n (n - 1) times the variance, and n times the value's distance from the mean
+    spread, off = n * squares - total * total, F.abs(n * F.col(value) - total)
+    found = (n >= 3) & F.when(spread > 0, off * F.sqrt(n - 1) > 3 * F.sqrt(n * spread)).otherwise(off > 0)
+    return rows.withColumn("outlier", found).drop("_near", "_newest", "_x")
+
+
+def covert_ttls(packets: DataFrame, last: int = 15, kinds: int = 6, seconds: float = 300.0, baseline: int = 1000) -> DataFrame:
+    """Rows at which a host's last ``last`` ttls are of ``kinds`` values or more and the row's own is an outlier."""
+    order = ["ts", "event_id"]
+    rows = packets.filter("ttl is not null").withColumn("_b", F.col("ttl").cast("long")).withColumn("_t", micros("ts"))
+    rows = beside_recent(rows, "src_ip", "_b", "_t", order, seconds, baseline).withColumn("_seen", F.collect_list("_b").over(last_rows(["src_ip"], order, last)))
+    hit = rows.filter((F.size("_seen") >= last) & (F.size(F.array_distinct("_seen")) >= kinds) & F.col("outlier"))
+    return detection(hit, "ttl_covert_channel", "medium")
+
+
 def covert_numbers(packets: DataFrame, of: str, attack_type: str, printable: int, where: str = "true", last: int = 25, samples: int = 10, seconds: float = 300.0, baseline: int = 1000) -> DataFrame:
     """Rows at which the low bytes of a host's numbers look like text: event_id, ts, source_ip, attack_type, severity, text.
 
@@ -443,19 +470,10 @@ def covert_numbers(packets: DataFrame, of: str, attack_type: str, printable: int
     """
     order = ["ts", "event_id"]
     rows = packets.filter(where).withColumn("_b", F.pmod(F.col(of), F.lit(256)).cast("long")).withColumn("_t", micros("ts"))
-    near = Window.partitionBy("src_ip").orderBy("_t").rangeBetween(-int(seconds * 1e6), -1)
-    newest = Window.partitionBy("src_ip").orderBy(*order).rowsBetween(-baseline, -1)
-    # whole sums, so that any engine finds the same deviation
-    sums = lambda w: F.struct(F.count("_b").over(w).alias("n"), F.coalesce(F.sum("_b").over(w), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("_b") * F.col("_b")).over(w), F.lit(0)).alias("q"))
-    rows = rows.withColumn("_near", sums(near)).withColumn("_newest", sums(newest)).withColumn("_seen", F.collect_list("_b").over(last_rows(["src_ip"], order, last)))
-    rows = rows.withColumn("_x", F.when(F.col("_near.n") > baseline, F.col("_newest")).otherwise(F.col("_near")))
+    rows = beside_recent(rows, "src_ip", "_b", "_t", order, seconds, baseline).withColumn("_seen", F.collect_list("_b").over(last_rows(["src_ip"], order, last)))
     deltas = F.filter(F.zip_with(F.slice("_seen", 2, last), F.slice("_seen", 1, F.greatest(F.size("_seen") - 1, F.lit(0))), lambda b, a: F.pmod(b - a, F.lit(256))), lambda d: d.between(32, 126))
     rows = rows.withColumn("_p", deltas).filter((F.size("_seen") >= samples) & (F.size("_p") >= printable)).withColumn("_p", F.slice("_p", -printable, printable))
-    n, total, squares = (F.col(f"_x.{c}") for c in ("n", "s", "q"))
-    # n (n - 1) times the variance, and n times the byte's distance from the mean
-    spread, off = n * squares - total * total, F.abs(n * F.col("_b") - total)
-    outlier = (n >= 3) & F.when(spread > 0, off * F.sqrt(n - 1) > 3 * F.sqrt(n * spread)).otherwise(off > 0)
-    hit = rows.filter((F.size(F.array_distinct("_p")) <= max(3.0, 0.7 * printable)) & outlier)
+    hit = rows.filter((F.size(F.array_distinct("_p")) <= max(3.0, 0.7 * printable)) & F.col("outlier"))
     text = F.array_join(F.transform("_p", lambda d: F.char(d)), "")
     return hit.select("event_id", "ts", F.col("src_ip").alias("source_ip"), F.lit(attack_type).alias("attack_type"), F.lit("high").alias("severity"), text.alias("text"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import desk
+from ..operators import desk, rules
+from ..sources import reference
 from .detect import packets
 from .registry import query, table
 from .reports import A_SQL, NOW, NOW_SPARK, attacks
@@ -125,3 +126,35 @@ def counters(spark: SparkSession, d: str) -> DataFrame:
 def active_hours(spark: SparkSession, d: str) -> DataFrame:
     """Hours in steps of four, so that hosts with few events have hours they seldom use."""
     return desk.unusual_hours(table(spark, d, "events").withColumn("host", F.col("user_id") % 40), "host", "ts", 8, seldom=3, step=4).select("event_id", "source_ip", "hour")
+
+
+@query("agg13_dashboard", f"""{A_SQL}, {BLOCKS_SQL}, l AS (SELECT CASE WHEN k % 2 = 0 THEN 'honeypot' ELSE 'honeyfile' END AS kind, severity, ts FROM attacks WHERE event_type <> 'view'),
+    p AS (SELECT 'types' AS panel, row_number() OVER (ORDER BY count(*) DESC, attack_type) AS place, attack_type AS name, CAST(count(*) AS STRING) AS value FROM attacks GROUP BY attack_type UNION ALL
+      SELECT 'attacks', row_number() OVER (ORDER BY ts DESC, source_ip, attack_type), source_ip, attack_type FROM attacks UNION ALL SELECT 'blocks', row_number() OVER (ORDER BY created_at DESC, ip_address), ip_address, strftime(block_until, '%Y-%m-%d %H:%M:%S') FROM b WHERE created_at <= {NOW} AND block_until > {NOW})
+    SELECT panel, CAST(place AS INT) AS place, name, value FROM p WHERE place <= 10 UNION ALL SELECT 'deception', CAST(row_number() OVER (ORDER BY kind) AS INT), kind, CAST(count(*) AS STRING) FROM l GROUP BY kind UNION ALL
+    SELECT 'alerts', CAST(row_number() OVER (ORDER BY severity) AS INT), severity, CAST(count(*) AS STRING) FROM l WHERE ts > {NOW} - INTERVAL 1 HOUR AND ts <= {NOW} GROUP BY severity""")
+def dashboard(spark: SparkSession, d: str) -> DataFrame:
+    a = attacks(spark, d)
+    seen = a.filter("event_type <> 'view'").select(F.when(F.col("k") % 2 == 0, "honeypot").otherwise("honeyfile").alias("kind"), "severity", F.col("ts").alias("created_at"))
+    return desk.dashboard(a, blocks(a), seen, seen, F.expr(NOW_SPARK))
+
+
+@query("agg05_attacker_countries", f"""{A_SQL}, x AS (SELECT source_ip, max(ts) AS last_seen, CASE WHEN min(user_id) % 4 <> 0 THEN 'C' || CAST(min(user_id) % 7 AS STRING) END AS country FROM attacks GROUP BY source_ip)
+    SELECT 'total' AS panel, NULL AS name, count(*) AS n FROM x UNION ALL SELECT 'last_day', NULL, count(*) FROM x WHERE last_seen >= {NOW} - INTERVAL 1 DAY UNION ALL SELECT * FROM (SELECT 'country', country, count(*) AS n FROM x WHERE country IS NOT NULL GROUP BY country ORDER BY n DESC, country LIMIT 5) t""")
+def attacker_countries(spark: SparkSession, d: str) -> DataFrame:
+    host = F.min("user_id")
+    per = attacks(spark, d).groupBy(F.col("source_ip").alias("ip_address")).agg(F.max("ts").alias("last_seen"), F.when(host % 4 != 0, F.concat(F.lit("C"), (host % 7).cast("string"))).alias("country"))
+    return desk.attacker_countries(per, F.expr(NOW_SPARK))
+
+
+@query("agg27_counters_and_rate", f"""{A_SQL}, v AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'drop' WHEN k % 4 = 1 THEN 'rate_limit' ELSE 'pass' END AS verdict FROM packets) SELECT verdict, count(*) AS n, round(avg(value), 4) AS mean_latency, round(count(*) / (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 FROM v), 8) AS rate FROM v GROUP BY verdict""")
+def counters_and_rate(spark: SparkSession, d: str) -> DataFrame:
+    v = packets(spark, d).withColumn("verdict", F.when(F.col("k") % 4 == 0, "drop").when(F.col("k") % 4 == 1, "rate_limit").otherwise("pass")).withColumn("latency", F.col("value"))
+    return desk.pipeline_counters(v).select("verdict", "n", F.round("mean_latency", 4).alias("mean_latency"), F.round("rate", 8).alias("rate"))
+
+
+@query("lkp03_technique_lists", f"""{A_SQL}, t AS (SELECT DISTINCT a.attack_type, x.technique, m.tactic FROM attacks a JOIN {reference.attack_techniques_sql()} x USING (attack_type) LEFT JOIN {reference.technique_tactics_sql()} m USING (technique))
+    SELECT CAST(count(DISTINCT technique) AS INT) AS n_techniques, CAST(count(DISTINCT tactic) AS INT) AS n_tactics, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques, string_agg(DISTINCT tactic, ',' ORDER BY tactic) AS tactics,
+      (SELECT count(DISTINCT c.attack_type) FILTER (c.attack_type IN (SELECT attack_type FROM attacks)) / count(DISTINCT c.attack_type) FROM {reference.attack_types_sql()} c) AS share FROM t""")
+def technique_lists(spark: SparkSession, d: str) -> DataFrame:
+    return desk.technique_coverage(rules.with_techniques(attacks(spark, d), spark), reference.attack_types(spark))

@@ -223,3 +223,12 @@ def flow_perplexity(spark: SparkSession, d: str) -> DataFrame:
     """By flow; smoothing spreads over the contexts counted: of two laws that the survey leaves open, the one of the sensor's own model."""
     f = packets(spark, d).selectExpr(*[c.replace("raw_len // 400", "raw_len div 400") for c in FLOWS])
     return windowed.perplexity(f, "flow", ["ts", "event_id"], "tok", by_contexts=True).select("flow", F.round("perplexity", 4).alias("perplexity"), "n", "anomalous")
+
+
+@query("win25_ttl_outliers", f"""{derived_sql('packets')}, t AS (SELECT event_id, ts, src_ip, CAST(CASE WHEN k % 31 = 0 THEN 250 ELSE 60 + k % 7 END AS BIGINT) AS b FROM packets)
+    SELECT event_id, src_ip AS source_ip FROM (SELECT event_id, src_ip, b, len(list(b) OVER w) AS m, len(list_distinct(list(b) OVER w)) AS kinds, count(b) OVER r AS n, coalesce(sum(b) OVER r, 0) AS s, coalesce(sum(b * b) OVER r, 0) AS q FROM t
+      WINDOW w AS (PARTITION BY src_ip ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), r AS (PARTITION BY src_ip ORDER BY epoch_us(ts) RANGE BETWEEN 864000000000 PRECEDING AND 1 PRECEDING)) x
+    WHERE m >= 15 AND kinds >= 6 AND n >= 3 AND CASE WHEN n * q - s * s > 0 THEN abs(n * b - s) * sqrt(n - 1) > 3 * sqrt(n * (n * q - s * s)) ELSE abs(n * b - s) > 0 END""")
+def ttl_outliers(spark: SparkSession, d: str) -> DataFrame:
+    p = packets(spark, d).withColumn("ttl", F.when(F.col("k") % 31 == 0, 250).otherwise(60 + F.col("k") % 7))
+    return windowed.covert_ttls(p, seconds=10 * DAY).select("event_id", "source_ip")
