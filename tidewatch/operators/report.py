@@ -130,6 +130,52 @@ def flow_features(packets: DataFrame, flow: Column, idle: float = 120.0) -> Data
     return out.withColumn("packets_per_s", per(F.col("packets"), F.col("duration"))).withColumn("bytes_per_s", per(F.col("bytes"), F.col("duration"))).withColumn("fwd_share", F.col("fwd_packets") / F.col("packets"))
 
 
+#: What a flow's values are summed up by.
+STATS = ("mean", "std", "min", "max", "p25", "p75")
+
+
+def flow_vector(packets: DataFrame, flow: Column, idle: float = 120.0) -> DataFrame:
+    """flow, session and 54 features of every flow session, as the classifiers of flows take them.
+
+    Packets each way, duration, payload bytes a packet; mean, population deviation, least, largest and nearest-rank quartiles of payload lengths and gaps, of all
+    packets and each way; flags as counts and a packet; tls_version, tls_ciphers and tls_exts (largest; 0 where the packets have no such columns); mean ttl each way.
+    Forward is the way of the session's first packet; its gap is 0. Ranks come from sorts within a session, which spill; nothing is collected.
+    """
+    order = [F.col("ts"), F.col("event_id")]
+    rows = flow_sessions(packets, flow, idle)
+    key = Window.partitionBy("flow", "session")
+    ends = F.struct("src_ip", "src_port")
+    rows = rows.withColumn("fwd", F.coalesce(ends == F.first(ends).over(key.orderBy(*order)), F.lit(False)))
+    rows = rows.withColumn("len", F.coalesce("payload_len", F.lit(0)).cast("double")).withColumn("iat", F.when(F.row_number().over(key.orderBy(*order)) == 1, 0.0).otherwise(F.coalesce("gap", F.lit(0.0))))
+    sides = {"": (["flow", "session"], F.lit(True)), "fwd_": (["flow", "session", "fwd"], F.col("fwd")), "bwd_": (["flow", "session", "fwd"], ~F.col("fwd"))}
+    for name in ("len", "iat"):
+        for tag, by in (("all", ["flow", "session"]), ("own", ["flow", "session", "fwd"])):
+            w = Window.partitionBy(*by)
+            rows = rows.withColumn(f"_{name}_{tag}", F.row_number().over(w.orderBy(name, *order)) - 1)
+    for tag, by in (("all", ["flow", "session"]), ("own", ["flow", "session", "fwd"])):
+        rows = rows.withColumn(f"_n_{tag}", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    total, t = F.count(F.lit(1)), F.unix_micros(F.col("ts").cast("timestamp"))
+    none = lambda c: F.coalesce(c, F.lit(0.0)).cast("double")
+    aggs = [F.sum(F.col("fwd").cast("long")).cast("double").alias("fwd_pkts"), F.sum((~F.col("fwd")).cast("long")).cast("double").alias("bwd_pkts"), total.cast("double").alias("total_pkts"), ((F.max(t) - F.min(t)) / 1e6).alias("flow_duration"), (F.sum("len") / total).alias("bytes_per_pkt")]
+    for side, (_, keep) in sides.items():
+        tag = "own" if side else "all"
+        for name, label in (("len", "pkt_len"), ("iat", "iat")):
+            value = F.when(keep, F.col(name))
+            for stat, fn in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max)):
+                aggs.append(none(fn(value)).alias(f"{side}{label}_{stat}"))
+            for p in (25, 75):
+                place = F.least(F.floor(F.col(f"_n_{tag}") * p / 100), F.col(f"_n_{tag}") - 1)
+                aggs.append(none(F.max(F.when(keep & (F.col(f"_{name}_{tag}") == place), F.col(name)))).alias(f"{side}{label}_p{p}"))
+    shown = F.upper(F.coalesce("flags", F.lit("")))
+    for letter, label in zip("SAFR", ("syn", "ack", "fin", "rst"), strict=True):
+        n = F.sum(F.length(shown) - F.length(F.replace(shown, F.lit(letter), F.lit(""))))
+        aggs += [n.cast("double").alias(f"{label}_count"), (n / total).alias(f"{label}_ratio")]
+    for name in ("tls_version", "tls_ciphers", "tls_exts"):
+        aggs.append(none(F.max(name)).alias(name) if name in packets.columns else F.lit(0.0).alias(name))
+    aggs += [none(F.avg(F.when(keep, F.col("ttl")))).alias(f"{side}ttl_mean") for side, (_, keep) in sides.items() if side]
+    return rows.groupBy("flow", "session").agg(*aggs)
+
+
 def incident_summary(incidents: DataFrame, by: str, resolved: str, source: str) -> DataFrame:
     """Of every severity: incidents, resolved and open ones, and how many sources they come from."""
     return incidents.groupBy(by).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import desk, rules
+from ..operators import desk, report, rules
 from ..sources import reference
 from .detect import packets
 from .registry import query, table
@@ -158,3 +158,40 @@ def counters_and_rate(spark: SparkSession, d: str) -> DataFrame:
       (SELECT count(DISTINCT c.attack_type) FILTER (c.attack_type IN (SELECT attack_type FROM attacks)) / count(DISTINCT c.attack_type) FROM {reference.attack_types_sql()} c) AS share FROM t""")
 def technique_lists(spark: SparkSession, d: str) -> DataFrame:
     return desk.technique_coverage(rules.with_techniques(attacks(spark, d), spark), reference.attack_types(spark))
+
+
+def _digits(name: str) -> int:
+    """Times are whole microseconds; means and deviations depend on the order of sums in their last digits."""
+    return 4 if name.endswith(("mean", "std", "ratio", "pkt")) else 6
+
+
+def _vector_sql() -> str:
+    """Every feature as an aggregate over f: fwd, payload, gap, and their ranks and counts in the session and each way."""
+    out = ["count(*) FILTER (fwd)::DOUBLE AS fwd_pkts", "count(*) FILTER (NOT fwd)::DOUBLE AS bwd_pkts", "count(*)::DOUBLE AS total_pkts", "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS flow_duration", "sum(len) / count(*) AS bytes_per_pkt"]
+    for side, keep, tag in (("", "true", "all"), ("fwd_", "fwd", "own"), ("bwd_", "NOT fwd", "own")):
+        for name, label in (("len", "pkt_len"), ("iat", "iat")):
+            out += [f"coalesce({fn}({name}) FILTER ({keep}), 0)::DOUBLE AS {side}{label}_{stat}" for stat, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))]
+            out += [f"coalesce(max({name}) FILTER ({keep} AND {name}_{tag} = least(n_{tag} * {p} // 100, n_{tag} - 1)), 0)::DOUBLE AS {side}{label}_p{p}" for p in (25, 75)]
+    for letter, label in zip("SAFR", ("syn", "ack", "fin", "rst"), strict=True):
+        n = f"sum(length(flags) - length(replace(flags, '{letter}', '')))"
+        out += [f"{n}::DOUBLE AS {label}_count", f"{n} / count(*) AS {label}_ratio"]
+    out += [f"0.0::DOUBLE AS {x}" for x in ("tls_version", "tls_ciphers", "tls_exts")] + [f"coalesce(avg(ttl) FILTER ({keep}), 0)::DOUBLE AS {side}ttl_mean" for side, keep in (("fwd_", "fwd"), ("bwd_", "NOT fwd"))]
+    return ", ".join(f"round({x}, {_digits(name)}) AS {name}" for x, name in (x.rsplit(" AS ", 1) for x in out))
+
+
+_FLOW_SQL = "concat(least(concat(src_ip, ':', CAST(src_port AS STRING)), concat(dst_ip, ':', CAST(dst_port AS STRING))), '|', greatest(concat(src_ip, ':', CAST(src_port AS STRING)), concat(dst_ip, ':', CAST(dst_port AS STRING))))"
+
+
+@query("agg15_flow_vector", f"""{A_SQL}, p AS (SELECT event_id, ts, src_ip, '192.168.0.1' AS dst_ip, 1000 + k % 2 AS src_port, 80 AS dst_port, payload_len, flags, ttl, k FROM packets), t AS (SELECT * FROM p UNION ALL SELECT -event_id, ts + INTERVAL 1 SECOND, dst_ip, src_ip, dst_port, src_port, CAST(payload_len // 3 AS INT), 'SA', ttl + 1, k FROM p WHERE k % 3 = 0),
+    q AS (SELECT *, {_FLOW_SQL} AS flow FROM t), g AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow ORDER BY ts, event_id)) / 1e6 AS gap FROM q),
+    s AS (SELECT *, sum(CASE WHEN gap > 432000 THEN 1 ELSE 0 END) OVER (PARTITION BY flow ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g),
+    e AS (SELECT *, src_ip = first_value(src_ip) OVER w AND src_port = first_value(src_port) OVER w AS fwd, payload_len::DOUBLE AS len, CASE WHEN row_number() OVER w = 1 THEN 0.0 ELSE gap END AS iat FROM s WINDOW w AS (PARTITION BY flow, session ORDER BY ts, event_id)),
+    f AS (SELECT *, {', '.join(f"row_number() OVER (PARTITION BY {by} ORDER BY {name}, ts, event_id) - 1 AS {name}_{tag}" for name in ("len", "iat") for tag, by in (("all", "flow, session"), ("own", "flow, session, fwd")))}, count(*) OVER (PARTITION BY flow, session) AS n_all, count(*) OVER (PARTITION BY flow, session, fwd) AS n_own FROM e)
+    SELECT flow, CAST(session AS BIGINT) AS session, {_vector_sql()} FROM f GROUP BY flow, session""")
+def flow_vector(spark: SparkSession, d: str) -> DataFrame:
+    p = packets(spark, d).select("event_id", "ts", "src_ip", F.lit("192.168.0.1").alias("dst_ip"), (1000 + F.col("k") % 2).alias("src_port"), F.lit(80).alias("dst_port"), "payload_len", "flags", "ttl", "k")
+    swapped = {"src_ip": F.col("dst_ip"), "dst_ip": F.col("src_ip"), "src_port": F.col("dst_port"), "dst_port": F.col("src_port")}
+    reply = {"event_id": -F.col("event_id"), "ts": F.expr("ts + INTERVAL 1 SECOND"), "payload_len": F.floor(F.col("payload_len") / 3).cast("int"), "flags": F.lit("SA"), "ttl": F.col("ttl") + 1}
+    both = p.unionByName(p.filter("k % 3 = 0").withColumns(swapped | reply))
+    v = report.flow_vector(both, F.expr(_FLOW_SQL), 5 * 86_400)
+    return v.select("flow", "session", *[F.round(c, _digits(c)).alias(c) for c in v.columns if c not in ("flow", "session")])
