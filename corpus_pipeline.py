@@ -16,8 +16,19 @@ from tidewatch.llm.common import Scratch
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Rows that go to a worker at once. Texts are long, so Arrow's usual 10,000 would hold tens of megabytes on either side.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Set BATCH, unless the session has a value of its own."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose texts the toxicity model rejects go."""
+    short_batches(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -26,6 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     n_chars, where there is one, follows the text; no other column changes.
     """
+    short_batches(spark)
     changed = F.col("n_removed") > 0
     kept = line_dedup.clean(docs).filter(~(changed & (F.trim("text") == "")))
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast("long") if "n_chars" in docs.columns else None}
@@ -34,16 +46,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the smallest doc_id stays."""
+    short_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: dropped, once, or repeated."""
+    short_batches(spark)
     return mixing.repeat(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to, for every row."""
+    short_batches(spark)
     return bpe.encode_and_decode(docs, VOCABULARY, public_tokenizers.PATTERN)
 
 
