@@ -109,7 +109,8 @@ def test_places_are_those_of_a_global_sort(spark):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp").repartition(6)
     want = [i for i, _ in sorted(rows, key=lambda x: (x[1] is not None, x[1] or T0, x[0]))]
     for stretches in (1, 7, 200):
-        assert [x.event_id for x in evidence.numbered(df, "ts", "event_id", stretches).orderBy("place").collect()] == want
+        got = evidence.numbered(df, "ts", "event_id", stretches).orderBy("place").collect()
+        assert [x.event_id for x in got] == want and [x.place for x in got] == list(range(1, len(want) + 1))
     assert evidence.numbered(df.limit(0), "ts", "event_id").count() == 0
 
 

@@ -27,7 +27,8 @@ def numbered(df: DataFrame, ts: str, order: str, stretches: int = STRETCHES) ->
     if cuts:
         bounds = F.array(*map(F.lit, cuts))
         # the number of bounds at or below the time, by the place it would be sorted to
-        at = F.coalesce(F.when(F.col("_t") >= cuts[-1], F.lit(len(cuts))).otherwise(F.array_position(F.transform(bounds, lambda b: b > F.col("_t")), True).cast("int") - 1), F.lit(0))
+        after = F.array_position(F.transform(bounds, lambda b: b > F.col("_t")), True).cast("int") - 1
+        at = F.when(F.col("_t").isNull(), 0).when(F.col("_t") >= cuts[-1], len(cuts)).otherwise(after)
     rows = rows.withColumn("_s", at)
     counts = {r._s: r.n for r in rows.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).collect()}
     before = list(accumulate([0, *[counts.get(i, 0) for i in range(len(cuts) + 1)]]))
