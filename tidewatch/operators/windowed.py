@@ -133,13 +133,13 @@ def nth_reset(df: DataFrame, attack_type: str, severity: str, key: str, order: l
     return detection(df.filter(where).withColumn("nth", nth).filter(F.col("nth") % every == 0), attack_type, severity, key, nth=F.col("nth").cast("long"))
 
 
-def handshakes(packets: DataFrame, order: tuple[str, str] = ("ts", "event_id")) -> DataFrame:
+def handshakes(packets: DataFrame, order: tuple[str, str] = ("ts", "event_id"), carry: tuple[str, ...] = ()) -> DataFrame:
     """Every packet by the roles of its hosts, with what the host had shown so far: SYNs sent, SYN-ACKs received.
 
-    ``spoofed``: three SYNs and three unanswered, and no handshake completed.
+    ``spoofed``: three SYNs and three unanswered, and no handshake completed. Columns named in ``carry`` come along.
     """
-    roles = packets.select("event_id", "ts", F.explode(F.array(F.struct(F.col("src_ip").alias("host"), F.lit(True).alias("sends")), F.struct(F.col("dst_ip").alias("host"), F.lit(False).alias("sends")))).alias("r"), "flags")
-    roles = roles.select("event_id", "ts", "flags", "r.host", "r.sends")
+    roles = packets.select("event_id", "ts", *carry, F.explode(F.array(F.struct(F.col("src_ip").alias("host"), F.lit(True).alias("sends")), F.struct(F.col("dst_ip").alias("host"), F.lit(False).alias("sends")))).alias("r"), "flags")
+    roles = roles.select("event_id", "ts", *carry, "flags", "r.host", "r.sends")
     w = running(["host"], [*order, "sends"])
     sent = F.sum(((F.col("flags") == "S") & F.col("sends")).cast("long")).over(w)
     answered = F.sum(((F.col("flags") == "SA") & ~F.col("sends")).cast("long")).over(w)
@@ -303,9 +303,8 @@ def gap_runs(df: DataFrame, key: str, order: list[str], ts: str, short: float, l
 
 def unanswered_syns(packets: DataFrame) -> DataFrame:
     """A host's own SYNs while no SYN-ACK has come to it: event_id, ts, source_ip, tcp_seq, spoofed."""
-    own = packets.select("event_id", "tcp_seq")
-    seen = handshakes(packets).filter("sends AND flags = 'S' AND synack_received = 0").withColumnRenamed("host", "source_ip")
-    return seen.select("event_id", "ts", "source_ip", "spoofed").join(own, "event_id")
+    seen = handshakes(packets, carry=("tcp_seq",)).filter("sends AND flags = 'S' AND synack_received = 0").withColumnRenamed("host", "source_ip")
+    return seen.select("event_id", "ts", "source_ip", "tcp_seq", "spoofed")
 
 
 def slow_loris(packets: DataFrame, last: int = 20, at_least: int = 10, span: float = 0.05, per_second: float = 50.0) -> DataFrame:
@@ -339,7 +338,7 @@ def low_entropy_isn(packets: DataFrame, last: int = 5, at_least: int = 4, small:
     w = last_rows(["source_ip"], ["ts", "event_id"], last)
     key = Window.partitionBy("source_ip").orderBy("ts", "event_id")
     # a host's SYNs, answered ones too, so that samples don't skip any
-    seen = handshakes(packets).filter("sends AND flags = 'S'").withColumnRenamed("host", "source_ip").join(packets.select("event_id", "tcp_seq"), "event_id")
+    seen = handshakes(packets, carry=("tcp_seq",)).filter("sends AND flags = 'S'").withColumnRenamed("host", "source_ip")
     seen = seen.withColumn("gap", F.abs(F.col("tcp_seq") - F.lag("tcp_seq").over(key)))
     inner = Window.partitionBy("source_ip").orderBy("ts", "event_id").rowsBetween(-last + 2, 0)
     rows = seen.withColumn("seen", F.count(F.lit(1)).over(w)).withColumn("top", F.max("tcp_seq").over(w)).withColumn("low", F.min("gap").over(inner)).withColumn("high", F.max("gap").over(inner))
