@@ -147,6 +147,24 @@ def test_long_range_lists(spark, count, expressed):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lists_beyond_the_arrays_are_joined(spark):
+    r, ranges = random.Random(5), []
+    for i in range(400):
+        v6 = i % 4 == 0
+        lo = ipaddress.ip_address((0x20010DB8 << 96) + r.randrange(1 << 16)) if v6 else ipaddress.ip_address((10 << 24) + r.randrange(1 << 14))
+        ranges.append((lo, lo + r.choice([0, 3, 255, 5000]), f"l{i % 7}"))
+    ranges += [(ipaddress.ip_address("0.0.0.0"), ipaddress.ip_address("255.255.255.255"), "every"), (ipaddress.ip_address("8000::"), ipaddress.ip_address("ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"), "upper")]
+    shown = lambda a, w: int(a) if a.version == 4 and w == 4 else format(int(a), "032x") if a.version == 6 and w == 6 else None
+    listed = spark.createDataFrame([(i, label, *(shown(a, w) for w in (4, 6) for a in (lo, hi))) for i, (lo, hi, label) in enumerate(ranges)], "ord int, label string, lo long, hi long, lo6 string, hi6 string")
+    ips = [str(lo + d) for lo, hi, _ in r.sample(ranges[:-2], 60) for d in (0, 1, int(hi) - int(lo), int(hi) - int(lo) + 1)] + ["9.255.255.255", "::", "255.255.255.255", "0.0.0.0", "ffff::1", "7fff::1"]
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate([*ips, *ips[:9], None, "no address"])], "n int, ip string")
+    dead = [(lo, hi, None if label == "l3" else label) for lo, hi, label in ranges]
+    got = suppress.range_label(df, "ip", listed, disabled=("l3",), most=100)
+    assert got.columns == ["n", "ip", "label"]
+    assert sorted(((x.n, x.label) for x in got.collect() if x.ip in ips), key=lambda x: x[0]) == [(i, brute(dead, ip)) for i, ip in enumerate([*ips, *ips[:9]])]
+    assert [x.label for x in got.filter("ip is null or ip = 'no address'").collect()] == [None, None]
+
+
 def test_a_hundred_thousand_ranges_are_cut_once():
     starts, labels = suppress.stretches([(10 * i, 10 * i + 5, f"l{i % 3}") for i in range(100_000)] + [(0, 10**7, "all")])
     assert len(starts) == len(labels) == 200_001 and labels[-1] is None and labels[1] == "all" and starts == sorted(set(starts))

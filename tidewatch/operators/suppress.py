@@ -15,8 +15,10 @@ from .windowed import cooldown, micros
 # Types that content networks cause and that don't count from there, and those of private networks.
 CDN_NOISE = ("broadcast_storm", "timing_evasion", "port_scan", "session_correlated_sql_attack", "session_correlated_cmd_attack")
 PRIVATE_NOISE = ("broadcast_storm",)
-#: Rows of a range list, at most; stretches of addresses that become one expression, beyond which they are searched in arrays.
-MOST_RANGES, EXPRESSED = 1_000_000, 256
+#: Rows of a range list that is held in arrays, beyond which it is joined; stretches of addresses that become one expression, beyond which they are searched in arrays.
+MOST_RANGES, EXPRESSED = 200_000, 256
+#: Bits of a dotted address's number (any three digits a part) and of an IPv6 address; bits of a prefix that is joined by broadcast, as many addresses share it.
+BITS4, BITS6, SHORT = 34, 128, 13
 
 
 def stretches(ranges: list[tuple[int, int, str | None]]) -> tuple[list[int], list[str | None]]:
@@ -53,16 +55,53 @@ def _search(value: Column, starts: list, labels: list[str | None]) -> Column:
     return F.when(value.isNotNull(), half(0, len(starts)).cast("string"))
 
 
-def range_label(df: DataFrame, ip: str, ranges: DataFrame, disabled: tuple[str, ...] = (), expressed: int = EXPRESSED) -> DataFrame:
+def _covered(lo: pd.Series, hi: pd.Series, width: pd.Series) -> pd.Series:
+    """The largest aligned blocks of addresses that make up a range (hex digits), as bits of their prefixes."""
+
+    def blocks(at: int, end: int, bits: int) -> list[str]:
+        found, end = [], min(end, (1 << bits) - 1)
+        while at <= end:
+            size = min((at & -at).bit_length() - 1 if at else bits, (end - at + 1).bit_length() - 1)
+            found.append(format(at, f"0{bits}b")[: bits - size])
+            at += 1 << size
+        return found
+
+    return pd.Series([blocks(int(a, 16), int(b, 16), w) for a, b, w in zip(lo, hi, width, strict=True)])
+
+
+def _joined_label(df: DataFrame, ip: str, ranges: DataFrame, disabled: tuple[str, ...]) -> DataFrame:
+    """``range_label`` by joins, for lists of any length.
+
+    Ranges become aligned blocks of addresses, twice as many as an address has bits at most, of equal blocks the one first in the list; an address meets the blocks
+    that have one of its prefixes. Each distinct address is searched once. Blocks of short prefixes, of which there are few, are broadcast.
+    """
+    four = ranges.filter("lo is not null and hi >= 0").select("ord", "label", F.hex(F.greatest("lo", F.lit(0).cast("long"))).alias("a"), F.hex("hi").alias("b"), F.lit(BITS4).alias("width"), F.lit("4").alias("family"))
+    six = ranges.filter("lo6 is not null").select("ord", "label", F.col("lo6").alias("a"), F.col("hi6").alias("b"), F.lit(BITS6).alias("width"), F.lit("6").alias("family"))
+    cut = four.unionByName(six).select("ord", "label", "family", F.explode(F.pandas_udf(_covered, "array<string>")("a", "b", "width")).alias("prefix"))
+    blocks = cut.groupBy(F.concat("family", "prefix").alias("block")).agg(F.min(F.struct("ord", "label")).alias("first"))
+
+    digits = F.regexp_replace(F.substring(ipv6_hex(F.col("_ip")), 1, 32), "[^0-9a-f]", "0")
+    bits6 = F.concat(F.lit("6"), *[F.lpad(F.bin(F.conv(F.substring(digits, 1 + 8 * i, 8), 16, 10).cast("long")), 32, "0") for i in range(4)])
+    bits4 = F.concat(F.lit("4"), F.lpad(F.bin(ipv4_number(F.col("_ip"))), BITS4, "0"))
+    known = df.select(F.col(ip).alias("_ip")).distinct().withColumn("_bits", F.coalesce(bits4, bits6)).filter("_bits is not null")
+    met = lambda lengths: known.select("_ip", F.explode(F.transform(lengths, lambda n: F.substring(F.col("_bits"), F.lit(1), n))).alias("block"))
+    few = met(F.sequence(F.lit(1), F.lit(SHORT + 1))).join(F.broadcast(blocks.filter(F.length("block") <= SHORT + 1)), "block")
+    many = met(F.sequence(F.lit(SHORT + 2), F.length("_bits"))).join(blocks.filter(F.length("block") > SHORT + 1), "block")
+    found = few.unionByName(many).groupBy("_ip").agg(F.min("first").alias("_first")).select("_ip", F.col("_first.label").alias("_label"))
+    label = F.when(F.col("_label").isin(*disabled), None).otherwise(F.col("_label")) if disabled else F.col("_label")
+    return df.join(found, F.col(ip) == F.col("_ip"), "left").withColumn("label", label).drop("_ip", "_label")
+
+
+def range_label(df: DataFrame, ip: str, ranges: DataFrame, disabled: tuple[str, ...] = (), expressed: int = EXPRESSED, most: int = MOST_RANGES) -> DataFrame:
     """``label``: that of the first range, in list order, that holds the address; null for none.
 
-    A range with a disabled label ends the search without a label. The list (MOST_RANGES at most) is cut into disjoint stretches of
+    A range with a disabled label ends the search without a label. A list of up to ``most`` ranges is cut into disjoint stretches of
     addresses, sorted; a row's stretch is found by halving, in an expression while there are few, in broadcast arrays beyond: nothing
-    is shuffled, and a row's cost grows with the logarithm of the list.
+    is shuffled, and a row's cost grows with the logarithm of the list. Longer lists stay with Spark: ``_joined_label``.
     """
-    listed = ranges.orderBy("ord").limit(MOST_RANGES + 1).collect()
-    if len(listed) > MOST_RANGES:
-        raise ValueError("a range list is a configuration table")
+    if ranges.limit(most + 1).count() > most:
+        return _joined_label(df, ip, ranges, disabled)
+    listed = ranges.orderBy("ord", "label").collect()
     label = lambda r: None if r.label in disabled else r.label
     four = stretches([(int(r.lo), int(r.hi), label(r)) for r in listed if r.lo is not None])
     six = stretches([(int(r.lo6, 16), int(r.hi6, 16), label(r)) for r in listed if r.lo6 is not None])
