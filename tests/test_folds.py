@@ -5,6 +5,7 @@ import ipaddress
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,24 @@ def test_long_range_lists(spark, count, expressed):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_limits_of_own_past_are_the_twins(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # counts by day whose next day lies on three deviations; sums of squares and running means round differently there
+    r, rows = random.Random(31), []
+    for user in range(3000):
+        counts = [r.randrange(1, 9) for _ in range(r.randrange(5, 12))]
+        k, s, q = len(counts), sum(counts), sum(c * c for c in counts)
+        on = [n for n in range(1, 60) if (k * n - s) ** 2 == 9 * (k * q - s * s)]
+        rows += [(user, dt.datetime(2024, 1, 1 + day, i // 60, i % 60)) for day, c in enumerate([*counts, *on[:1]]) if on for i in range(c)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = c.sql(f"select user_id, day from ({entry.oracle_sql()['win31_self_baseline']})").fetchall()
+    got = [(x.user_id, x.day) for x in entry.queries()["win31_self_baseline"](spark, str(tmp_path)).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
 def test_lists_beyond_the_arrays_are_joined(spark):
     r, ranges = random.Random(5), []
     for i in range(400):

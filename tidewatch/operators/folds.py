@@ -8,6 +8,7 @@ texts and None, so a stream can store it. ``fold_rows`` runs it over a table, ``
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -81,6 +82,28 @@ def gate(seconds: float) -> Fold:
     return Fold((), "t long, event_id long", list, step, seconds)
 
 
+def beside_own_past(at_least: int, sigmas: float) -> Fold:
+    """Counts more than ``sigmas`` population deviations from the mean of a key's counts before, of which there are ``at_least``: day, n, z.
+
+    Deviations are Welford's, row by row in order: where a z lies on the limit itself, its last bit depends on how they are summed up.
+    """
+
+    def step(state: State, rows: list[tuple]) -> tuple[State, list[tuple]]:
+        k, total, mean, squares = state
+        out = []
+        for _, _, day, n in rows:
+            sd = math.sqrt(squares / k) if k else 0.0
+            z = abs(n - total / k) / sd if sd > 0 else 0.0
+            if k >= at_least and z > sigmas:
+                out.append((day, n, z))
+            k, total, off = k + 1, total + n, n - mean
+            mean += off / k
+            squares += off * (n - mean)
+        return [k, total, mean, squares], out
+
+    return Fold(("day", "n"), "day date, n long, z double", lambda: [0, 0, 0.0, 0.0], step)
+
+
 def counter(seconds: float, threshold: int) -> Fold:
     """Rows at which a key's count within the last ``seconds`` (closed) reaches ``threshold``; the count then starts again."""
     span = int(seconds * 1_000_000)

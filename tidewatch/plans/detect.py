@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import entropy, flow_key, is_broadcast, ja4, ladder
-from ..operators import parse, report, rules, stateless, windowed
+from ..operators import folds, parse, report, rules, stateless, windowed
 from ..sources.derive import derive, derived_sql
 from ..sources.reference import APP_PORTS, WEB_SIGNATURES
 from .registry import query, table
@@ -228,11 +228,11 @@ def rate_limiter(spark: SparkSession, d: str) -> DataFrame:
 @query("win31_self_baseline", """WITH p AS (SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT user_id, day, n, count(*) OVER w AS k, avg(n) OVER w AS m, stddev_pop(n) OVER w AS sd FROM p WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT user_id, day, n, round(CASE WHEN sd > 0 THEN abs(n - m) / sd ELSE 0 END, 6) AS z FROM b WHERE k >= 5 AND CASE WHEN sd > 0 THEN abs(n - m) / sd ELSE 0 END > 3""")
 def self_baseline(spark: SparkSession, d: str) -> DataFrame:
-    w = windowed.Window.partitionBy("user_id").orderBy("day").rowsBetween(windowed.Window.unboundedPreceding, -1)
     p = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    b = p.withColumn("k", F.count(F.lit(1)).over(w)).withColumn("m", F.avg("n").over(w)).withColumn("sd", F.stddev_pop("n").over(w))
-    z = F.when(F.col("sd") > 0, F.abs(F.col("n") - F.col("m")) / F.col("sd")).otherwise(0.0)
-    return b.withColumn("z", z).filter("k >= 5 AND z > 3").select("user_id", "day", "n", F.round("z", 6).alias("z"))
+    # rows without a day come last
+    p = p.withColumn("at", F.coalesce("day", F.lit("9999-12-31").cast("date")))
+    found = folds.fold_rows(p, "user_id", "at", "at", folds.beside_own_past(5, 3.0))
+    return found.select("user_id", "day", "n", F.round("z", 6).alias("z"))
 
 
 @query("win46_metric_zscore", """WITH b AS (SELECT user_id, avg(value) AS m, stddev_samp(value) AS sd FROM events GROUP BY user_id HAVING count(*) >= 10)
