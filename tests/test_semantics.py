@@ -1,6 +1,8 @@
 """Cases that the SQL twins can't show: decoding, null and large keys, range lists, severities, spans, shipped rules."""
 
 import datetime as dt
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +201,26 @@ def test_formats(spark):
     df = spark.createDataFrame([(1, at(0), "port_scan", "high", "1.2.3.4")], "event_id long, ts timestamp, attack_type string, severity string, source_ip string")
     r = sinks.formatted(df, "ecs", "cef", "syslog", "stix").first()
     assert '"severity":80' in r.ecs and r.cef.startswith("CEF:0|") and r.syslog.startswith("<129>1 ") and "1.2.3.4" in r.stix
+
+
+def test_whole_numbers_beside_recent_ones_cost_a_row_each(spark):
+    r = random.Random(24)
+    rows = [(i, f"h{i % 3}", None if i % 50 == 7 else r.randrange(0, 4000) * 10**6, None if i % 41 == 0 else 1.0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, src_ip string, us long, value double").withColumn("ts", F.expr("timestamp_micros(us)"))
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    whole = df.withColumn("b", F.when(F.col("value").isNotNull(), F.col("event_id") % 7 * F.when(F.col("event_id") % 97 == 0, 30).otherwise(1))).withColumn("at", windowed.micros("ts"))
+    beside = windowed.beside_recent(whole, "src_ip", "b", "at", ["ts", "event_id"], 100, most=12)
+    assert beside.columns == [*whole.columns, "outlier"] and "RangeFrame, -" not in plan(beside)
+    values = {x.event_id: x.b for x in whole.collect()}
+    found = {x.event_id: x.outlier for x in beside.collect()}
+    ordered = sorted(rows, key=lambda x: (x[2] is not None, x[2] or 0, x[0]))
+    for i, ip, t, _ in rows:
+        near = [values[j] for j, k, u, _ in ordered if k == ip and values[j] is not None and (u is None if t is None else u is not None and t - 10**8 <= u < t)]
+        if len(near) > 12:
+            before = [j for j, k, _, _ in ordered if k == ip]
+            at = before.index(i)
+            near = [values[j] for j in before[max(0, at - 12) : at] if values[j] is not None]
+        n, s, q = len(near), sum(near), sum(v * v for v in near)
+        b, spread = values[i], n * q - s * s
+        want = None if b is None and n >= 3 else n >= 3 and (abs(n * b - s) * (n - 1) ** 0.5 > 3 * (n * spread) ** 0.5 if spread else b * n != s)
+        assert found[i] == want

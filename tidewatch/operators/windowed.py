@@ -437,26 +437,38 @@ def beside_recent(rows: DataFrame, key: str, value: str, at: str, order: list[st
     """``outlier``: a whole number over three sample deviations from the mean of its key's values of the last ``seconds`` before it, the newest ``most`` of them.
 
     There must be three such values; where they are all the same, any other is an outlier. ``at`` is the time in microseconds. Sums are whole numbers, so
-    that any engine finds the same.
+    that any engine finds the same, and are differences of running ones: a row costs the same however many lie in its window.
     """
-    near = Window.partitionBy(key).orderBy(at).rangeBetween(-int(seconds * 1e6), -1)
-    newest = Window.partitionBy(key).orderBy(*order).rowsBetween(-most, -1)
-    sums = lambda w: F.struct(F.count(value).over(w).alias("n"), F.coalesce(F.sum(value).over(w), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col(value) * F.col(value)).over(w), F.lit(0)).alias("q"))
-    rows = rows.withColumn("_near", sums(near)).withColumn("_newest", sums(newest))
+    values = {"n": F.col(value).isNotNull().cast("long"), "s": F.coalesce(F.col(value), F.lit(0)).cast("long"), "q": F.coalesce(F.col(value) * F.col(value), F.lit(0)).cast("long")}
+    # sums before each row and, for those of the newest rows, less the sums before the first of them
+    ordered = Window.partitionBy(key).orderBy(*order)
+    before = lambda c: F.coalesce(F.sum(c).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_before", F.struct(*[before(c).alias(name) for name, c in values.items()]))
+    first = F.lag("_before", most).over(ordered)
+    rows = rows.withColumn("_newest", F.struct(*[(F.col(f"_before.{c}") - F.coalesce(first[c], F.lit(0))).alias(c) for c in values]))
+    # a row's values enter with it and leave once it is older than the window; rows without a time are each other's neighbours and never leave
+    span = int(seconds * 1e6)
+    enters = F.struct(F.col(at).alias("at"), *[c.alias(name) for name, c in values.items()], F.lit(True).alias("row"))
+    leaves = F.when(F.col(at).isNotNull(), F.struct((F.col(at) + span).alias("at"), *[(-c).alias(name) for name, c in values.items()], F.lit(False).alias("row")))
+    rows = rows.withColumn("_m", F.explode(F.filter(F.array(enters, leaves), lambda m: m.isNotNull())))
+    marks = Window.partitionBy(key, F.col(at).isNull()).orderBy(F.col("_m.at")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.struct(*[F.coalesce(F.sum(f"_m.{c}").over(marks), F.lit(0)).alias(c) for c in values])).filter("_m.row")
     rows = rows.withColumn("_x", F.when(F.col("_near.n") > most, F.col("_newest")).otherwise(F.col("_near")))
     n, total, squares = (F.col(f"_x.{c}") for c in ("n", "s", "q"))
     # n (n - 1) times the variance, and n times the value's distance from the mean
     spread, off = n * squares - total * total, F.abs(n * F.col(value) - total)
     found = (n >= 3) & F.when(spread > 0, off * F.sqrt(n - 1) > 3 * F.sqrt(n * spread)).otherwise(off > 0)
-    return rows.withColumn("outlier", found).drop("_near", "_newest", "_x")
+    return rows.withColumn("outlier", found).drop("_before", "_near", "_newest", "_m", "_x")
 
 
 def covert_ttls(packets: DataFrame, last: int = 15, kinds: int = 6, seconds: float = 300.0, baseline: int = 1000) -> DataFrame:
     """Rows at which a host's last ``last`` ttls are of ``kinds`` values or more and the row's own is an outlier."""
     order = ["ts", "event_id"]
     rows = packets.filter("ttl is not null").withColumn("_b", F.col("ttl").cast("long")).withColumn("_t", micros("ts"))
-    rows = beside_recent(rows, "src_ip", "_b", "_t", order, seconds, baseline).withColumn("_seen", F.collect_list("_b").over(last_rows(["src_ip"], order, last)))
-    hit = rows.filter((F.size("_seen") >= last) & (F.size(F.array_distinct("_seen")) >= kinds) & F.col("outlier"))
+    rows = rows.withColumn("_seen", F.collect_list("_b").over(last_rows(["src_ip"], order, last)))
+    # lists end before rows are sorted once more
+    rows = rows.withColumn("_shown", (F.size("_seen") >= last) & (F.size(F.array_distinct("_seen")) >= kinds)).drop("_seen")
+    hit = beside_recent(rows, "src_ip", "_b", "_t", order, seconds, baseline).filter("_shown AND outlier")
     return detection(hit, "ttl_covert_channel", "medium")
 
 
