@@ -481,11 +481,13 @@ def covert_numbers(packets: DataFrame, of: str, attack_type: str, printable: int
     """
     order = ["ts", "event_id"]
     rows = packets.filter(where).withColumn("_b", F.pmod(F.col(of), F.lit(256)).cast("long")).withColumn("_t", micros("ts"))
-    rows = beside_recent(rows, "src_ip", "_b", "_t", order, seconds, baseline).withColumn("_seen", F.collect_list("_b").over(last_rows(["src_ip"], order, last)))
+    rows = rows.withColumn("_seen", F.collect_list("_b").over(last_rows(["src_ip"], order, last)))
     deltas = F.filter(F.zip_with(F.slice("_seen", 2, last), F.slice("_seen", 1, F.greatest(F.size("_seen") - 1, F.lit(0))), lambda b, a: F.pmod(b - a, F.lit(256))), lambda d: d.between(32, 126))
-    rows = rows.withColumn("_p", deltas).filter((F.size("_seen") >= samples) & (F.size("_p") >= printable)).withColumn("_p", F.slice("_p", -printable, printable))
-    hit = rows.filter((F.size(F.array_distinct("_p")) <= max(3.0, 0.7 * printable)) & F.col("outlier"))
-    text = F.array_join(F.transform("_p", lambda d: F.char(d)), "")
+    rows = rows.withColumn("_p", deltas).withColumn("_shown", (F.size("_seen") >= samples) & (F.size("_p") >= printable)).withColumn("_p", F.when(F.col("_shown"), F.slice("_p", -printable, printable)))
+    rows = rows.withColumn("_shown", F.col("_shown") & (F.size(F.array_distinct("_p")) <= max(3.0, 0.7 * printable)))
+    # lists end before rows are sorted once more
+    rows = rows.withColumn("_text", F.when(F.col("_shown"), F.array_join(F.transform("_p", lambda d: F.char(d)), ""))).drop("_seen", "_p")
+    hit, text = beside_recent(rows, "src_ip", "_b", "_t", order, seconds, baseline).filter("_shown AND outlier"), F.col("_text")
     return hit.select("event_id", "ts", F.col("src_ip").alias("source_ip"), F.lit(attack_type).alias("attack_type"), F.lit("high").alias("severity"), text.alias("text"))
 
 
