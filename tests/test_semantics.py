@@ -203,6 +203,23 @@ def test_formats(spark):
     assert '"severity":80' in r.ecs and r.cef.startswith("CEF:0|") and r.syslog.startswith("<129>1 ") and "1.2.3.4" in r.stix
 
 
+def test_windows_of_outliers_cost_a_row_each(spark):
+    r = random.Random(23)
+    rows = [(i, f"h{i % 3}", None if i % 50 == 7 else r.randrange(0, 4000) * 10**6, None if i % 41 == 0 else r.choice([11.77, 11.77, 11.77, 5.5, 90.1])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, src_ip string, us long, value double").withColumn("ts", F.expr("timestamp_micros(us)"))
+    got = {x.event_id: (x.n, x.mean, x.sd) for x in windowed.recent_moments(df, ["src_ip"], "ts", "value", 100).collect()}
+    assert len(got) == len(rows)
+    for i, ip, t, _ in rows:
+        near = [v for _, k, u, v in rows if k == ip and v is not None and (u is None if t is None else u is not None and t - 10**8 < u < t)]
+        n, mean, sd = got[i]
+        assert n == len(near) and (mean is None) == (not near)
+        if near:
+            assert abs(mean - statistics.fmean(near)) < 1e-9 and abs(sd - (statistics.stdev(near) if n > 1 else 0)) < 1e-6
+            assert sd == 0 or len(set(near)) > 1 or t is None
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan(windowed.outliers(df.select("event_id", "src_ip", "ts", "value"), ["src_ip"], "ts", "value", 100))
+
+
 def test_whole_numbers_beside_recent_ones_cost_a_row_each(spark):
     r = random.Random(24)
     rows = [(i, f"h{i % 3}", None if i % 50 == 7 else r.randrange(0, 4000) * 10**6, None if i % 41 == 0 else 1.0) for i in range(1500)]

@@ -7,6 +7,7 @@ decisions matters (resets, anchored windows), ``fold`` scans each key's rows in
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 
 def micros(ts: str) -> Column:
@@ -115,14 +116,112 @@ def steady_gaps(df: DataFrame, attack_type: str, severity: str, key: list[str],
     return detection(rows.filter(keep), attack_type, severity, key[0], seen="seen")
 
 
+class _Recent:
+    """Count, mean and squared deviations of the values within ``span`` before a time, at a constant cost a value.
+
+    Values are taken in at the front, with moments row by row (Welford), and leave at the back, where moments of all that are left are kept for every value;
+    a back that has run out is made of the front. Nothing is subtracted, so equal values deviate by exactly nothing.
+    """
+
+    def __init__(self, span: int) -> None:
+        self.span = span
+        self.back: list[tuple[int, int, float, float]] = []  # newest first: time, and moments from here to the newest
+        self.times: list[int] = []
+        self.values: list[float] = []
+        self.front = (0, 0.0, 0.0)
+        self.sums: list[float] = []
+
+    def mean(self, m: tuple[int, float, float], v: float) -> float:
+        """The mean; of equal values, of which ``v`` is the newest, their sum by their number, as an average has it, so that it may be off in its last bit."""
+        n, mean, squares = m
+        if squares or not n:
+            return mean
+        if not self.sums or self.sums[0] != v:
+            self.sums = [v]
+        while len(self.sums) < n:
+            self.sums.append(self.sums[-1] + v)
+        return self.sums[n - 1] / n
+
+    def add(self, t: int, v: float) -> None:
+        self.times.append(t)
+        self.values.append(v)
+        self.front = _with(self.front, v)
+
+    def moments(self, t: int) -> tuple[int, float, float]:
+        gone = t - self.span
+        back = self.back
+        while back and back[-1][0] <= gone:
+            back.pop()
+        if not back and self.times and self.times[0] <= gone:
+            m = (0, 0.0, 0.0)
+            for i in range(len(self.times) - 1, bisect_right(self.times, gone) - 1, -1):
+                m = _with(m, self.values[i])
+                back.append((self.times[i], *m))
+            self.times, self.values, self.front = [], [], (0, 0.0, 0.0)
+        if not back:
+            return self.front
+        (n, mean, squares), (_, k, other, more) = self.front, back[-1]
+        if not n:
+            return k, other, more
+        off = other - mean
+        return n + k, mean + off * k / (n + k), squares + more + off * off * n * k / (n + k)
+
+
+def _with(m: tuple[int, float, float], v: float) -> tuple[int, float, float]:
+    n, mean, squares = m
+    off = v - mean
+    mean += off / (n + 1)
+    return n + 1, mean, squares + off * (v - mean)
+
+
+def recent_moments(df: DataFrame, key: list[str], ts: str, value: str, seconds: float) -> DataFrame:
+    """``n``, ``mean`` and ``sd`` (of samples, 0 for fewer than two) of the key's values within ``seconds`` before each row's time, rows of the same time not included.
+
+    One pass over sorted rows; the state is the times and values of a key's window. Rows without a time have each other.
+    """
+    span = int(seconds * 1_000_000)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, recent, same = None, None, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            times, values = batch.column("_t").to_pylist(), batch.column("_v").to_pylist()
+            cuts = np.r_[np.flatnonzero(_fresh(batch, key)), len(batch)].tolist()
+            first = [repr(batch.column(k)[0].as_py()) for k in key]
+            found = []
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                if at or first != current:
+                    recent, same, last, m, v = _Recent(span), [], None, None, 0.0
+                for i in range(at, to):
+                    if times[i] != last:
+                        for v in same:
+                            recent.add(last, v)
+                        last, same = times[i], []
+                        m = recent.moments(last)
+                        m = m[0], recent.mean(m, v), m[2]
+                    if values[i] is not None:
+                        same.append(values[i])
+                    found.append(m)
+            current = [repr(batch.column(k)[len(batch) - 1].as_py()) for k in key]
+            n, mean, squares = (np.array(c) for c in zip(*found, strict=True))
+            kept = batch.drop_columns(["_t", "_v"])
+            yield kept.append_column("n", pa.array(n, pa.int64())).append_column("mean", pa.array(mean, pa.float64(), mask=n == 0)).append_column("sd", pa.array(np.sqrt(np.where(n > 1, squares, 0.0) / np.maximum(n - 1, 1)), pa.float64()))
+
+    rows = df.withColumn("_t", micros(ts)).withColumn("_v", F.col(value).cast("double"))
+    schema = StructType([*df.schema, StructField("n", LongType()), StructField("mean", DoubleType()), StructField("sd", DoubleType())])
+    timed = rows.filter("_t is not null").repartition(*key).sortWithinPartitions(*key, "_t").mapInArrow(scan, schema)
+    w = Window.partitionBy(*key)
+    rest = rows.filter("_t is null").withColumn("n", F.count("_v").over(w)).withColumn("mean", F.avg("_v").over(w)).withColumn("sd", F.coalesce(F.stddev_samp("_v").over(w), F.lit(0.0)))
+    return timed.unionByName(rest.drop("_t", "_v"))
+
+
 def outliers(df: DataFrame, key: list[str], ts: str, value: str, seconds: float, sigmas: float = 3.0, at_least: int = 3) -> DataFrame:
     """Rows whose value lies more than ``sigmas`` sample deviations from the mean of the rows before it in the window.
 
     With no spread before it, any change counts.
     """
-    span = int(seconds * 1_000_000)
-    w = Window.partitionBy(*key).orderBy(micros(ts)).rangeBetween(-span + 1, -1)
-    rows = df.withColumn("n", F.count(value).over(w)).withColumn("mean", F.avg(value).over(w)).withColumn("sd", F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0)))
+    rows = recent_moments(df, key, ts, value, seconds)
     off = F.abs(F.col(value) - F.col("mean"))
     return rows.filter((F.col("n") >= at_least) & F.when(F.col("sd") > 0, off > sigmas * F.col("sd")).otherwise(off > 0))
 

@@ -175,7 +175,7 @@ def timing_evasion(spark: SparkSession, d: str) -> DataFrame:
 @query("win23_adaptive_outlier", f"""{derived_sql('packets')} SELECT event_id, src_ip, value FROM (SELECT event_id, src_ip, value, count(value) OVER w AS n, avg(value) OVER w AS m, coalesce(stddev_samp(value) OVER w, 0) AS sd FROM packets
     WINDOW w AS (PARTITION BY src_ip ORDER BY epoch_us(ts) RANGE BETWEEN 863999999999 PRECEDING AND 1 PRECEDING)) t WHERE n >= 3 AND CASE WHEN sd > 0 THEN abs(value - m) > 3 * sd ELSE abs(value - m) > 0 END""")
 def adaptive_outlier(spark: SparkSession, d: str) -> DataFrame:
-    return windowed.outliers(packets(spark, d), ["src_ip"], "ts", "value", 240 * HOUR).select("event_id", "src_ip", "value")
+    return windowed.outliers(packets(spark, d).select("event_id", "src_ip", "ts", "value"), ["src_ip"], "ts", "value", 240 * HOUR).select("event_id", "src_ip", "value")
 
 
 @query("win14_fragment_overlap", f"""{derived_sql('packets')} SELECT event_id, src_ip FROM (SELECT event_id, src_ip, row_number() OVER (PARTITION BY src_ip, ip_id, frag_offset ORDER BY ts, event_id) AS n FROM packets WHERE frag_offset > 0) t WHERE n > 1""")
