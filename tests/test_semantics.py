@@ -241,3 +241,24 @@ def test_whole_numbers_beside_recent_ones_cost_a_row_each(spark):
         b, spread = values[i], n * q - s * s
         want = None if b is None and n >= 3 else n >= 3 and (abs(n * b - s) * (n - 1) ** 0.5 > 3 * (n * spread) ** 0.5 if spread else b * n != s)
         assert found[i] == want
+
+
+def test_tasks_of_flow_sessions_grow_with_the_packets(spark, monkeypatch):
+    monkeypatch.setattr(report, "TASK_ROWS", 50)
+    rows = [(i, T0 + dt.timedelta(seconds=i // 7 * (300 if i // 7 % 3 == 0 else 1)), f"h{i % 2}", "h1" if i % 2 == 0 else "h0", i % 7) for i in range(700)]
+    rows.sort(key=lambda x: (x[1], x[0]))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, src_ip string, dst_ip string, port int")
+    sessions = report.flow_sessions(df, F.col("port"), 120.0)
+    assert sessions.rdd.getNumPartitions() == 14
+    packets = df.selectExpr("*", "port + 40 AS raw_len", "1 AS payload_len", "'S' AS flags", "64 AS ttl", "9 AS win", "port AS dst_port")
+    got = {(x.flow, x.session): (x.packets, x.fwd_packets, x.iat_max) for x in report.flow_features(packets, F.col("port")).collect()}
+    want, last = {}, {}
+    for i, t, src, _, port in rows:
+        s, before, first = last.get(port, (0, None, src))
+        gap = None if before is None else (t - before).total_seconds()
+        if gap is not None and gap > 120:
+            s, first, gap = s + 1, src, None
+        n, fwd, most = want.get((port, s), (0, 0, 0.0))
+        want[port, s] = n + 1, fwd + (src == first), max(most, gap or 0.0)
+        last[port] = s, t, first
+    assert got == want

@@ -93,11 +93,16 @@ def nearest_ranks(df: DataFrame, key: list[str], value: str, percent: int) -> Da
     return ranked.filter(F.col("_to") > F.least(F.expr(f"_of * {percent} div 100"), F.col("_of") - 1)).groupBy(*key).agg(F.min(value).alias("rank"))
 
 
+#: Packets of a task that cuts flows into sessions, about: tasks grow in number with the table, not in memory.
+TASK_ROWS = 250_000
+
+
 def flow_sessions(packets: DataFrame, flow: Column, idle: float) -> DataFrame:
-    """``flow`` and ``session``: a flow's packets, cut where it rests for more than ``idle`` seconds."""
+    """``flow`` and ``session``: a flow's packets, cut where it rests for more than ``idle`` seconds; dealt by flow, TASK_ROWS to a task."""
     w = Window.partitionBy("flow").orderBy("ts", "event_id")
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = packets.withColumn("flow", flow).withColumn("gap", (t - F.lag(t).over(w)) / 1e6)
+    tasks = max(int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-packets.count() // TASK_ROWS))
+    rows = packets.withColumn("flow", flow).repartition(tasks, "flow").withColumn("gap", (t - F.lag(t).over(w)) / 1e6)
     return rows.withColumn("session", F.sum(F.when(F.col("gap") > idle, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -105,8 +110,11 @@ def flow_features(packets: DataFrame, flow: Column, idle: float = 120.0) -> Data
     """Counts, durations, length and gap statistics, flag counts and ttl of every flow session, each way; forward is the initiator's."""
     rows = flow_sessions(packets, flow, idle)
     key = Window.partitionBy("flow", "session")
-    first = F.first("src_ip").over(key.orderBy("ts", "event_id"))
-    rows = rows.withColumn("fwd", F.col("src_ip") == first).withColumn("iat", F.when(F.lag("event_id").over(key.orderBy("ts", "event_id")).isNotNull(), F.col("gap")))
+    # the order in which sessions were cut serves for their first packets too
+    w = Window.partitionBy("flow").orderBy("ts", "event_id")
+    rows = rows.withColumn("_starts", ~F.lag("session").over(w).eqNullSafe(F.col("session")))
+    first = F.last(F.when(F.col("_starts"), F.struct("src_ip")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["src_ip"]
+    rows = rows.withColumn("fwd", F.col("src_ip") == first).withColumn("iat", F.when(~F.col("_starts"), F.col("gap")))
     for name, value in (("len", "raw_len"), ("iat", "iat")):
         rows = rows.withColumn(f"_{name}_i", F.row_number().over(key.orderBy(F.col(value).asc_nulls_last(), "event_id")) - 1).withColumn(f"_{name}_n", F.count(value).over(key))
     aggs = [F.count(F.lit(1)).alias("packets"), F.sum("raw_len").cast("long").alias("bytes"), F.sum("payload_len").cast("long").alias("payload_bytes")]
