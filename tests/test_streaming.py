@@ -190,3 +190,59 @@ def test_each_line_comes_once_after_a_restart(spark, tmp_path, kind):
 def test_host_codes(spark):
     r = spark.range(8).select(F.collect_list(F.coalesce(readers.host_kind(F.col("id")), F.lit("-"))).alias("k")).first()
     assert r.k == ["-", "exec", "connect", "open", "kill", "write", "network", "-"]
+
+
+def test_waiting_rows_go_to_the_store_by_the_chunk():
+    import pandas as pd
+
+    class List:
+        def __init__(self):
+            self.calls, self.held = [], []
+
+        def appendValue(self, value):
+            self.calls.append(value)
+            self.held.append(value)
+
+        def appendList(self, values):
+            self.calls += values
+            self.held += values
+
+        def get(self):
+            return iter(self.held)
+
+        def clear(self):
+            self.held = []
+
+        put = appendList
+
+    class Value:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        waiting = List()
+        getListState = lambda self, *_: self.waiting
+        getValueState = lambda self, *_: Value()
+        registerTimer = lambda self, _: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 300
+
+    handle = Handle()
+    p = ordered._Ordered(folds.gate(0.1), "k", {"t": "bigint", "o": "bigint"}, ["t", "event_id"])
+    p.init(handle)
+    frames = [pd.DataFrame({"t": [(i * 7919) % 500 * 1000 for i in part], "o": list(part)}) for part in (range(250), range(250, 500))]
+    list(p.handleInputRows(("a",), iter(frames), None))
+    assert len(handle.waiting.calls) == 2
+    found = pd.concat(p.handleExpiredTimer(("a",), Times(), None))
+    assert found.t.tolist() == [0, 100_000, 200_000]
+    list(p.handleInputRows(("a",), iter(()), None))
+    Times.getCurrentWatermarkInMs = lambda self: 900
+    assert pd.concat(p.handleExpiredTimer(("a",), Times(), None)).t.tolist() == [300_000, 400_000]

@@ -7,6 +7,7 @@ removed by a timer, ``idle`` seconds of event time after the key's last row.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,29 +26,31 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class _Ordered(StatefulProcessor):
     def __init__(self, fold: Fold, key: str, kinds: dict[str, str], reports: list[str]) -> None:
         self.fold, self.key, self.names, self.reports = fold, key, list(kinds), reports
-        self.kinds = ", ".join(f"{c} {kind}" for c, kind in kinds.items())
         self.whole = {c for c, kind in kinds.items() if kind in ("tinyint", "smallint", "int", "bigint")}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.kinds)
+        # rows wait in chunks, as they came: a row by itself would cost a call of the store each way
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.kept = handle.getValueState("kept", "state string, last long")
 
     def _plain(self, column: pd.Series, name: str) -> list:
         """Python values; whole numbers that pandas made floats because of nulls are whole again."""
         whole = name in self.whole
+        if not column.hasnans:
+            return column.tolist()
         return [None if missing else int(v) if whole else v.item() if hasattr(v, "item") else v for v, missing in zip(column, column.isna(), strict=True)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             new = list(zip(*(self._plain(frame[c], c) for c in self.names), strict=True))
-            self.waiting.appendList(new)
+            self.waiting.appendValue((pickle.dumps(new),))
             self.handle.registerTimer(int(min(r[0] for r in new)) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1]))
+        rows = sorted((r for (chunk,) in self.waiting.get() for r in pickle.loads(chunk)), key=lambda r: (r[0], r[1]))
         due, later = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
         state, last = self.kept.get() if self.kept.exists() else (None, None)
         if due:
@@ -58,7 +61,7 @@ class _Ordered(StatefulProcessor):
                 yield pd.DataFrame([(key[0], *r) for r in found], columns=[self.key, *self.reports])
             self.waiting.clear()
             if later:
-                self.waiting.put(later)
+                self.waiting.put([(pickle.dumps(later),)])
         if later:
             self.handle.registerTimer(later[0][0] // 1000 + 1)
         elif last is not None and self.fold.idle is not None:
